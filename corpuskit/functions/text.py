@@ -211,42 +211,23 @@ def clean_text(
 ) -> DataFrame:
     """Replace ``column`` by its cleaned text; the order of the steps is fixed.
 
-    Each step is its own projection with a byte-level guard in front of the
-    regex, so rows without the trigger character never enter the regex engine.
-    Catalyst keeps the projections apart (each reads its input more than once)
-    inside one code-generated stage.  ``spaces_before_nonprintable`` turns line
-    breaks into spaces before they are removed, so words are not joined.
+    Every step reads its input once, so the chain stays one linear expression
+    even when Catalyst copies it into a filter.  ``spaces_before_nonprintable``
+    turns line breaks into spaces before they are removed, so words are not joined.
     """
     on = _flags(flags)
+    head = [
+        (on["remove_wiki_elements"], remove_wiki_elements),
+        (on["remove_tags"], remove_tags),
+        (on["remove_hashtags"], remove_hashtags),
+        (on["remove_urls_and_emails"], handle_urls_emails),
+        (on["remove_phone_numbers"], handle_phone_numbers),
+        (on["remove_mentions"], handle_mentions),
+    ]
     text = F.col(column)
-
-    def apply(frame, guard, step):
-        return frame.withColumn(column, F.when(guard, step).otherwise(text))
-
-    def put(frame, step):
-        return frame.withColumn(column, step)
-
-    if on["remove_wiki_elements"]:
-        for mark, pattern in (
-            (".", WIKI_IP),
-            ("(UTC)", WIKI_SIGNATURE),
-            ("{{", WIKI_TEMPLATE),
-            ("[[", WIKI_LINK),
-            (":", WIKI_INDENT),
-        ):
-            seen = F.lower(text).contains("(utc)") if mark == "(UTC)" else text.contains(mark)
-            df = apply(df, seen, F.regexp_replace(text, _WIKI_FLAGS + pattern, " "))
-    if on["remove_tags"]:
-        df = apply(df, text.contains("<"), remove_tags(text))
-    if on["remove_hashtags"]:
-        df = apply(df, text.contains("#"), remove_hashtags(text))
-    if on["remove_urls_and_emails"]:
-        df = apply(df, text.contains("://") | text.contains("www."), _replace_urls(text))
-        df = apply(df, text.contains("@"), _replace_emails(text))
-    if on["remove_phone_numbers"]:
-        df = put(df, handle_phone_numbers(text))
-    if on["remove_mentions"]:
-        df = apply(df, text.contains("@"), handle_mentions(text))
+    for switch, step in head:
+        text = step(text) if switch else text
+    df = df.withColumn(column, text)
 
     middle = [
         name
@@ -260,38 +241,33 @@ def clean_text(
         )
         if switch
     ]
-    python_only = {"chunks"} | ({"emoji"} if emoji_names is not None else set())
-    if python_only & set(middle):
-        # one Arrow round trip for the whole run of steps
-        df = put(df, text_udf.arrow_steps(middle, emoji_names)(text))
+    text = F.col(column)
+    if "chunks" in middle or (emoji_names is not None and "emoji" in middle):
+        # one Arrow round trip for the whole run of steps, never repeated for a later filter
+        df = df.withColumn(column, text_udf.arrow_steps(middle, emoji_names, once=True)(text))
     else:
         df = _middle_in_jvm(df, column, middle)
 
     if on["remove_nonprintable_characters"]:
         if spaces_before_nonprintable:
-            df = put(df, F.regexp_replace(text, f"(?U){_SPACE}+", " "))
-        df = put(df, remove_nonprintable(text))
-    if on["remove_newlines_and_spaces"]:
-        return put(df, remove_newlines_and_whitespace(text))
-    return put(df, strip(text))
+            text = F.regexp_replace(text, f"(?U){_SPACE}+", " ")
+        text = remove_nonprintable(text)
+    text = remove_newlines_and_whitespace(text) if on["remove_newlines_and_spaces"] else strip(text)
+    return df.withColumn(column, text)
 
 
 def _middle_in_jvm(df: DataFrame, column: str, middle: list[str]) -> DataFrame:
     """Rows of narrow characters stay in the JVM; the rest take one Arrow round trip."""
     text = F.col(column)
     jvm = {"lower": lowercase, "repetitions": reduce_repetitions, "sentences": remove_repeated_sentences}
-    steps = [jvm[name] for name in middle if name in jvm]
+    narrow = text
+    for name in middle:
+        narrow = jvm[name](narrow) if name in jvm else narrow
     if not {"emoji", "nfc"} & set(middle):
-        for step in steps:
-            df = df.withColumn(column, step(text))
-        return df
-    wide = f"__wide_{column}"
-    done = f"__done_{column}"
-    df = df.withColumn(wide, F.when(has_wide_characters(text), text))
-    df = df.withColumn(done, text_udf.arrow_steps(middle)(F.col(wide)))
-    for step in steps:
-        df = df.withColumn(column, F.when(F.col(wide).isNull(), step(text)).otherwise(text))
-    return df.withColumn(column, F.coalesce(F.col(done), text)).drop(wide, done)
+        return df.withColumn(column, narrow)
+    wide = has_wide_characters(text)
+    done = text_udf.arrow_steps(middle)(F.when(wide, text))
+    return df.withColumn(column, F.when(wide, done).otherwise(narrow))
 
 
 def clean_for_translation(df: DataFrame, column: str = "comment_text", **options) -> DataFrame:

@@ -231,8 +231,14 @@ def _collapse_once(text: str, repeats: int, pattern) -> str:
     return "".join(out)
 
 
-def arrow_steps(names: list[str], emoji_names: dict | None = None, max_repeats: int = 2):
-    """One pandas UDF that runs the named steps in order; null stays null."""
+def arrow_steps(
+    names: list[str], emoji_names: dict | None = None, max_repeats: int = 2, once: bool = False
+):
+    """One pandas UDF that runs the named steps in order; null stays null.
+
+    ``once`` keeps Catalyst from copying an expensive run of steps into a filter
+    on its result and thereby evaluating it twice.
+    """
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
@@ -253,4 +259,4 @@ def arrow_steps(names: list[str], emoji_names: dict | None = None, max_repeats:
 
         return column.map(one, na_action="ignore")
 
-    return run
+    return run.asNondeterministic() if once else run

@@ -81,14 +81,12 @@ def describe(df: DataFrame, columns: list[str], by: list[str] = []) -> DataFrame
     Quartiles are exact order statistics: distinct values are counted and their
     running counts looked up, so no task ever holds all values of a group.
     """
-    group = by or ["__all"]
-    df = df if by else df.withColumn("__all", F.lit(0))
-    return reduce(DataFrame.unionByName, [_describe_one(df, c, group, by) for c in columns])
-
-
-def _describe_one(df: DataFrame, column: str, group: list[str], by: list[str]) -> DataFrame:
-    values = df.select(*group, F.col(column).cast("double").alias("v"))
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns
+    ]
+    values = df.select(*by, F.inline(F.array(*cells)))
     values = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    group = [*by, "column_name"]
     stats = values.groupBy(*group).agg(
         F.count("*").alias("n"),
         F.avg("v").alias("mean"),
@@ -115,8 +113,7 @@ def _describe_one(df: DataFrame, column: str, group: list[str], by: list[str]) -
         return (low + (high - low) * (exact - F.floor(exact))).alias(name)
 
     return stats.join(ends, group).select(
-        *by,
-        F.lit(column).alias("column_name"),
+        *group,
         "n",
         "mean",
         "std",

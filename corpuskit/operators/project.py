@@ -83,10 +83,14 @@ def stratum(toxicity: list[str] = LABELS, identities: list[str] = IDENTITIES) ->
     return F.concat(F.when(any_set(toxicity), "toxic_").otherwise("clean_"), side)
 
 
+def plain_condition(max_words: int = 400, word: str = "wikipedia", text: str = "comment_text") -> Column:
+    mentions = F.coalesce(F.lower(text).contains(word.lower()), F.lit(False))
+    return (F.col("comment_length") <= max_words) & ~mentions
+
+
 def plain_filter(df: DataFrame, max_words: int = 400, word: str = "wikipedia", text: str = "comment_text") -> DataFrame:
     """Short comments that do not mention ``word``; missing text mentions nothing."""
-    mentions = F.coalesce(F.lower(text).contains(word.lower()), F.lit(False))
-    return df.where((F.col("comment_length") <= max_words) & ~mentions)
+    return df.where(plain_condition(max_words, word, text))
 
 
 def seed_keep(df: DataFrame, out: str = "keep") -> DataFrame:

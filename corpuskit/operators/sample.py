@@ -44,7 +44,8 @@ def peek(df: DataFrame, n: int = 10, seed: int = 0, row_id: str = "id") -> DataF
     return sample_n(df, n, seed, row_id, strict=False)
 
 
-def _identity_draws(df, categories, n, row_id, rule, max_words):
+def identity_draws(df, categories, n, row_id, rule, max_words=400) -> dict[str, Draw]:
+    """Per identity: short rows under ``rule``, fewest identities first, then by id."""
     token = order_token(df, ["category_count", row_id])
     short = F.col("comment_length") <= max_words
     share = n // len(categories)
@@ -58,7 +59,7 @@ def select_by_identity(
 
     A row may be picked for several identities, so the result can hold fewer than ``n`` rows.
     """
-    return df.where(take_first(df, _identity_draws(df, categories, n, row_id, F.lit(True), max_words)))
+    return df.where(take_first(df, identity_draws(df, categories, n, row_id, F.lit(True), max_words)))
 
 
 class QuotaRule(NamedTuple):
@@ -120,37 +121,31 @@ def apply_quota_rules(
     Rules for different label counts never compete for a row, so they form
     independent chains that advance together: one small job per step instead of
     one per rule.  What a rule took is remembered as its cut-off, so the result
-    is a single filter on the table and nothing is stored in between.
+    is a single projection of the table; only narrow open rows are cached on the way.
     """
     columns = [row_id, "keep", "label_count", "category_count", *dict.fromkeys(r.category for r in rules)]
-    narrow = df.select(*dict.fromkeys(columns)).where("keep = 0").persist()
+    open_rows = df.select(*dict.fromkeys(columns)).where("keep = 0 AND label_count > 0").persist()
     chains: dict[int, list[tuple[int, QuotaRule]]] = {}
     for number, rule in enumerate(rules):
         chains.setdefault(rule.label_count, []).append((number, rule))
-    taken: dict[int, list[Column]] = {k: [] for k in chains}
-    try:
-        for step in range(max(map(len, chains.values()), default=0)):
-            draws, open_draws = {}, {}
-            for label_count, chain in chains.items():
-                if step < len(chain):
-                    number, rule = chain[step]
-                    draw = _rule_draw(rule, f"{seed}-{number}", row_id)
-                    free = draw.rule
-                    for earlier in taken[label_count]:
-                        free = free & ~earlier
-                    name = str(label_count)
-                    draws[name] = draw
-                    open_draws[name] = draw._replace(rule=free)
-            last = cutoffs(narrow, open_draws)
-            for name, draw in draws.items():
-                if last[name] is not None:
-                    taken[int(name)].append(chosen({name: draw}, last))
-    finally:
-        narrow.unpersist()
+    taken: list[Column] = []
+    for step in range(max(map(len, chains.values()), default=0)):
+        draws = {}
+        for label_count, chain in chains.items():
+            if step < len(chain):
+                number, rule = chain[step]
+                draws[str(label_count)] = _rule_draw(rule, f"{seed}-{number}", row_id)
+        now = chosen(draws, cutoffs(open_rows, draws))
+        taken.append(now)
+        # the next step starts from the rows that are still open
+        previous, open_rows = open_rows, open_rows.where(~now).persist()
+        if step % 5 == 4:
+            open_rows.count()
+            previous.unpersist()
+    open_rows.unpersist()
     keep = F.col("keep") == 1
-    for columns_taken in taken.values():
-        for condition in columns_taken:
-            keep = keep | condition
+    for condition in taken:
+        keep = keep | condition
     return df.withColumn("keep", F.when(keep, 1).otherwise(0))
 
 
@@ -245,7 +240,7 @@ def balance_binary(
         draws["neg"] = Draw(negative, key, n)
         return df.where(take_first(df, draws))
     wanted = int(n * identity_fraction)
-    picks = _identity_draws(df, identity_categories, wanted, row_id, negative, 400)
+    picks = identity_draws(df, identity_categories, wanted, row_id, negative)
     picked = take_first(df, picks)
     random_n = n - wanted
     if top_up:

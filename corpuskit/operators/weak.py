@@ -29,12 +29,36 @@ def _escape(word: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+?^$|&~#-])", r"\\\1", word)
 
 
+def alternation(parts: list[str]) -> str:
+    """One regex that finds any of the parts.
+
+    Parts are grouped by their first character, and word boundaries are tested
+    only where such a character follows: most positions of a text are dismissed
+    by a few character comparisons.
+    """
+    inner: dict[str, list[str]] = {}
+    bounded: dict[str, list[str]] = {}
+    rest = []
+    for part in dict.fromkeys(parts):
+        body = part.removeprefix(r"\b")
+        groups = inner if body == part else bounded
+        if re.match(r"\w(?![?*+{])", body) and "|" not in body:
+            groups.setdefault(body[0], []).append(body[1:])
+        else:
+            rest.append(f"(?:{part})")
+    join = lambda groups: "|".join(f"{c}(?:{'|'.join(tails)})" for c, tails in groups.items())
+    out = [join(inner)] if inner else []
+    if bounded:
+        out.append(f"(?=[{''.join(bounded)}])\\b(?:{join(bounded)})")
+    return "|".join(out + rest)
+
+
 def contains_vocab(text: Column, words: list[str] = (), patterns: list[str] = ()) -> Column:
     """1 if the lower-cased text contains a word anywhere or matches a pattern."""
-    parts = [_escape(w) for w in dict.fromkeys(words)] + [f"(?:{p})" for p in dict.fromkeys(patterns)]
+    parts = [_escape(w) for w in words] + list(patterns)
     if not parts:
         return F.lit(0)
-    return F.when(F.lower(text).rlike("(?U)(?d)" + "|".join(parts)), 1).otherwise(0)
+    return F.when(F.lower(text).rlike("(?U)(?d)" + alternation(parts)), 1).otherwise(0)
 
 
 def rule_label(text: Column, label: str, lexicon=UKRAINIAN) -> Column:

@@ -17,7 +17,7 @@ from corpuskit.operators import batch, evaluate, profile, project, sample, score
 from corpuskit.plans import fixtures as fx
 from corpuskit.plans import jobs
 from corpuskit.schema import DEFAULT_THRESHOLDS, IDENTITIES, LABEL_NAMES_UK, LABELS, WEAK_LABELS
-from corpuskit.session import scratch_path
+from corpuskit.session import freeze, scratch_path, spread
 from corpuskit.sources import tables
 from corpuskit.streaming import scoring
 
@@ -252,7 +252,7 @@ def _(spark, d):
 
 @query("clean_tags", f"SELECT page_id, {_TAG_SQL.format('html')} AS cleaned FROM pages")
 def _(spark, d):
-    return _cleaned(fx.table(spark, d, "pages"), text.remove_tags(F.col("html")), "page_id")
+    return _cleaned(spread(fx.table(spark, d, "pages"), "page_id"), text.remove_tags(F.col("html")), "page_id")
 
 
 @query("clean_repetitions", _REPETITION_CTE.format("text", "documents"))
@@ -814,7 +814,7 @@ LAST = f"k{len(SCALED_RULES)}"
 
 @query("quota_rules", C + QUOTA_SQL + f" SELECT id, keep FROM {LAST}")
 def _(spark, d):
-    rows = project.seed_keep(fx.comments(spark, d).where("label_count > 0"))
+    rows = project.seed_keep(freeze(fx.comments(spark, d).drop("comment_text").where("label_count > 0")))
     return sample.apply_quota_rules(rows, SCALED_RULES).select("id", "keep")
 
 
@@ -1343,7 +1343,8 @@ _CORPUS_SQL = (
 
 
 def _corpus(spark, d):
-    return jobs.sample_corpus(fx.comments(spark, d), 100, 45, SCALED_RULES, strict=False)
+    """Sampling reads its corpus dozens of times, so it starts from a stored stage, not from a view."""
+    return jobs.sample_corpus(freeze(fx.comments(spark, d)), 100, 45, SCALED_RULES, strict=False)
 
 
 @query("job_sample_corpus", _CORPUS_SQL + " SELECT id, label_count, category_count FROM cc")

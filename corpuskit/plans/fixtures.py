@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions.text import word_count
 from corpuskit.operators.project import row_count
 from corpuskit.schema import IDENTITIES, LABELS
+from corpuskit.session import spread
 
 # --- Fixed values: a label column is set where the id is a multiple of this ---
 MULTIPLES = {
@@ -41,7 +42,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def comments(spark, folder, text: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ from corpuskit.operators.project import (
     drop_null_text,
     drop_unlabelled,
     keep_only,
-    plain_filter,
+    plain_condition,
     row_count,
     seed_keep,
     segment,
@@ -92,13 +92,15 @@ def sample_corpus(
     The sample is frozen: it is small next to the corpus, and later stages must
     not carry the long draw conditions in their plans.
     """
-    toxic = seed_keep(df.where("label_count > 0"))
-    toxic = sample.apply_quota_rules(toxic, rules, seed).where("keep = 1").drop("keep")
-    plain = plain_filter(df.where("label_count = 0 AND category_count = 0"))
-    plain = sample.sample_n(plain, n_plain, seed, strict=strict)
-    clean = df.where("label_count = 0 AND category_count > 0")
-    clean = sample.select_by_identity(clean, identities, n_identity)
-    return freeze(setops.union_missing(toxic, plain, clean))
+    toxic, identity = F.col("label_count") > 0, F.col("category_count") > 0
+    kept = sample.apply_quota_rules(seed_keep(df).withColumn("keep", F.when(toxic, F.col("keep")).otherwise(0)), rules, seed)
+    eligible = ~toxic & ~identity & plain_condition()
+    if strict and df.where(eligible).count() < n_plain:
+        raise ValueError(f"fewer than {n_plain} eligible plain rows")
+    plain = sample.take_first(df, {"plain": sample.Draw(eligible, sample.draw_key("id", seed), n_plain)})
+    clean = sample.take_first(df, sample.identity_draws(df, identities, n_identity, "id", ~toxic & identity))
+    # one filter over one scan; three unioned branches would scan the corpus three times
+    return freeze(kept.where((toxic & (F.col("keep") == 1)) | plain | clean).drop("keep"))
 
 
 def flag_corpus_split(df: DataFrame, test_size: float = 0.1, seed: int = 42) -> DataFrame:
