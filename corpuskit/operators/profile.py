@@ -128,11 +128,13 @@ def describe(df: DataFrame, columns: list[str], by: list[str] = []) -> DataFrame
 def label_correlation(df: DataFrame, columns: list[str] = LABELS) -> DataFrame:
     """Pearson correlation of every pair; null where a column is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    values = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    values = df.agg(
+        *[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs],
+        *[F.stddev_pop(c).alias(f"sd|{c}") for c in columns],
+    )
     cells = []
     for a, b in pairs:
-        r = F.col(f"`{a}|{b}`")
-        r = F.when(~F.isnan(r), r)
+        r = F.try_divide(F.col(f"`{a}|{b}`"), F.col(f"`sd|{a}`") * F.col(f"`sd|{b}`"))
         cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
         if a != b:
             cells.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("r")))
