@@ -27,6 +27,9 @@ WIKI_INDENT = r"^:+"
 USER_REMNANT = r"\S+\[USER\]\S*\.\w+"
 # ------------------------------------------------------------------------------
 
+# A look-ahead in front of a pattern names the characters it can start with, so
+# nearly all positions of a text are dismissed by one comparison.
+
 # Java does not count U+001C..U+001F as white space, Python does
 _SPACE = r"[\s\x1c-\x1f]"
 _NOT_SPACE = r"[^\s\x1c-\x1f]"
@@ -35,13 +38,19 @@ _WIKI_FLAGS = "(?iumdU)"
 
 def remove_wiki_elements(text: Column) -> Column:
     """IPs, signature timestamps, templates, links and leading colons become one space."""
-    for pattern in (WIKI_IP, WIKI_SIGNATURE, WIKI_TEMPLATE, WIKI_LINK, WIKI_INDENT):
-        text = F.regexp_replace(text, _WIKI_FLAGS + pattern, " ")
+    for start, pattern in (
+        (r"(?=\d)", WIKI_IP),
+        (r"(?=\d)", WIKI_SIGNATURE),
+        ("", WIKI_TEMPLATE),
+        ("", WIKI_LINK),
+        ("(?=:)", WIKI_INDENT),
+    ):
+        text = F.regexp_replace(text, _WIKI_FLAGS + start + pattern, " ")
     return text
 
 
 def handle_mentions(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)" + MENTION, "[USER]")
+    return F.regexp_replace(text, "(?U)(?=@)" + MENTION, "[USER]")
 
 
 def remove_hashtags(text: Column) -> Column:
@@ -58,13 +67,15 @@ def reduce_repetitions(text: Column) -> Column:
 
 
 def _replace_emails(text: Column) -> Column:
-    # an address always takes its whole token, so only token starts need trying:
-    # without the look-behind every offset of every token is scanned to its end
-    return F.regexp_replace(text, r"(?U)(?<!\S)" + EMAIL, "[EMAIL]")
+    # an address always takes its whole token, so only token starts need trying, and
+    # most texts have no address at all; the guard reads its input no extra time, as
+    # Spark evaluates an expression shared by a condition and its branches once
+    replaced = F.regexp_replace(text, r"(?U)(?<!\S)" + EMAIL, "[EMAIL]")
+    return F.when(text.contains("@"), replaced).otherwise(text)
 
 
 def _replace_urls(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)" + URL, "[URL]")
+    return F.regexp_replace(text, f"(?U)(?=[hw])(?:{URL})", "[URL]")
 
 
 def handle_urls_emails(text: Column) -> Column:
@@ -72,7 +83,7 @@ def handle_urls_emails(text: Column) -> Column:
 
 
 def handle_phone_numbers(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)" + PHONE, "[PHONE]")
+    return F.regexp_replace(text, r"(?U)(?=[+(\d])" + PHONE, "[PHONE]")
 
 
 def remove_newlines_and_whitespace(text: Column) -> Column:

@@ -2,7 +2,6 @@
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,6 @@ EMOJI_BLOCKS = [
 VARIATION_SELECTOR = "\ufe0f"
 
 
-@lru_cache(maxsize=1)
 def default_emoji_names() -> dict:
     """Emoji to name, derived from the Unicode character names."""
     names = {}
@@ -44,10 +42,16 @@ def default_emoji_names() -> dict:
 
 def emoji_replacer(names: dict | None):
     names = default_emoji_names() if names is None else names
-    longest_first = sorted(names, key=len, reverse=True)
-    if not longest_first:
+    if not names:
         return lambda text: text
-    pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")" + VARIATION_SELECTOR + "?")
+    chars = lambda keys: "[" + "".join(map(re.escape, sorted(keys))) + "]"
+    sequences = sorted((k for k in names if len(k) > 1), key=len, reverse=True)
+    parts = list(map(re.escape, sequences))
+    singles = [k for k in names if len(k) == 1]
+    parts += [chars(singles)] if singles else []
+    # the look-ahead dismisses ordinary characters with one set lookup
+    start = f"(?={chars({k[0] for k in names})})"
+    pattern = re.compile(start + "(" + "|".join(parts) + ")" + VARIATION_SELECTOR + "?")
     return lambda text: pattern.sub(lambda m: f":{names[m.group(1)]}:", text)
 
 

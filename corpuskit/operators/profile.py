@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuskit.operators.ordering import running_sums
 from corpuskit.operators.project import any_set, total
 from corpuskit.schema import IDENTITIES, LABELS, PRIMARY_LABEL
+from corpuskit.session import freeze
 
 
 def _rows(df: DataFrame, *structs: Column) -> DataFrame:
@@ -87,14 +88,16 @@ def describe(df: DataFrame, columns: list[str], by: list[str] = []) -> DataFrame
     values = df.select(*by, F.inline(F.array(*cells)))
     values = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
     group = [*by, "column_name"]
-    stats = values.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
+    # one pass over the table; everything below works on distinct values
+    counted = freeze(values.groupBy(*group, "v").agg(F.count("*").alias("rows")))
+    n, weighted = F.sum("rows"), F.sum(F.col("v") * F.col("rows"))
+    stats = counted.groupBy(*group).agg(
+        n.alias("n"), (weighted / n).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")
     )
-    counted = values.groupBy(*group, "v").agg(F.count("*").alias("rows"))
+    spread = F.sum(F.col("rows") * (F.col("v") - F.col("mean")) ** 2)
+    spread = counted.join(stats.select(*group, "mean"), group).groupBy(*group).agg(spread.alias("m2"))
+    deviation = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    stats = stats.join(spread, group).withColumn("std", deviation)
     placed = running_sums(counted, group, "v", ["rows"]).join(stats.select(*group, "n"), group)
 
     def at(position):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import text
 from corpuskit.functions.lexicon import UKRAINIAN
 from corpuskit.operators import batch, evaluate, profile, project, sample, score, setops, train, weak
+from corpuskit.operators.batch import TRANSLATION_PROMPT
 from corpuskit.plans import fixtures as fx
 from corpuskit.plans import jobs
 from corpuskit.schema import DEFAULT_THRESHOLDS, IDENTITIES, LABEL_NAMES_UK, LABELS, WEAK_LABELS
@@ -1015,7 +1016,7 @@ def _(spark, d):
 
 def upper_service(request: str) -> str:
     """A stand-in translator: answers every requested line in lower case."""
-    lines = request.split(batch.TRANSLATION_PROMPT, 1)[1].split("\nid: ")
+    lines = request.split(TRANSLATION_PROMPT, 1)[1].split("\nid: ")
     answer = []
     for line in lines:
         row_id, body = line.removeprefix("id: ").split(", text: '", 1)
