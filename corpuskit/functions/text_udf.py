@@ -40,17 +40,28 @@ def default_emoji_names() -> dict:
     return names
 
 
+def _char_class(chars: list[str]) -> str:
+    """A regex set of the characters, written as ranges of neighbours."""
+    ranges = []
+    for code in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]"
+
+
 def emoji_replacer(names: dict | None):
     names = default_emoji_names() if names is None else names
     if not names:
         return lambda text: text
-    chars = lambda keys: "[" + "".join(map(re.escape, sorted(keys))) + "]"
     sequences = sorted((k for k in names if len(k) > 1), key=len, reverse=True)
     parts = list(map(re.escape, sequences))
     singles = [k for k in names if len(k) == 1]
-    parts += [chars(singles)] if singles else []
-    # the look-ahead dismisses ordinary characters with one set lookup
-    start = f"(?={chars({k[0] for k in names})})"
+    parts += [_char_class(singles)] if singles else []
+    # the look-ahead dismisses ordinary characters with very few comparisons
+    low = {k[0] for k in names if k[0] < "\u2000"}
+    start = f"(?=[{''.join(map(re.escape, sorted(low)))}\u2000-\U0010ffff])"
     pattern = re.compile(start + "(" + "|".join(parts) + ")" + VARIATION_SELECTOR + "?")
     return lambda text: pattern.sub(lambda m: f":{names[m.group(1)]}:", text)
 
