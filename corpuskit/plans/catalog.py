@@ -17,7 +17,7 @@ from corpuskit.operators import batch, evaluate, profile, project, sample, score
 from corpuskit.operators.batch import TRANSLATION_PROMPT
 from corpuskit.plans import fixtures as fx
 from corpuskit.plans import jobs
-from corpuskit.schema import DEFAULT_THRESHOLDS, IDENTITIES, LABEL_NAMES_UK, LABELS, WEAK_LABELS
+from corpuskit.schema import DEFAULT_THRESHOLDS, IDENTITIES, LABEL_NAMES_UK, LABELS, TOXIC_TEXTS
 from corpuskit.session import freeze, scratch_path, spread
 from corpuskit.sources import tables
 from corpuskit.streaming import scoring
@@ -66,8 +66,6 @@ def _(spark, d):
 
 @query("write_csv_roundtrip", "SELECT CAST(doc_id AS VARCHAR) AS id, text AS comment_text FROM documents")
 def _(spark, d):
-    from corpuskit.schema import TOXIC_TEXTS
-
     rows = fx.documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("comment_text"))
     path = scratch_path(spark, "roundtrip") + ".csv"
     tables.write_table(rows, path)
@@ -774,7 +772,7 @@ def _identity_sql(n: int, where: str = "TRUE") -> str:
 
 @query("identity_topk", C + f"SELECT id FROM ({_identity_sql(90)})")
 def _(spark, d):
-    return sample.select_by_identity(fx.comments(spark, d), n=90).select("id")
+    return sample.select_by_identity(freeze(fx.comments(spark, d).drop("comment_text")), n=90).select("id")
 
 
 @query(
@@ -895,8 +893,9 @@ _BALANCE_IDENTITY = (
     "balance_identity", C + _BALANCE_IDENTITY + " SELECT id, toxic FROM comments WHERE id IN (SELECT id FROM chosen)"
 )
 def _(spark, d):
+    rows = freeze(fx.comments(spark, d).drop("comment_text"))
     balanced = sample.balance_binary(
-        fx.comments(spark, d), identity_categories=IDENTITIES, identity_fraction=0.5
+        rows, identity_categories=IDENTITIES, identity_fraction=0.5
     )
     return balanced.select("id", "toxic")
 

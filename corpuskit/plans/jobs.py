@@ -152,7 +152,8 @@ def finalize_translated(
     rows = drop_null_text(setops.in_source(translated, source), "translated")
     rows = setops.dedup_first(rows, "translated", ["id"])
     rows = setops.join_on_id(rows, source)
-    rows = rows.withColumns({c: scrub_pii(F.col(c)) for c in ("translated", "comment_text")})
+    # balancing reads the table several times; dedup, join and scrubbing must run once
+    rows = freeze(rows.withColumns({c: scrub_pii(F.col(c)) for c in ("translated", "comment_text")}))
     balanced = sample.balance_binary(
         rows, "toxic", seed=seed, identity_categories=identities, identity_fraction=0.5
     )

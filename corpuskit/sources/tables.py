@@ -1,13 +1,12 @@
 """Reading and writing stage tables."""
 
-import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.operators.ordering import with_position
-from corpuskit.session import scratch_path
 
 # comments hold line breaks and doubled quotes
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -62,27 +61,19 @@ def rewrite_stage(df: DataFrame, path: str) -> DataFrame:
     switch is done, so the input is never overwritten while it is being read.
     """
     spark = df.sparkSession
-    target, files = _hadoop_path(spark, path)
-    parent = posixpath.dirname(path.rstrip("/"))
-    fresh, _ = _hadoop_path(spark, scratch_path_beside(path, "new"))
-    old, _ = _hadoop_path(spark, scratch_path_beside(path, "old"))
-    write_table(df, fresh.toString() + (".csv" if path.endswith(".csv") else ""))
-    written, _ = _hadoop_path(spark, fresh.toString() + (".csv" if path.endswith(".csv") else ""))
-    files.mkdirs(_hadoop_path(spark, parent)[0])
-    if files.exists(target):
+    base, suffix = path.rstrip("/"), ".csv" if path.rstrip("/").endswith(".csv") else ""
+    fresh = f"{base}.new-{uuid.uuid4().hex}{suffix}"
+    write_table(df, fresh)
+    target, files = _hadoop_path(spark, base)
+    written, _ = _hadoop_path(spark, fresh)
+    old, _ = _hadoop_path(spark, f"{base}.old-{uuid.uuid4().hex}")
+    replaced = files.exists(target)
+    if replaced:
         files.rename(target, old)
     if not files.rename(written, target):
-        files.rename(old, target)
+        if replaced:
+            files.rename(old, target)
         raise OSError(f"could not switch {path} to its new version")
-    files.delete(old, True)
+    if replaced:
+        files.delete(old, True)
     return read_comments(spark, path, df.schema)
-
-
-def scratch_path_beside(path: str, tag: str) -> str:
-    import uuid
-
-    return f"{path.rstrip('/')}.{tag}-{uuid.uuid4().hex}"
-
-
-def table_scratch(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, name)
