@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import packing
+from corpuskit.llm import packing, simhash
 from corpuskit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,9 @@ def query(name: str, sql: str | None = None):
 def op2(spark, d):
     packed = packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op7_simhash")
+def op7(spark, d):
+    found = simhash.near_duplicates(table(spark, d, "documents"), shingle=3, max_bits=2)
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
