@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import packing, simhash
+from corpuskit.llm import packing, simhash, suffixes
 from corpuskit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op2(spark, d):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op4_suffix_dedup")
+def op4(spark, d):
+    return suffixes.repeated_spans(table(spark, d, "documents"), length=50)
+
+
 @query("op7_simhash")
 def op7(spark, d):
     found = simhash.near_duplicates(table(spark, d, "documents"), shingle=3, max_bits=2)
