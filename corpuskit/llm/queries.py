@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import packing, simhash, suffixes
-from corpuskit.llm.common import table
+from corpuskit.llm import language_id, packing, simhash, suffixes
+from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_language_id")
+def op1(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = crc_remainder("doc_id", 5) == 0
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @query("op2_best_fit_packing")
 def op2(spark, d):
     packed = packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
