@@ -76,15 +76,15 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
 
 
 class Block:
-    """Some documents: ids, which of them are null, their bytes in one array with a gap after
+    """Some documents: ids, which of them are null, which texts are missing, their bytes in one array with a gap after
     each, starts and lengths; ``rest`` holds their other columns, unread."""
 
-    def __init__(self, ids: np.ndarray, values: list[bytes], null: np.ndarray, rest: bytes = b""):
-        self.ids, self.null, self.rest = ids, null, rest
+    def __init__(self, ids: np.ndarray, values: list[bytes], null: np.ndarray, missing: np.ndarray, rest: bytes = b""):
+        self.ids, self.null, self.missing, self.rest = ids, null, missing, rest
         self.bytes, self.starts, self.lengths = joined(values, 64)
 
     def dump(self) -> bytes:
-        head = pack_arrays(self.ids, self.null.astype(np.uint8), self.lengths, np.frombuffer(self.rest, np.uint8))
+        head = pack_arrays(self.ids, self.null.astype(np.uint8), self.missing.astype(np.uint8), self.lengths, np.frombuffer(self.rest, np.uint8))
         text = b"".join(self.bytes[s : s + n].tobytes() for s, n in zip(self.starts, self.lengths))
         body = zstandard.ZstdCompressor(level=1).compress(text)
         return np.array([len(head)], "<i8").tobytes() + head + body
@@ -92,11 +92,11 @@ class Block:
     @classmethod
     def load(cls, data: bytes) -> "Block":
         size = int(np.frombuffer(data, "<i8", 1)[0])
-        ids, null, lengths, rest = unpack_arrays(data[8 : 8 + size])
+        ids, null, missing, lengths, rest = unpack_arrays(data[8 : 8 + size])
         text = zstandard.ZstdDecompressor().decompress(data[8 + size :], max_output_size=int(lengths.sum()) + 1)
         ends = np.cumsum(lengths)
         values = [text[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
-        return cls(ids, values, null.astype(bool), rest.tobytes())
+        return cls(ids, values, null.astype(bool), missing.astype(bool), rest.tobytes())
 
 
 # ------------------------------------------------------------------- names ---
@@ -230,7 +230,9 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
             ids = whole.column(0).to_pylist()
             null = np.array([i is None for i in ids], bool)
             values = [v for part in whole.column(1).chunks for v in binary_values(part)]
-            block = Block(np.array([NO_ID if i is None else i for i in ids], np.int64), values, null, _dump_rest(whole))
+            missing = whole.column(1).is_null().to_numpy()
+            numbers = np.array([NO_ID if i is None else i for i in ids], np.int64)
+            block = Block(numbers, values, null, missing, _dump_rest(whole))
             return batch_of(_BLOCK, [[number], [block.dump()]])
 
         for batch in batches:
@@ -477,6 +479,9 @@ def without_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 2
             texts, ids = [], []
             for row, start, n in zip(remove(blocks.slice(i, 1), replies), block.starts.tolist(), block.lengths.tolist()):
                 ids.append(row[0])
+                if n == 0 and block.missing[len(texts)]:
+                    texts.append(None)
+                    continue
                 data = block.bytes[start : start + n]
                 texts.append((data[~row[5]] if row[2] else data).tobytes().decode("utf-8", "ignore"))
             columns = [pa.array(ids, pa.int64()), pa.array(texts, pa.string())]

@@ -73,6 +73,6 @@ def test_kept_texts_keep_columns(spark, tmp_path):
     out = suffixes.without_repeats(docs)
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.data, r.block) for r in out.collect()}
-    assert got == {5: ("x ", "en", 1), 2: (text + " y", None, None), 9: ("", "en", 3), 7: ("short", "de", 4)}
+    assert got == {5: ("x ", "en", 1), 2: (text + " y", None, None), 9: (None, "en", 3), 7: ("short", "de", 4)}
     empty = docs.limit(0)
     assert suffixes.without_repeats(empty).collect() == [] and suffixes.repeated_spans(empty).collect() == []
