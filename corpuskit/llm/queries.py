@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import language_id, packing, simhash, suffixes
+from corpuskit.llm import byte_bpe, language_id, packing, simhash, suffixes
 from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,12 @@ def op4(spark, d):
     return suffixes.repeated_spans(table(spark, d, "documents"), length=50)
 
 
+@query("op6_byte_bpe")
+def op6(spark, d):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op7_simhash")
 def op7(spark, d):
     found = simhash.near_duplicates(table(spark, d, "documents"), shingle=3, max_bits=2)
