@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import byte_bpe, language_id, packing, simhash, suffixes
+from corpuskit.llm import byte_bpe, language_id, packing, simhash, suffixes, url_filter
 from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,38 @@ def op6(spark, d):
 def op7(spark, d):
     found = simhash.near_duplicates(table(spark, d, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+# --- Fixed values: the rules of the URL query ---
+OP8_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+OP8_SQL = """
+WITH parts AS (
+  SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)://(.*)', 1) AS rest FROM pages),
+split AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits AS (
+  SELECT page_id, h || p AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) AS place
+  FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT s.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM split s LEFT JOIN fits f ON s.page_id = f.page_id AND place = 1
+"""
+
+
+@query("op8_url_filter", OP8_SQL)
+def op8(spark, d):
+    rules = spark.createDataFrame(OP8_RULES, url_filter.RULES)
+    judged = url_filter.judge(table(spark, d, "pages").select("page_id", "url"), rules, default="allow")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
