@@ -67,6 +67,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+WINDOW = 16  # bytes under one window hash
+
+
+def _words(data: np.ndarray, count: int) -> np.ndarray:
+    """The eight bytes at each of the first ``count`` positions, as numbers."""
+    out = np.empty(count, np.uint64)
+    for shift in range(8):
+        some = (count - shift + 7) // 8
+        if some > 0:
+            out[shift::8] = np.frombuffer(data[shift : shift + 8 * some].tobytes(), "<u8")
+    return out
+
+
+def window_hashes(data: np.ndarray, count: int) -> np.ndarray:
+    """64-bit hashes of the 16 bytes at each of ``count`` positions; 15 more bytes must follow the last."""
+    words = _words(data, count + 8)
+    left = words[:count] * np.uint64(0x9FB21C651E98DF25)
+    left ^= left >> np.uint64(35)
+    left += words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix(left)
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import byte_bpe, language_id, packing, simhash, suffixes, url_filter
+from corpuskit.llm import byte_bpe, fingerprints, language_id, packing, simhash, suffixes, url_filter
 from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op4(spark, d):
     return suffixes.repeated_spans(table(spark, d, "documents"), length=50)
 
 
+@query("op5_fingerprints")
+def op5(spark, d):
+    return fingerprints.half_edits(table(spark, d, "documents"), fraction=fingerprints.FRACTION)
+
+
 @query("op6_byte_bpe")
 def op6(spark, d):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -32,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import batch_of, binary_values, by_bytes, joined, mix
+from corpuskit.llm.common import WINDOW, batch_of, binary_values, by_bytes, joined, mix, window_hashes
 from corpuskit.session import freeze, scratch_path
 
-FIRST = 16  # bytes named by the first rank
+FIRST = WINDOW  # bytes named by the first rank
 CHUNK = 1 << 20  # bytes that are named together; keeps the working arrays small
 NO_ID = np.iinfo(np.int64).max  # a null id is larger than every other
 
@@ -100,25 +100,6 @@ class Block:
 
 
 # ------------------------------------------------------------------- names ---
-def _words(data: np.ndarray, count: int) -> np.ndarray:
-    """The eight bytes at each of the first ``count`` positions, as numbers."""
-    out = np.empty(count, np.uint64)
-    for shift in range(8):
-        some = (count - shift + 7) // 8
-        if some > 0:
-            out[shift::8] = np.frombuffer(data[shift : shift + 8 * some].tobytes(), "<u8")
-    return out
-
-
-def first_names(data: np.ndarray, count: int) -> np.ndarray:
-    """Names of the 16 bytes at each of ``count`` positions."""
-    words = _words(data, count + 8)
-    left = words[:count] * np.uint64(0x9FB21C651E98DF25)
-    left ^= left >> np.uint64(35)
-    left += words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mix(left)
-
-
 def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0xFF51AFD7ED558CCD) + (right ^ (right >> np.uint64(31))))
 
@@ -144,7 +125,7 @@ def runs_of(block: Block, length: int):
     for a, b in by_bytes(extents, CHUNK):
         some = pieces[a:b]
         begin, end = some[0][1], some[-1][1] + some[-1][2] + length - 1
-        names = first_names(block.bytes[begin:], end - begin - FIRST + 1)
+        names = window_hashes(block.bytes[begin:], end - begin - FIRST + 1)
         keys = (names & ~low) | (np.arange(len(names), dtype=np.uint64) & low)
         least, span = keys, 1
         while 2 * span <= width:
