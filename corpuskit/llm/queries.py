@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import byte_bpe, fingerprints, language_id, packing, simhash, suffixes, url_filter
+from corpuskit.llm import byte_bpe, fingerprints, language_id, lattice_lm, packing, simhash, suffixes, url_filter
 from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,12 @@ def op8(spark, d):
     rules = spark.createDataFrame(OP8_RULES, url_filter.RULES)
     judged = url_filter.judge(table(spark, d, "pages").select("page_id", "url"), rules, default="allow")
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_lattice_lm")
+def op9(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = crc_remainder("doc_id", 7) == 2
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    found = lattice_lm.score(docs.select("doc_id", "text"), ~held_out, vocabulary)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
