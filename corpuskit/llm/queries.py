@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import byte_bpe, fingerprints, language_id, lattice_lm, packing, simhash, suffixes, url_filter
+from corpuskit.llm import byte_bpe, fingerprints, language_id, lattice_lm, neighbours, packing, simhash, suffixes, url_filter
 from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op2(spark, d):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op3_multiprobe_neighbours")
+def op3(spark, d):
+    return neighbours.nearest(table(spark, d, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 @query("op4_suffix_dedup")
 def op4(spark, d):
     return suffixes.repeated_spans(table(spark, d, "documents"), length=50)
