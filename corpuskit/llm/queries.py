@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import byte_bpe, fingerprints, language_id, lattice_lm, neighbours, packing, simhash, suffixes, url_filter
+from corpuskit.llm import byte_bpe, fingerprints, html_text, language_id, lattice_lm, neighbours, packing, simhash, suffixes, url_filter
 from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op9(spark, d):
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     found = lattice_lm.score(docs.select("doc_id", "text"), ~held_out, vocabulary)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op10_html_text")
+def op10(spark, d):
+    return html_text.extract(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
