@@ -12,6 +12,7 @@ savings avoid that:
 * The first round ranks sampled positions only.  Every ``length``-byte window is
   represented by the position with the smallest name in it, so equal windows have
   equal representatives, and windows whose representative is unique to a document are unique.
+  The second rank, of pairs with the name 16 bytes before or after, is formed in the same exchange.
 * Consecutive windows with one representative form a run.  A run whose whole bytes occur in
   a smaller document is settled at once.  Only the smallest document of each distinct run
   goes on to the later rounds, and only where other runs share its representative.
@@ -33,19 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm.common import WINDOW, batch_of, binary_values, by_bytes, joined, mix, window_hashes
-from corpuskit.session import freeze, scratch_path
 
 FIRST = WINDOW  # bytes named by the first rank
-CHUNK = 1 << 20  # bytes that are named together; keeps the working arrays small
+CHUNK = 1 << 19  # bytes that are named together; keeps the working arrays small
 NO_ID = np.iinfo(np.int64).max  # a null id is larger than every other
 
 BLOCK = "block long, data binary"
-ROWS = "bin int, block long, kind int, data binary"
+ROWS = "bin long, block long, kind int, data binary"
 REPLY = "block long, kind int, data binary"
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 _BLOCK = pa.schema([("block", pa.int64()), ("data", pa.binary())])
-_ROWS = pa.schema([("bin", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+_ROWS = pa.schema([("bin", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 _REPLY = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 _SPANS = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -65,7 +65,7 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
 def unpack_arrays(data: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     count, place, arrays = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
-    kinds = {np.dtype(k).num: np.dtype(k) for k in ("u1", "i4", "i8", "u8")}
+    kinds = {np.dtype(k).num: np.dtype(k) for k in ("u1", "u2", "i4", "i8", "u8")}
     for _ in range(count):
         number, rows = np.frombuffer(raw, "<i8", 2, place)
         kind, rows = kinds[int(number)], int(rows)
@@ -104,15 +104,20 @@ def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0xFF51AFD7ED558CCD) + (right ^ (right >> np.uint64(31))))
 
 
+def reach(length: int) -> int:
+    """How far the name before or after a representative may be, so that every window holds one of them."""
+    return min(FIRST, (length - FIRST + 1) // 2)
+
+
 def runs_of(block: Block, length: int):
     """Runs of consecutive windows with one representative, over all documents of the block.
 
     Returns document index, first window, windows, representative (places in the block's
-    array) and the representative's name.  The smallest name represents a window, the leftmost of
+    array), the representative's name and short forms of the names ``reach`` before and after it.  The smallest name represents a window, the leftmost of
     equal ones; both depend on the window's bytes alone.
     """
     width = length - FIRST + 1
-    places = max(20, int(CHUNK + length).bit_length())
+    places, apart = int(CHUNK + length).bit_length(), reach(length)
     low = np.uint64((1 << places) - 1)
     found = []
     pieces = []  # (document, first window, windows)
@@ -142,10 +147,13 @@ def runs_of(block: Block, length: int):
         head = np.flatnonzero(new)
         rep = chosen[head]
         size = np.diff(np.append(head, len(windows)))
-        found.append((docs[head], windows[head] + begin, size, rep + begin, names[rep]))
+        before = (names[np.maximum(rep - apart, 0)] >> np.uint64(48)).astype(np.uint16)
+        after = (names[np.minimum(rep + apart, len(names) - 1)] >> np.uint64(48)).astype(np.uint16)
+        # least names crowd at the low end of their range; mixed once more they spread over all bins
+        found.append((docs[head], windows[head] + begin, size, rep + begin, mix(names[rep]), before, after))
     if not found:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, np.zeros(0, np.uint64)
+        empty, short = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        return empty, empty, empty, empty, np.zeros(0, np.uint64), short, short
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -154,7 +162,9 @@ class Ranked:
 
     def __init__(self, block: Block, length: int):
         self.block, self.length = block, length
-        self.doc, self.first, self.size, self.rep, name = runs_of(block, length)
+        self.doc, self.first, self.size, self.rep, name, before, after = runs_of(block, length)
+        # windows from ``split`` on hold the name after the representative, earlier ones the name before
+        self.split = np.clip(self.rep - (length - FIRST - reach(length)), self.first, self.first + self.size)
         raw, digest = memoryview(block.bytes), xxhash.xxh3_64_intdigest
         ends = self.first + self.size + length - 1
         whole = np.fromiter(
@@ -162,6 +172,11 @@ class Ranked:
             np.uint64,
             len(name),
         )
+        # a run is known by 48 bits of its name and 64 bits of its whole: 32 of all bytes, 16 of each side it has
+        name = name & ~np.uint64(0xFFFF)
+        whole &= ~np.uint64(0xFFFFFFFF)
+        whole |= np.where(self.split > self.first, before, 0).astype(np.uint64) << np.uint64(16)
+        whole |= np.where(self.split < self.first + self.size, after, 0).astype(np.uint64)
         self.id = block.ids[self.doc]
         order = np.lexsort((self.id, whole, name))
         name, whole = name[order], whole[order]
@@ -198,13 +213,13 @@ def _dump_rest(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    """Consecutive rows of a scan in blocks of about ``size`` bytes; id and text come first."""
+def _blocks(docs: DataFrame, limit: int) -> DataFrame:
+    """Consecutive rows of a scan in blocks of about ``limit`` bytes; id and text come first."""
 
     def build(batches):
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
-        waiting, total = [], 0
+        waiting, total, rows = [], 0, 0
 
         def flush():
             whole = pa.Table.from_batches(waiting).combine_chunks()
@@ -216,16 +231,17 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
             block = Block(numbers, values, null, missing, _dump_rest(whole))
             return batch_of(_BLOCK, [[number], [block.dump()]])
 
-        for batch in batches:
-            sizes = [v or 0 for v in pa.compute.binary_length(batch.column(1).cast(pa.binary())).to_pylist()]
-            for a, b in by_bytes(sizes, size):
-                some = sum(sizes[a:b])
-                if waiting and total + some > size:
+        for batch in batches:  # where blocks are cut must not depend on where batches are
+            start = 0
+            for i, size in enumerate(pa.compute.binary_length(batch.column(1).cast(pa.binary())).to_pylist()):
+                size = size or 0
+                if rows and total + size > limit:
+                    waiting.append(batch.slice(start, i - start))
                     yield flush()
-                    waiting, total, number = [], 0, number + 1
-                waiting.append(batch.slice(a, b - a))
-                total += some
-        if waiting:
+                    waiting, total, rows, number, start = [], 0, 0, number + 1, i
+                total, rows = total + size, rows + 1
+            waiting.append(batch.slice(start))
+        if rows:
             yield flush()
 
     return docs.mapInArrow(build, BLOCK)
@@ -271,26 +287,29 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def _settle_first(table: pa.Table) -> pa.Table:
-    """Per distinct run: its smallest document, and whether other runs share its representative.
+    """Per distinct run: its smallest document, and which of its sides go on to the next rank.
 
-    Answers go to blocks whose copies are larger than the smallest document, and to blocks that
-    hold the smallest document of a run that goes on.
+    The next rank is that of the pair with the name before, or after, the representative: a side goes on if
+    runs of other smallest documents share the pair.  Answers go to blocks whose copies are larger than
+    the smallest document, and to blocks that hold the smallest document of a run that goes on.
     """
     owner, (name, whole, least, same, entry) = _gather(table, 5)
     order = np.lexsort((least, whole, name))
     owner, name, whole, least, same, entry = (x[order] for x in (owner, name, whole, least, same, entry))
     run = _groups(name, whole)
-    sizes = np.diff(np.append(run, len(name)))
-    low = np.repeat(least[run], sizes)  # sorted, so the first of a run is its smallest document
-    rank = _groups(name)
-    widths = np.diff(np.append(rank, len(name)))
-    lows = low if len(low) else np.zeros(0, np.int64)
-    least_of = np.minimum.reduceat(lows, rank) if len(rank) else lows
-    most_of = np.maximum.reduceat(lows, rank) if len(rank) else lows
-    open_rank = np.repeat(least_of != most_of, widths)
-    on = open_rank & (least == low)
-    told = on | (least > low) | (same == 0)
-    return _answers(owner[told], 0, entry[told], low[told], on[told].astype(np.uint8))
+    low = np.repeat(least[run], np.diff(np.append(run, len(name)))) if len(name) else least
+    goes = np.zeros(len(name), np.uint8)
+    for bit, shift in ((1, 16), (2, 0)):
+        side = (whole >> np.uint64(shift)).astype(np.uint16)
+        order = np.lexsort((side, name))
+        pair = _groups(name[order], side[order])
+        if len(pair):
+            lows = low[order]
+            differ = np.minimum.reduceat(lows, pair) != np.maximum.reduceat(lows, pair)
+            goes[order[np.repeat(differ, np.diff(np.append(pair, len(order))))]] |= bit
+    goes[least != low] = 0
+    told = (goes > 0) | (least > low) | (same == 0)
+    return _answers(owner[told], 0, entry[told], low[told], goes[told])
 
 
 def _window_pairs(block: Block, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,22 +338,25 @@ def _apply_first(length: int, bins: int):
                 continue
             r = Ranked(Block.load(data), length)
             low = np.full(len(r.name), NO_ID, np.int64)
-            on = np.zeros(len(r.name), bool)
+            goes = np.zeros(len(r.name), np.uint8)
             for reply in replies.column("data"):
-                entry, least, goes = unpack_arrays(reply.as_py())
-                low[entry], on[entry] = least, goes.astype(bool)
+                entry, least, bits = unpack_arrays(reply.as_py())
+                low[entry], goes[entry] = least, bits
             settled = r.id > low[r.entry]
-            going = on[r.entry] & (r.id == low[r.entry])
-            first, size = r.first[going], r.size[going]
+            bits = np.where(r.id == low[r.entry], goes[r.entry], 0)
+            split = r.split
+            early, late = np.flatnonzero((bits & 1 > 0) & (split > r.first)), np.flatnonzero((bits & 2 > 0) & (split < r.first + r.size))
+            first = np.concatenate([r.first[early], split[late]])
+            size = np.concatenate([split[early] - r.first[early], (r.first + r.size - split)[late]])
             windows = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            ids = np.repeat(r.id[going], size)
-            left, right = _window_pairs(r.block, windows, length)
+            ids = np.repeat(r.id[np.concatenate([early, late])], size)
+            left, right = (x & ~np.uint64(0xFFFF) for x in _window_pairs(r.block, windows, length))  # 96 bits of a pair
             order = np.lexsort((ids, right, left))
             left, right, ids = left[order], right[order], ids[order]
             heads = _groups(left, right, ids)
             of = np.empty(len(order), np.int32)
             of[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-            rows.append((-1, number, 1, pack_arrays(r.first[settled], r.size[settled].astype(np.int32), windows, of)))
+            rows.append((-1 - number, number, 1, pack_arrays(r.first[settled], r.size[settled].astype(np.int32), first, size.astype(np.int32), of)))
             left, right, ids = left[heads], right[heads], ids[heads]
             for place, a, b in _slices(left, bins):
                 rows.append((place, number, 2, pack_arrays(left[a:b], right[a:b], ids[a:b], np.arange(a, b, dtype=np.int32))))
@@ -344,7 +366,12 @@ def _apply_first(length: int, bins: int):
 
 
 def _settle_pairs(table: pa.Table) -> pa.Table:
-    """Rank the pairs: names of one document drop out after 32 bytes, the rest are ranked at the threshold."""
+    """Rank the pairs: names of one document drop out after 32 bytes, the rest are ranked at the threshold.
+
+    What a block has to remember about itself comes in a bin of its own and passes through.
+    """
+    if table.column("kind")[0].as_py() == 1:
+        return table.select(_REPLY.names)
     owner, (left, right, ids, entry) = _gather(table, 4)
     order = np.lexsort((ids, left))
     ranks = _groups(left[order])
@@ -372,10 +399,12 @@ def _remove(length: int):
             for k, d in zip(kinds, datas):
                 if k != 1:
                     continue
-                first, size, windows, of = unpack_arrays(d.as_py())
+                first, size, later, sizes, of = unpack_arrays(d.as_py())
                 np.add.at(change, first, 1)
                 np.add.at(change, first + size + length - 1, -1)
                 if repeated:
+                    ends = np.cumsum(sizes)
+                    windows = np.repeat(later - ends + sizes, sizes) + np.arange(len(of))
                     mark = np.zeros(int(of.max()) + 1 if len(of) else 0, bool)
                     mark[np.concatenate(repeated)] = True
                     also = windows[mark[of]]
@@ -407,25 +436,20 @@ def _search(rows: DataFrame, length: int, block_bytes: int, bin_bytes: int):
     """(blocks, answers): everything that decides which windows are repeated."""
     if length < 2 * FIRST:
         raise ValueError(f"length must be at least {2 * FIRST}")
-    spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bins = max(1, -(-total // bin_bytes))
     bare = _blocks(rows.select("doc_id", "text"), block_bytes)
     first = _first_ranks(bare, length, bins).groupBy("bin").applyInArrow(_settle_first, REPLY)
-    step = scratch_path(spark, "ranks")
-    both = bare.groupBy("block").cogroup(first.groupBy("block"))
-    both.applyInArrow(_apply_first(length, bins), ROWS).write.parquet(step, compression="none")
-    ranked = spark.read.schema(ROWS).parquet(step)
-    pairs = ranked.where("kind = 2").groupBy("bin").applyInArrow(_settle_pairs, REPLY)
-    answers = ranked.where("kind = 1").select("block", "kind", "data").unionByName(pairs)
+    both = bare.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_apply_first(length, bins), ROWS)
+    answers = both.groupBy("bin").applyInArrow(_settle_pairs, REPLY)
     return _blocks(rows, block_bytes).groupBy("block").cogroup(answers.groupBy("block"))
 
 
 def repeated_spans(
     docs: DataFrame,
     length: int = 50,
-    block_bytes: int = 8 << 20,
-    bin_bytes: int = 32 << 20,
+    block_bytes: int = 4 << 20,
+    bin_bytes: int = 12 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -443,7 +467,7 @@ def repeated_spans(
     return _search(rows, length, block_bytes, bin_bytes).applyInArrow(_spans(length), SPANS)
 
 
-def without_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20, bin_bytes: int = 32 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bin_bytes: int = 12 << 20) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``) with the repeated bytes cut from each text.
 
     Same rules as :func:`repeated_spans`.  All rows and columns stay; a text without a cut stays as
