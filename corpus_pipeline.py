@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.llm import language_id, packing, simhash, suffixes
-from corpuskit.llm.common import table
+from corpuskit.llm.common import bound_batches, table
 from corpuskit.session import scratch_path
 
 
@@ -21,6 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The classifiers are fitted on the labelled rows of ``docs`` itself; without any, no
     language is known and every row goes.
     """
+    bound_batches(spark)
     found = language_id.predict(docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text"), language_id.fit(docs))
     clear = (F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")
     return found.where(clear).select("__row.*")
@@ -32,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id are one document and stay or go together; rows without an id cannot be
     named as copies and stay.
     """
+    bound_batches(spark)
     found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
     copies = found.where("doc_id != component_id").select("doc_id").distinct()
     first = found.where("doc_id = component_id").select("doc_id").distinct()
@@ -43,6 +45,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     ``n_chars`` follows the text; a null text stays null with its own ``n_chars``.
     """
+    bound_batches(spark)
     cut = suffixes.without_repeats(docs, length=50)
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
@@ -52,6 +55,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document, placed in sequences of at most 1024 tokens."""
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

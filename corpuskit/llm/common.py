@@ -9,7 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Let Spark hand text to Python workers in batches of at most ``limit`` bytes (or one row).
+
+    A batch exists several times over on its way through a task; Spark's own bound is 64 MB.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
