@@ -40,12 +40,53 @@ OBSCENE_PATTERNS = [
     r"др.?ч",
 ]
 
-INSULT_WORDS = """
-    дурень дурак дура дурний придурок аутист ідіот ідіотка дебіл кретин мудак мудєнь погань
-    мерзота мудак гівноїд криворук придурок тварина тварюка скотина скотинка скотин тупий тупа
-    шляпа свиня коза козли козел змія півень страшний страшна покидьок грьобані ублюд чмо задрот
-    шаболда виродки виродок потвора огидний гнида
-""".split()
+INSULT_WORDS = [
+    "дурень",
+    "дурак",
+    "дура",
+    "дурний",
+    "придурок",
+    "аутист",
+    "ідіот",
+    "ідіотка",
+    "дебіл",
+    "кретин",
+    "мудак",
+    "мудєнь",
+    "погань",
+    "мерзота",
+    "мудак",
+    "гівноїд",
+    "криворук",
+    "придурок",
+    "тварина",
+    "тварюка",
+    "скотина",
+    "скотинка",
+    "скотин",
+    "тупий",
+    "тупа",
+    "шляпа",
+    "свиня",
+    "коза",
+    "козли",
+    "козел",
+    "змія",
+    "півень",
+    "страшний",
+    "страшна",
+    "покидьок",
+    "грьобані",
+    "ублюд",
+    "чмо",
+    "задрот",
+    "шаболда",
+    "виродки",
+    "виродок",
+    "потвора",
+    "огидний",
+    "гнида",
+]
 INSULT_PATTERNS = [
     r"ху.?с.?с",
     r"мраз.?",
@@ -67,7 +108,14 @@ THREAT_PATTERNS = [
     r"\bзакопаю\b",
 ]
 
-IDENTITY_WORDS = "русіч рашист мужлан негр шльондр аутист".split()
+IDENTITY_WORDS = [
+    "русіч",
+    "рашист",
+    "мужлан",
+    "негр",
+    "шльондр",
+    "аутист",
+]
 IDENTITY_PATTERNS = [
     r"росіянц\s*",
     r"вкраїнч\s*",
