@@ -11,6 +11,7 @@ from corpuskit.functions.lexicon import UKRAINIAN
 from corpuskit.operators.profile import describe
 from corpuskit.schema import LABELS
 
+_REFERS_BACK = re.compile(r"(?<!\\)(?:\\\\)*\\(?:[1-9]|k<)")
 RULED_LABELS = ["obscene", "insult", "identity_hate", "threat"]
 
 
@@ -54,11 +55,18 @@ def alternation(parts: list[str]) -> str:
 
 
 def contains_vocab(text: Column, words: list[str] = (), patterns: list[str] = ()) -> Column:
-    """1 if the lower-cased text contains a word anywhere or matches a pattern."""
-    parts = [_escape(w) for w in words] + list(patterns)
-    if not parts:
+    """1 if the lower-cased text contains a word anywhere or matches a pattern.
+
+    Patterns that refer back to their own groups are searched one by one, since joining
+    patterns renumbers groups; all others form one expression.
+    """
+    alone = [p for p in patterns if _REFERS_BACK.search(p)]
+    parts = [_escape(w) for w in words] + [p for p in patterns if not _REFERS_BACK.search(p)]
+    joined = ([alternation(parts)] if parts else []) + alone
+    if not joined:
         return F.lit(0)
-    return F.when(F.lower(text).rlike("(?U)(?d)" + alternation(parts)), 1).otherwise(0)
+    found = reduce(or_, [F.lower(text).rlike("(?U)(?d)" + p) for p in joined])
+    return F.when(found, 1).otherwise(0)
 
 
 def rule_label(text: Column, label: str, lexicon=UKRAINIAN) -> Column:

@@ -59,3 +59,9 @@ def test_regexes_run_in_one_projection(spark):
     plan = weak.weak_label(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("rlike") == len(weak.RULED_LABELS)
     assert F is not None
+
+
+def test_back_references_keep_their_own_groups(spark):
+    df = spark.createDataFrame([("xx yy",), ("q",), ("xy",), ("ab ab",)], "t string")
+    hits = df.select(weak.contains_vocab(F.col("t"), ["zz"], ["(q)", r"(.)\1", r"(?<p>ab) \k<p>"])).collect()
+    assert [r[0] for r in hits] == [1, 1, 0, 1]
