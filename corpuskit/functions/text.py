@@ -4,7 +4,9 @@ Patterns run on Java's regex engine.  ``(?U)`` gives Unicode ``\\w \\s \\d \\b``
 ``(?d)`` makes ``.`` and ``^`` stop at ``\\n`` only.
 """
 
-from functools import lru_cache
+import unicodedata
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,21 +128,64 @@ def _only_where(condition: Column, text: Column, step) -> Column:
     return F.when(condition, step(F.when(condition, text))).otherwise(text)
 
 
-def has_wide_characters(text: Column) -> Column:
-    """True where NFC or the emoji step could change anything."""
-    return text.rlike(r"[\x{a9}\x{ae}\x{300}-\x{10ffff}]")
+def _ranges(codes) -> str:
+    """A Java character class of the code points."""
+    spans = []
+    for code in sorted(codes):
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+# characters of everyday Latin and Cyrillic text; none of them takes part in NFC or is an emoji
+_PLAIN = r"[\x{0}-\x{a8}\x{aa}-\x{ad}\x{af}-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{2010}-\x{2027}\x{2030}-\x{203b}]"
+
+
+@lru_cache(maxsize=1)
+def _composable_class() -> str:
+    """Every character that NFC may change or join to the one before it, by rule."""
+    codes = set()
+    for code in (*range(0xD800), *range(0xE000, 0x110000)):
+        char = chr(code)
+        if unicodedata.combining(char) or not unicodedata.is_normalized("NFC", char):
+            codes.add(code)
+        parts = unicodedata.normalize("NFD", char)
+        if len(parts) > 1 and unicodedata.is_normalized("NFC", char):
+            codes.update(map(ord, parts[1:]))  # a later part of a composed character
+    return _ranges(codes)
+
+
+@lru_cache(maxsize=1)
+def _emoji_class() -> str:
+    return _ranges([*text_udf.emoji_code_points(), ord(text_udf.KEY_CAP)])
+
+
+def needs_nfc(text: Column) -> Column:
+    """True where NFC could change anything; precomposed Latin and Cyrillic text is false."""
+    return text.rlike(f"(?!{_PLAIN}){_composable_class()}")
+
+
+def has_emoji(text: Column) -> Column:
+    """True where the emoji step could change anything."""
+    return text.rlike(f"(?!{_PLAIN}){_emoji_class()}")
 
 
 def normalize_unicode(text: Column) -> Column:
-    return _only_where(has_wide_characters(text), text, text_udf.arrow_steps(["nfc"]))
+    return _only_where(needs_nfc(text), text, text_udf.arrow_steps(["nfc"]))
 
 
 def convert_emojis_to_text(text: Column, names: dict | None = None) -> Column:
-    """Emoji become ``:name:``; ``names`` maps emoji sequences to names."""
+    """Emoji become ``:name:``; ``names`` maps emoji sequences to names.
+
+    Without ``names`` the Unicode character names are used; flags, key caps, skin tones and joined
+    emoji are one name each.
+    """
     step = text_udf.arrow_steps(["emoji"], names)
     if names is not None:
         return step(text)
-    return _only_where(has_wide_characters(text), text, step)
+    return _only_where(has_emoji(text), text, step)
 
 
 def remove_repetitive_chunks(text: Column, max_repeats: int = 2) -> Column:
@@ -268,7 +313,7 @@ def clean_text(
 
 
 def _middle_in_jvm(df: DataFrame, column: str, middle: list[str]) -> DataFrame:
-    """Rows of narrow characters stay in the JVM; the rest take one Arrow round trip."""
+    """Rows without emoji or composable characters stay in the JVM; the rest take one Arrow round trip."""
     text = F.col(column)
     jvm = {"lower": lowercase, "repetitions": reduce_repetitions, "sentences": remove_repeated_sentences}
     narrow = text
@@ -276,7 +321,8 @@ def _middle_in_jvm(df: DataFrame, column: str, middle: list[str]) -> DataFrame:
         narrow = jvm[name](narrow) if name in jvm else narrow
     if not {"emoji", "nfc"} & set(middle):
         return df.withColumn(column, narrow)
-    wide = has_wide_characters(text)
+    tests = [test(text) for name, test in (("emoji", has_emoji), ("nfc", needs_nfc)) if name in middle]
+    wide = reduce(or_, tests)
     done = text_udf.arrow_steps(middle)(F.when(wide, text))
     return df.withColumn(column, F.when(wide, done).otherwise(narrow))
 

@@ -7,39 +7,65 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-# --- Fixed values: blocks whose symbols count as emoji ------------------------
-EMOJI_BLOCKS = [
-    (0x00A9, 0x00A9),
-    (0x00AE, 0x00AE),
-    (0x231A, 0x231B),
-    (0x23E9, 0x23F3),
-    (0x2600, 0x27BF),
-    (0x2B05, 0x2B07),
-    (0x2B50, 0x2B55),
-    (0x1F004, 0x1F004),
-    (0x1F0CF, 0x1F0CF),
-    (0x1F300, 0x1F64F),
-    (0x1F680, 0x1F6FF),
-    (0x1F7E0, 0x1F7EB),
-    (0x1F900, 0x1F9FF),
-    (0x1FA70, 0x1FAFF),
-]
+# --- Fixed values: code points with the Unicode property Emoji (emoji-data, version 16) ---
+# digits, "#" and "*" have it too, but are emoji in key caps only
+EMOJI_RANGES = """
+a9 ae 203c 2049 2122 2139 2194-2199 21a9-21aa 231a-231b 2328 23cf 23e9-23f3 23f8-23fa 24c2 25aa-25ab 25b6 25c0 25fb-25fe
+2600-2604 260e 2611 2614-2615 2618 261d 2620 2622-2623 2626 262a 262e-262f 2638-263a 2640 2642 2648-2653 265f-2660 2663
+2665-2666 2668 267b 267e-267f 2692-2697 2699 269b-269c 26a0-26a1 26a7 26aa-26ab 26b0-26b1 26bd-26be 26c4-26c5 26c8
+26ce-26cf 26d1 26d3-26d4 26e9-26ea 26f0-26f5 26f7-26fa 26fd 2702 2705 2708-270d 270f 2712 2714 2716 271d 2721 2728
+2733-2734 2744 2747 274c 274e 2753-2755 2757 2763-2764 2795-2797 27a1 27b0 27bf 2934-2935 2b05-2b07 2b1b-2b1c 2b50 2b55
+3030 303d 3297 3299 1f004 1f0cf 1f170-1f171 1f17e-1f17f 1f18e 1f191-1f19a 1f1e6-1f1ff 1f201-1f202 1f21a 1f22f
+1f232-1f23a 1f250-1f251 1f300-1f321 1f324-1f393 1f396-1f397 1f399-1f39b 1f39e-1f3f0 1f3f3-1f3f5 1f3f7-1f4fd 1f4ff-1f53d
+1f549-1f54e 1f550-1f567 1f56f-1f570 1f573-1f57a 1f587 1f58a-1f58d 1f590 1f595-1f596 1f5a4-1f5a5 1f5a8 1f5b1-1f5b2 1f5bc
+1f5c2-1f5c4 1f5d1-1f5d3 1f5dc-1f5de 1f5e1 1f5e3 1f5e8 1f5ef 1f5f3 1f5fa-1f64f 1f680-1f6c5 1f6cb-1f6d2 1f6d5-1f6d7
+1f6dc-1f6e5 1f6e9 1f6eb-1f6ec 1f6f0 1f6f3-1f6fc 1f7e0-1f7eb 1f7f0 1f90c-1f93a 1f93c-1f945 1f947-1f9ff 1fa70-1fa7c
+1fa80-1fa89 1fa8f-1fac6 1face-1fadc 1fadf-1fae9 1faf0-1faf8
+"""
+SKIN_TONES = ["light", "medium-light", "medium", "medium-dark", "dark"]  # U+1F3FB to U+1F3FF
 # ------------------------------------------------------------------------------
-VARIATION_SELECTOR = "\ufe0f"
+VARIATION_SELECTOR, JOINER, KEY_CAP = "\ufe0f", "\u200d", "\u20e3"
+FIRST_LETTER, FIRST_TONE = 0x1F1E6, 0x1F3FB
+
+
+def emoji_code_points() -> list[int]:
+    codes = []
+    for part in EMOJI_RANGES.split():
+        first, _, last = part.partition("-")
+        codes += range(int(first, 16), int(last or first, 16) + 1)
+    return codes
 
 
 def default_emoji_names() -> dict:
-    """Emoji to name, derived from the Unicode character names."""
+    """Single emoji to name, derived from the Unicode character names."""
     names = {}
-    for first, last in EMOJI_BLOCKS:
-        for code in range(first, last + 1):
-            char = chr(code)
-            name = unicodedata.name(char, "")
-            if name and unicodedata.category(char) in ("So", "Sk"):
-                names[char] = name.lower().replace(" ", "_")
+    for code in emoji_code_points():
+        name = unicodedata.name(chr(code), "")
+        if name and not FIRST_LETTER <= code < FIRST_LETTER + 26:
+            names[chr(code)] = name.lower().replace(" ", "_")
+    names |= {chr(FIRST_TONE + i): f"{tone}_skin_tone" for i, tone in enumerate(SKIN_TONES)}
     return names
 
 
+def _default_replacer():
+    """Names of whole sequences: flags, key caps, skin tones and joined emoji, the longest first."""
+    names = default_emoji_names()
+    tone = f"[{chr(FIRST_TONE)}-{chr(FIRST_TONE + 4)}]"
+    one = f"{_char_class(list(names))}{VARIATION_SELECTOR}?{tone}?"
+    letter = f"[{chr(FIRST_LETTER)}-{chr(FIRST_LETTER + 25)}]"
+    pattern = re.compile(f"{letter}{letter}|[0-9#*]{VARIATION_SELECTOR}?{KEY_CAP}|{one}(?:{JOINER}{one})*")
+
+    def name(match):
+        found = match.group()
+        if found[-1] == KEY_CAP:
+            return f":keycap_{found[0]}:"
+        if FIRST_LETTER <= ord(found[0]) < FIRST_LETTER + 26:
+            return ":flag_" + "".join(chr(ord("a") + ord(c) - FIRST_LETTER) for c in found) + ":"
+        return ":" + "_".join(names[c] for c in found if c in names) + ":"
+
+    return lambda text: pattern.sub(name, text)
+
+
 def _char_class(chars: list[str]) -> str:
     """A regex set of the characters, written as ranges of neighbours."""
     ranges = []
@@ -52,7 +78,8 @@ def _char_class(chars: list[str]) -> str:
 
 
 def emoji_replacer(names: dict | None):
-    names = default_emoji_names() if names is None else names
+    if names is None:
+        return _default_replacer()
     if not names:
         return lambda text: text
     sequences = sorted((k for k in names if len(k) > 1), key=len, reverse=True)

@@ -55,6 +55,25 @@ def test_emoji(spark):
     assert run(spark, step, ["\U0001f44d\U0001f3fd\U0001f44d"]) == [":up_medium::up:"]
 
 
+def test_emoji_sequences(spark):
+    given = ["\U0001f44b\U0001f3ff!", "\U0001f1fa\U0001f1e6\U0001f1eb\U0001f1f7", "#\ufe0f\u20e3 7 #", "☎️\u200d❤", "✓ 12", "©®"]
+    assert run(spark, text.convert_emojis_to_text, given) == [
+        ":waving_hand_sign_dark_skin_tone:!", ":flag_ua::flag_fr:", ":keycap_#: 7 #", ":black_telephone_heavy_black_heart:",
+        "✓ 12", ":copyright_sign::registered_sign:"]
+
+
+def test_only_rows_that_may_change_leave_the_jvm(spark):
+    plain = ["Привіт, їжаче! Ґанок — це «добре»…", "été ÄÖß 12 “x”", "ҐЄІЇ ўё Њ"]
+    wide = ["и\u0306", "e\u0301", "\u1100\u1161", "\u2126", "\u0340"]
+    rows = spark.createDataFrame([(t,) for t in plain + wide], "t string")
+    assert [r[0] for r in rows.select(text.needs_nfc(F.col("t"))).collect()] == [False] * 3 + [True] * 5
+    assert not any(r[0] for r in rows.select(text.has_emoji(F.col("t"))).collect())
+    rng = random.Random(9)
+    mixed = ["".join(chr(rng.choice([rng.randrange(32, 0x600), rng.randrange(0x900, 0x3200), rng.randrange(0x300, 0x370)])) for _ in range(6)) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in mixed], "t string").select("t", text.needs_nfc(F.col("t")).alias("n")).collect()
+    assert all(r["n"] or unicodedata.is_normalized("NFC", r["t"]) for r in rows)
+
+
 def _python_steps(value, lower):
     """Direct use of the published patterns on Python's own regex engine."""
     value = re.sub(text.TAG, "", value)
