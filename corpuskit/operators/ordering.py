@@ -18,8 +18,6 @@ from pyspark.sql import Window as W
 
 from corpuskit.session import freeze
 
-# at most this many keys of one group are ranked in a single task
-RANKED_IN_ONE_TASK = 1_000_000
 BUCKET_CHARS = 4  # 65,536 buckets of a hexadecimal key
 
 
@@ -68,46 +66,24 @@ def cutoffs(df: DataFrame, draws: Mapping[str, Draw]) -> dict[str, str | None]:
     keys = df.select(F.explode(F.array_compact(F.array(*member))).alias("m")).select("m.draw", "m.token")
     quota = F.create_map(*[F.lit(x) for name, d in wanted.items() for x in (name, d.n)])[F.col("draw")]
 
-    largest = max(d.n for d in wanted.values())
-    prunable = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    rank = F.row_number().over(W.partitionBy("draw").orderBy("token"))
-    if largest <= prunable:
-        # the literal bound lets every map task keep only its own first rows; the
-        # salted round then shrinks what the last round ranks to 64 * largest rows
-        salted = W.partitionBy("draw", F.pmod(F.hash("token"), F.lit(64))).orderBy("token")
-        few = keys.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= F.lit(largest))
-        ranked = few.withColumn("rank", rank).where(F.col("rank") <= F.lit(largest))
-        ranked = ranked.where(F.col("rank") <= quota)
-        for row in ranked.groupBy("draw").agg(F.max("token").alias("last")).collect():
-            result[row["draw"]] = row["last"]
-        return result
-
     span = keys.groupBy("draw").agg(
         F.count("*").alias("rows"), F.min("token").alias("low"), F.max("token").alias("high")
     )
-    open_draws = {}  # name -> (common prefix, how many of it are still needed, its rows)
+    open_draws = {}  # name -> (common prefix, how many of it are still needed)
     for row in span.collect():
         n = wanted[row["draw"]].n
         if row["rows"] <= n or row["low"] == row["high"]:
             result[row["draw"]] = row["high"]
         else:
-            open_draws[row["draw"]] = (_common_prefix(row["low"], row["high"]), n, row["rows"])
+            open_draws[row["draw"]] = (_common_prefix(row["low"], row["high"]), n)
 
-    while True:
-        big = {k: v for k, v in open_draws.items() if v[2] > RANKED_IN_ONE_TASK}
-        if not big:
-            break
-        for name, state in _narrow(keys, big).items():
+    while open_draws:
+        for name, state in _narrow(keys, open_draws).items():
             if isinstance(state, str):
                 result[name] = state
                 del open_draws[name]
             else:
                 open_draws[name] = state
-    if open_draws:
-        need = F.create_map(*[F.lit(x) for k, v in open_draws.items() for x in (k, v[1])])[F.col("draw")]
-        last = _inside(keys, open_draws).withColumn("rank", rank).where(F.col("rank") == need)
-        for row in last.collect():
-            result[row["draw"]] = row["token"]
     return result
 
 
@@ -120,7 +96,7 @@ def _common_prefix(low: str, high: str) -> str:
 
 def _inside(keys: DataFrame, open_draws: dict) -> DataFrame:
     condition = F.lit(False)
-    for name, (prefix, _, _) in open_draws.items():
+    for name, (prefix, _) in open_draws.items():
         condition = condition | ((F.col("draw") == name) & F.col("token").startswith(prefix))
     return keys.where(condition)
 
@@ -147,7 +123,7 @@ def _narrow(keys: DataFrame, open_draws: dict) -> dict:
         if row["low"] == row["high"] or rest == row["rows"]:
             found[row["draw"]] = row["high"]
         else:
-            found[row["draw"]] = (_common_prefix(row["low"], row["high"]), rest, row["rows"])
+            found[row["draw"]] = (_common_prefix(row["low"], row["high"]), rest)
     return found
 
 
@@ -188,36 +164,26 @@ def draw_rank(df: DataFrame, row_id: str, seed: int | str, by: list[str] = [], o
     )
 
 
-# value buckets per factor of two; close values share a bucket, equal values always do
-BUCKETS_PER_OCTAVE = 1024
-
-
-def value_bucket(value: Column) -> Column:
-    """A coarse integer that never decreases when the number grows."""
-    size = (F.floor((F.log2(F.abs(value)) + 1100) * BUCKETS_PER_OCTAVE) + 1).cast("long")
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
-
-
 def running_sums(df: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False) -> DataFrame:
     """Inclusive running sums per group in value order, as ``upto_<name>``.
 
-    ``df`` holds one row per (group, value).  A group is cut into value buckets:
-    rows are ordered inside their bucket only, and the totals of earlier buckets
-    are added, so even a single huge group is spread over many tasks.
+    ``df`` holds one row per (group, value).  Rows are sorted by range over all partitions and
+    frozen; sums run inside a partition, and the totals of the earlier partitions of the group
+    are added.  Ranges are cut by the number of rows, so neither a huge group nor values that lie close
+    together end up in one task.
     """
-    bucket = "__bucket"
-    bucketed = df.withColumn(bucket, value_bucket(F.col(value)))
-    totals = bucketed.groupBy(*by, bucket).agg(*[F.sum(c).alias(c) for c in sums])
-    place = F.desc(bucket) if descending else F.asc(bucket)
-    earlier = W.partitionBy(*by).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
-    named = {c: f"__of_{c}" for c in [*by, bucket]}
+    part = "__part"
+    order = F.desc(value) if descending else F.asc(value)
+    placed = freeze(df.orderBy(*by, order)).withColumn(part, F.shiftright(F.monotonically_increasing_id(), 33))
+    totals = placed.groupBy(*by, part).agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    named = {c: f"__of_{c}" for c in [*by, part]}
     offsets = totals.select(
         *[F.col(c).alias(other) for c, other in named.items()],
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__before_{c}") for c in sums],
     )
-    order = F.desc(value) if descending else F.asc(value)
-    inside = W.partitionBy(*by, bucket).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    local = bucketed.select("*", *[F.sum(c).over(inside).alias(f"__local_{c}") for c in sums])
+    inside = W.partitionBy(*by, part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    local = placed.select("*", *[F.sum(c).over(inside).alias(f"__local_{c}") for c in sums])
     match = reduce(and_, [F.col(c).eqNullSafe(F.col(other)) for c, other in named.items()])
     return local.join(offsets, match).select(
         *df.columns, *[(F.col(f"__local_{c}") + F.col(f"__before_{c}")).alias(f"upto_{c}") for c in sums]

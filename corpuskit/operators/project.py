@@ -18,10 +18,6 @@ def keep_only(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c in columns])
 
 
-def drop_cols(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.drop(*columns)
-
-
 def align_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
 

@@ -121,7 +121,7 @@ def apply_quota_rules(
     Rules for different label counts never compete for a row, so they form
     independent chains that advance together: one small job per step instead of
     one per rule.  What a rule took is remembered as its cut-off, so the result
-    is a single projection of the table; only narrow open rows are cached on the way.
+    is a single projection of the table.  Narrow open rows are cached on the way, one set at a time.
     """
     columns = [row_id, "keep", "label_count", "category_count", *dict.fromkeys(r.category for r in rules)]
     open_rows = df.select(*dict.fromkeys(columns)).where("keep = 0 AND label_count > 0").persist()
@@ -138,10 +138,10 @@ def apply_quota_rules(
         now = chosen(draws, cutoffs(open_rows, draws))
         taken.append(now)
         # the next step starts from the rows that are still open
-        previous, open_rows = open_rows, open_rows.where(~now).persist()
-        if step % 5 == 4:
-            open_rows.count()
-            previous.unpersist()
+        following = open_rows.where(~now).persist()
+        following.count()
+        open_rows.unpersist()
+        open_rows = following
     open_rows.unpersist()
     keep = F.col("keep") == 1
     for condition in taken:

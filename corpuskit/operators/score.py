@@ -2,14 +2,14 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuskit.functions.text import clean_for_model
 from corpuskit.operators.sample import shuffle
-from corpuskit.schema import DEFAULT_THRESHOLDS, LABEL_NAMES_UK, LABELS, MAX_SEQ_LENGTH, TEXT_COL
+from corpuskit.schema import DEFAULT_THRESHOLDS, LABEL_NAMES_UK, LABELS, TEXT_COL
 
 # --- Fixed values: verdict texts ----------------------------------------------
 VERDICT_CLEAN = "🟢 The comment is non-toxic."
@@ -19,17 +19,18 @@ VERDICT_BULLET = "  🔸 "
 # ------------------------------------------------------------------------------
 
 
-def word_tokens(text: Column, max_length: int = MAX_SEQ_LENGTH) -> Column:
-    """Default tokeniser: white-space words, truncated."""
-    return F.slice(F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"), F.lit(1)), 1, max_length)
+def word_tokens(text: Column, max_length: int | None = None) -> Column:
+    """Default tokeniser: all white-space words, or the first ``max_length`` if the caller wants a limit."""
+    words = F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"), F.lit(1))
+    return words if max_length is None else F.slice(words, 1, max_length)
 
 
 def build_model_input(
     df: DataFrame,
     text: str = TEXT_COL,
     labels: list[str] = LABELS,
-    tokenizer: Callable[[Column, int], Column] = word_tokens,
-    max_length: int = MAX_SEQ_LENGTH,
+    tokenizer: Callable[[Column, int | None], Column] = word_tokens,
+    max_length: int | None = None,
     seed: int = 42,
     row_id: str = "id",
 ) -> DataFrame:
@@ -49,21 +50,21 @@ def score(
     """Add one logit column ``z_<label>`` per label.
 
     ``load_model()`` runs once per Python worker task and returns
-    ``model(texts) -> N x L logits``; batches arrive through Arrow.
+    ``model(texts) -> N x L logits``.  Only the cleaned text travels to Python, in Arrow batches.
     """
-    raw = f"__raw_{text}"
-    rows = df.withColumn(raw, F.col(text))
-    rows = clean_for_model(rows, text) if clean else rows
-    schema = T.StructType(rows.schema.fields + [T.StructField(f"z_{c}", T.DoubleType()) for c in labels])
+    ready, logits = "__ready", "__logits"
+    rows = df.withColumn(ready, F.col(text))
+    rows = clean_for_model(rows, ready) if clean else rows
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
-        for frame in frames:
-            logits = pd.DataFrame(model(frame[text].fillna("")), columns=[f"z_{c}" for c in labels])
-            yield pd.concat([frame.reset_index(drop=True), logits.astype("float64")], axis=1)
+        for batch in batches:
+            values = np.asarray(model(batch.fillna("")), dtype="float64")
+            yield pd.Series(list(values), index=batch.index)
 
-    scored = rows.mapInPandas(run, schema)
-    return scored.withColumn(text, F.col(raw)).drop(raw)
+    scored = rows.withColumn(logits, run.asNondeterministic()(ready))
+    return scored.select(*df.columns, *[F.col(logits)[i].alias(f"z_{c}") for i, c in enumerate(labels)])
 
 
 def sigmoid(logit: Column) -> Column:

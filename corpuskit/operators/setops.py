@@ -26,13 +26,16 @@ def _keys(df: DataFrame, key) -> DataFrame:
 
 
 def remove_holdout(
-    selected: DataFrame, candidates: DataFrame, others: list[DataFrame], key: str = "id"
+    selected: DataFrame, candidates: DataFrame | None, others: list[DataFrame], key: str = "id"
 ) -> list[DataFrame]:
     """The other tables without the held-out rows.
 
     The first table keeps only candidates that were not selected; every further
-    table merely drops the selected ids.
+    table merely drops the selected ids.  ``None`` says that the first table is itself the
+    table of candidates, and one anti-join does for it too.
     """
+    if candidates is None:
+        return [not_in_source(t, selected, key) for t in others]
     left_over = not_in_source(candidates, selected, key)
     first, *rest = others
     return [in_source(first, left_over, key)] + [not_in_source(t, selected, key) for t in rest]
@@ -71,9 +74,12 @@ def dedup_first(df: DataFrame, column: str, order_by: list) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id", order_by: list = []) -> DataFrame:
-    """Add new rows by id; a row that exists already wins over its new version."""
-    side, rank = "__side", "__rank"
-    rows = existing.withColumn(side, F.lit(0)).unionByName(new.withColumn(side, F.lit(1)))
-    rest = order_by or [c for c in existing.columns if c != key]
-    first = W.partitionBy(key).orderBy(side, *rest)
-    return rows.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(side, rank)
+    """Add new rows by id; a row that exists already wins over its new version.
+
+    The stored rows pass through as they are: only their ids meet the new rows, which are reduced to
+    the first of each id in ``order_by`` (by all columns, unless given).
+    """
+    rank = "__rank"
+    first = W.partitionBy(key).orderBy(*(order_by or [c for c in existing.columns if c != key]))
+    once = new.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    return existing.unionByName(not_in_source(once, existing, key))

@@ -36,11 +36,15 @@ def fit_multilabel(
     labels: list[str] = LABELS,
     text: str = TEXT_COL,
     weighted: bool = True,
-    features: int = 1 << 14,
-    iterations: int = 10,
+    features: int = 1 << 18,
+    iterations: int = 100,
+    tolerance: float = 1e-4,
     regularization: float = 1e-2,
 ) -> MultiLabelModel:
-    """Distributed binary relevance; positives weigh negatives/positives when ``weighted``."""
+    """Distributed binary relevance; positives weigh negatives/positives when ``weighted``.
+
+    Training stops when the objective changes by less than ``tolerance``; ``iterations`` is a safety net.
+    """
     stages = Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=r"(?U)\s+"),
@@ -64,7 +68,7 @@ def fit_multilabel(
             )
             models[label] = LogisticRegression(
                 featuresCol="__features", labelCol="__y", weightCol="__w",
-                maxIter=iterations, regParam=regularization,
+                maxIter=iterations, tol=tolerance, regParam=regularization,
             ).fit(train)
     finally:
         rows.unpersist()

@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from corpuskit.functions import text
 from corpuskit.functions.lexicon import UKRAINIAN
 from corpuskit.operators import batch, evaluate, profile, project, sample, score, setops, train, weak
-from corpuskit.operators.batch import TRANSLATION_PROMPT
 from corpuskit.plans import fixtures as fx
 from corpuskit.plans import jobs
 from corpuskit.schema import DEFAULT_THRESHOLDS, IDENTITIES, LABEL_NAMES_UK, LABELS, TOXIC_TEXTS
-from corpuskit.session import freeze, scratch_path, spread
+from corpuskit.session import freeze, scratch_path
 from corpuskit.sources import tables
 from corpuskit.streaming import scoring
 
@@ -251,7 +250,7 @@ def _(spark, d):
 
 @query("clean_tags", f"SELECT page_id, {_TAG_SQL.format('html')} AS cleaned FROM pages")
 def _(spark, d):
-    return _cleaned(spread(fx.table(spark, d, "pages"), "page_id"), text.remove_tags(F.col("html")), "page_id")
+    return _cleaned(fx.table(spark, d, "pages"), text.remove_tags(F.col("html")), "page_id")
 
 
 @query("clean_repetitions", _REPETITION_CTE.format("text", "documents"))
@@ -289,6 +288,18 @@ def _(spark, d):
     return _cleaned(fx.documents(spark, d), text.convert_emojis_to_text(joyful, EMOJI_NAMES))
 
 
+EMOJI_SAMPLE = " \U0001f44d\U0001f3fd \U0001f468\u200d\U0001f469\u200d\U0001f467 \U0001f1fa\U0001f1e6 1\ufe0f\u20e3 ™ ℹ ❤️ ✓"
+EMOJI_SAMPLE_NAMES = (
+    " :thumbs_up_sign_medium_skin_tone: :man_woman_girl: :flag_ua: :keycap_1: :trade_mark_sign: :information_source: "
+    ":heavy_black_heart: ✓"
+)
+
+
+@query("clean_emoji_default", f"SELECT doc_id, concat(text, {_quoted(EMOJI_SAMPLE_NAMES)}) AS cleaned FROM documents")
+def _(spark, d):
+    return _cleaned(fx.documents(spark, d), text.convert_emojis_to_text(F.concat("text", F.lit(EMOJI_SAMPLE))))
+
+
 @query(
     "clean_nonprintable",
     "SELECT doc_id, regexp_replace(concat(text, chr(8203), chr(173), chr(160), chr(8232), 'end'), "
@@ -327,6 +338,19 @@ def _(spark, d):
     return text.clean_for_model(fx.decorated(spark, d), "t").withColumnRenamed("t", "cleaned")
 
 
+_CYRILLIC_CHAIN_SQL = _CHAIN_SQL.replace(
+    "text) AS t FROM documents)",
+    f"translate(lower(text), {_quoted(fx.LATIN)}, {_quoted(fx.CYRILLIC)})) AS t FROM documents)",
+)
+
+
+@query("clean_model_preset_cyrillic", _CYRILLIC_CHAIN_SQL)
+def _(spark, d):
+    rows = fx.documents(spark, d)
+    made = rows.select("doc_id", fx.decoration(F.translate(F.lower("text"), fx.LATIN, fx.CYRILLIC)).alias("t"))
+    return text.clean_for_model(made, "t").withColumnRenamed("t", "cleaned")
+
+
 @query("clean_translation_preset")
 def _(spark, d):
     return text.clean_for_translation(fx.decorated(spark, d), "t").withColumnRenamed("t", "cleaned")
@@ -947,11 +971,11 @@ def _(spark, d):
 @query(
     "batch_requests",
     _with(_BATCHED)
-    + f"SELECT batch_id, count(*) AS n_rows, concat({_quoted(batch.TRANSLATION_PROMPT)}, string_agg(concat('id: ', id, "
+    + f"SELECT batch_id, count(*) AS n_rows, concat({_quoted(fx.PROMPT)}, string_agg(concat('id: ', id, "
     "', text: ''', comment_text, ''''), chr(10) ORDER BY position)) AS request FROM b GROUP BY batch_id",
 )
 def _(spark, d):
-    return batch.format_requests(_batched(spark, d))
+    return batch.format_requests(_batched(spark, d), fx.PROMPT)
 
 
 def _responses(batched: DataFrame, malformed: bool = False) -> DataFrame:
@@ -1015,7 +1039,7 @@ def _(spark, d):
 
 def upper_service(request: str) -> str:
     """A stand-in translator: answers every requested line in lower case."""
-    lines = request.split(TRANSLATION_PROMPT, 1)[1].split("\nid: ")
+    lines = request.split(fx.PROMPT, 1)[1].split("\nid: ")
     answer = []
     for line in lines:
         row_id, body = line.removeprefix("id: ").split(", text: '", 1)
@@ -1025,21 +1049,32 @@ def upper_service(request: str) -> str:
 
 @query("apply_batches")
 def _(spark, d):
-    return batch.apply_batches(batch.format_requests(_batched(spark, d)), upper_service).drop("request")
+    return batch.apply_batches(batch.format_requests(_batched(spark, d), fx.PROMPT), upper_service).drop("request")
 
 
 # ------------------------------------------------------- scores and verdicts ---
-@query("model_input", C + f"""
-SELECT id, len(regexp_extract_all(comment_text, '\\S+')[1:128]) AS n_tokens,
-       array_to_string(regexp_extract_all(comment_text, '\\S+')[1:128], ' ') AS tokens,
-       array_to_string([{', '.join(LABELS)}], ',') AS labels FROM comments""")
-def _(spark, d):
-    rows = score.build_model_input(fx.comments(spark, d), text="comment_text")
+def _model_input(spark, d, limit=None):
+    rows = score.build_model_input(fx.comments(spark, d), text="comment_text", max_length=limit)
     labels = F.array_join(F.transform("labels", lambda x: x.cast("int").cast("string")), ",")
     tokens = F.array_join("tokens", " ")
     return rows.select("id", F.size("tokens").cast("long").alias("n_tokens"), tokens.alias("tokens"), labels.alias("labels"))
 
 
+_MODEL_INPUT = C + """
+SELECT id, len(words) AS n_tokens, array_to_string(words, ' ') AS tokens, labels FROM (
+  SELECT id, regexp_extract_all(comment_text, '\\S+'){cut} AS words, array_to_string([{labels}], ',') AS labels FROM comments)"""
+
+
+@query("model_input", _MODEL_INPUT.replace("{cut}", "").replace("{labels}", ", ".join(LABELS)))
+def _(spark, d):
+    return _model_input(spark, d)
+
+
+@query("model_input_limited", _MODEL_INPUT.replace("{cut}", "[1:128]").replace("{labels}", ", ".join(LABELS)))
+def _(spark, d):
+    return _model_input(spark, d, 128)
+
+
 @query(
     "probabilities",
     S + "SELECT id, " + ", ".join(f"round(1 / (1 + exp(-z_{c})), 4) AS p_{c}" for c in LABELS) + " FROM scores",
@@ -1126,7 +1161,7 @@ def _(spark, d):
 @query("fit_multilabel")
 def _(spark, d):
     rows = fx.comments(spark, d).withColumnRenamed("comment_text", "comment")
-    model = train.fit_multilabel(rows, iterations=3)
+    model = train.fit_multilabel(rows, features=1 << 15)
     scored = score.logits_to_probs(model.logits(rows), digits=None)
     truth = scored.withColumns({f"y_{c}": F.col(c) for c in LABELS})
     return evaluate.evaluate(truth)
@@ -1385,7 +1420,7 @@ def _(spark, d):
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("comment_text"), F.col("doc_id").alias("place")
     )
     existing = fx.translations(spark, d).select(F.col("id").cast("string").alias("id"), "translated")
-    merged, _report = jobs.translate_new(source, existing, upper_service, max_batches=None, order_by=["place"])
+    merged, _report = jobs.translate_new(source, existing, upper_service, fx.PROMPT, order_by=["place"])
     return merged
 
 
@@ -1401,7 +1436,7 @@ _FINAL = (
     "toxic FROM fin",
 )
 def _(spark, d):
-    rows, _balanced = jobs.finalize_translated(fx.translations(spark, d), fx.comments(spark, d))
+    rows = jobs.finalize_translated(fx.translations(spark, d), fx.comments(spark, d))
     return rows.select("id", "translated", "comment_text", "toxic")
 
 
@@ -1414,7 +1449,7 @@ def _(spark, d):
     + " SELECT id, toxic FROM comments WHERE id IN (SELECT id FROM chosen)",
 )
 def _(spark, d):
-    _rows, balanced = jobs.finalize_translated(fx.translations(spark, d), fx.comments(spark, d))
+    _rows, balanced = jobs.balance_translated(fx.translations(spark, d), fx.comments(spark, d))
     return balanced.select("id", "toxic")
 
 
@@ -1487,5 +1522,69 @@ def _(spark, d):
 @query("job_evaluate")
 def _(spark, d):
     rows = fx.comments(spark, d).withColumnRenamed("comment_text", "comment")
-    _report, tuned = jobs.evaluate_model(rows, word_model)
-    return tuned
+    report, tuned = jobs.evaluate_model(rows, word_model)
+    metrics = report.select(F.explode(F.create_map(*[x for c in report.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("name", "value"))
+    limits = tuned.unpivot("label", ["threshold", "f1_at_half", "best_f1", "gain"], "part", "value")
+    limits = limits.select(F.concat_ws("_", "label", "part").alias("name"), "value")
+    return setops.union_same(metrics.select("name", "value"), limits)
+
+
+@query("job_evaluate_chosen_table", "SELECT count(*) AS rows FROM labels")
+def _(spark, d):
+    chosen = evaluate.load_eval_table(spark, "labels", {"labels": f"{d}/labels.parquet", "pages": f"{d}/pages.parquet"})
+    return chosen.agg(F.count("*").alias("rows"))
+
+
+@query("balance_known_method", C + "SELECT id, toxic FROM comments WHERE toxic > 0 AND (SELECT count(*) FROM comments WHERE "
+       "toxic > 0) <= (SELECT count(*) FROM comments WHERE toxic = 0)")
+def _(spark, d):
+    """The positives of a balanced table, which all stay if they are the smaller class; an unknown method is refused."""
+    rows = fx.comments(spark, d).select("id", "toxic")
+    try:
+        sample.balance_binary(rows, method="unknown")
+    except ValueError:
+        return sample.balance_binary(rows, method="downsample").where("toxic > 0")
+    raise AssertionError("an unknown method was accepted")
+
+
+@query(
+    "job_translate_report",
+    "WITH todo AS (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 20) AS BIGINT) AS batch_id FROM "
+    "documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT batch_id, count(*) AS requested, count(*) AS parsed, "
+    "CAST(0 AS BIGINT) AS missing, 0 AS none_parsed FROM todo GROUP BY batch_id",
+)
+def _(spark, d):
+    source = fx.documents(spark, d).select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("comment_text"), F.col("doc_id").alias("place")
+    )
+    existing = fx.translations(spark, d).select(F.col("id").cast("string").alias("id"), "translated")
+    return jobs.translate_new(source, existing, upper_service, fx.PROMPT, order_by=["place"])[1]
+
+
+@query("job_label_native_rows", _with(WEAK_DOCUMENTS) + "SELECT id, " + ", ".join(LABELS) + " FROM labelled")
+def _(spark, d):
+    rows = fx.documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("comment"))
+    return jobs.label_native(rows, fx.LEXICON)[0]
+
+
+@query(
+    "contains_vocab_groups",
+    r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(q)') OR regexp_matches(lower(text), 'aa|bb|cc|dd|ee|ff|gg|ll|mm|nn|oo|pp|rr|ss|tt')
+    THEN 1 ELSE 0 END AS hit FROM documents""",
+)
+def _(spark, d):
+    hit = weak.contains_vocab(F.col("text"), [], ["(q)", r"([a-gl-pr-t])\1"])
+    return fx.documents(spark, d).select("doc_id", hit.alias("hit"))
+
+
+@query(
+    "parse_mixed_lists",
+    _with(_BATCHED_DOCS)
+    + "SELECT batch_id, CAST(id AS VARCHAR) AS id, lower(lang) AS translated FROM b",
+)
+def _(spark, d):
+    """Lists that also hold a string, a number and a null; ids with white space around them."""
+    batched = _batched_docs(spark, d)
+    item = F.to_json(F.struct(F.concat(F.lit(" "), "id", F.lit("\n")).alias("id"), F.col("lang").alias("translated")))
+    items = F.array_join(F.collect_list(item), ', "junk", 7, null, ')
+    return batch.parse_responses(batched.groupBy("batch_id").agg(F.concat(F.lit("["), items, F.lit("]")).alias("response")))

@@ -1,12 +1,11 @@
 """Views over the given tables that have the shapes of the operators' inputs."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import word_count
 from corpuskit.operators.project import row_count
 from corpuskit.schema import IDENTITIES, LABELS
-from corpuskit.session import spread
 
 # --- Fixed values: a label column is set where the id is a multiple of this ---
 MULTIPLES = {
@@ -31,6 +30,7 @@ LEXICON = [
     ("threat", "pattern", "(with.by|der.die)"),
     ("identity_hate", "pattern", "(eau|ent.i)"),
 ]
+PROMPT = "Translate each line. Answer with a JSON list of objects that have an id and a translated text.\n"
 LATIN = "abcdefghijklmnoprstuvxyzéèêçäöüß"
 CYRILLIC = "абсдефгхіжклмнопрстувяйзєїьщиюшц"
 WIKI_PREFIX = "::{{tpl|x}} [[File:a b]] 12:30, May 5, 2008 (UTC) 10.0.0.1 "
@@ -42,7 +42,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark, folder) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    """The documents; ``corpuskit.documents.partitions`` deals a single small file out to that many tasks."""
+    rows = table(spark, folder, "documents")
+    partitions = spark.conf.get("corpuskit.documents.partitions", None)
+    return rows.repartition(int(partitions), "doc_id") if partitions else rows
 
 
 def comments(spark, folder, text: bool = True) -> DataFrame:
@@ -75,14 +78,15 @@ def scores(spark, folder) -> DataFrame:
     return rows.select(*columns)
 
 
-def decorated(spark, folder) -> DataFrame:
-    """Documents with a handle, a link and a tag in front."""
+def decoration(text) -> Column:
+    """A handle, a link and a tag in front of a text."""
     i = F.col("doc_id").cast("string")
     tag = (F.col("doc_id") % 7).cast("string")
-    t = F.concat(
-        F.lit("@user"), i, F.lit(" https://ex.org/"), i, F.lit(" #tag"), tag, F.lit(" "), F.col("text")
-    )
-    return documents(spark, folder).select("doc_id", t.alias("t"))
+    return F.concat(F.lit("@user"), i, F.lit(" https://ex.org/"), i, F.lit(" #tag"), tag, F.lit(" "), text)
+
+
+def decorated(spark, folder) -> DataFrame:
+    return documents(spark, folder).select("doc_id", decoration(F.col("text")).alias("t"))
 
 
 def translations(spark, folder) -> DataFrame:

@@ -123,20 +123,22 @@ def translate_new(
     source: DataFrame,
     existing: DataFrame,
     fn: Callable[[str], str],
+    prompt: str,
     batch_size: int = batch.DEFAULT_BATCH_SIZE,
-    max_batches: int | None = batch.DEFAULT_MAX_BATCHES,
+    max_batches: int | None = None,
     order_by: list[str] = ["id"],
     parallelism: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(existing plus new translations, batch report).
 
-    Responses are frozen before use: the external function is slow and need not
-    answer twice in the same way.
+    All new rows are translated unless the caller sets ``max_batches``.  Responses are frozen
+    before use: the external function is slow and need not answer twice in the same
+    way.  Parsed rows are frozen too, since the merge and the report both read them.
     """
     todo = setops.not_in_source(source.select("id", "comment_text", *_extra(order_by)), existing)
     batched = freeze(batch.assign_batches(todo, order_by, batch_size, max_batches))
-    responses = freeze(batch.apply_batches(batch.format_requests(batched), fn, parallelism))
-    parsed = batch.parse_responses(responses)
+    responses = freeze(batch.apply_batches(batch.format_requests(batched, prompt), fn, parallelism))
+    parsed = freeze(batch.parse_responses(responses))
     merged = setops.upsert(existing, parsed.select(F.col("id"), "translated"))
     return merged, batch.translation_report(batched, parsed)
 
@@ -145,15 +147,22 @@ def _extra(order_by):
     return [c for c in order_by if c not in ("id", "comment_text")]
 
 
-def finalize_translated(
-    translated: DataFrame, source: DataFrame, seed: int = 42, identities=IDENTITIES
-) -> tuple[DataFrame, DataFrame]:
-    """(clean translated corpus, its binary balanced version)."""
+def finalize_translated(translated: DataFrame, source: DataFrame) -> DataFrame:
+    """The clean translated corpus, each text once."""
     rows = drop_null_text(setops.in_source(translated, source), "translated")
     rows = setops.dedup_first(rows, "translated", ["id"])
     rows = setops.join_on_id(rows, source)
-    # balancing reads the table several times; dedup, join and scrubbing must run once
-    rows = freeze(rows.withColumns({c: scrub_pii(F.col(c)) for c in ("translated", "comment_text")}))
+    return rows.withColumns({c: scrub_pii(F.col(c)) for c in ("translated", "comment_text")})
+
+
+def balance_translated(
+    translated: DataFrame, source: DataFrame, seed: int = 42, identities=IDENTITIES
+) -> tuple[DataFrame, DataFrame]:
+    """(clean translated corpus, its binary balanced version).
+
+    Balancing reads the table several times, so dedup, join and scrubbing are frozen first.
+    """
+    rows = freeze(finalize_translated(translated, source))
     balanced = sample.balance_binary(
         rows, "toxic", seed=seed, identity_categories=identities, identity_fraction=0.5
     )
@@ -203,7 +212,7 @@ def build_test_set(
     flagged = sample.select_n(narrow, picks, order_by)
     selected = flagged.where("keep = 1").select("id", TEXT_COL, *LABELS)
     test = setops.union_missing(native, selected)
-    rest, rest_balanced = setops.remove_holdout(test, flagged, [translated, balanced])
+    rest, rest_balanced = setops.remove_holdout(test, None, [translated, balanced])
     return test, rest, rest_balanced
 
 

@@ -46,8 +46,6 @@ FRACTIONAL_TO_LABEL = {
 }
 
 FRACTIONAL_LABELS = ["target", "severe_toxicity", "obscene", "threat", "insult", "identity_attack"]
-
-MAX_SEQ_LENGTH = 128
 # ------------------------------------------------------------------------------
 
 
@@ -63,11 +61,5 @@ TOXIC_COMMENTS = _struct(["id", "comment_text"], LABELS)
 TOXIC_TEXTS = _struct(["id", "comment_text"])
 TOXIC_LABELS = _struct(["id"], LABELS)
 BIAS_COMMENTS = _struct(["id", "comment_text"], double_cols=FRACTIONAL_LABELS + IDENTITIES)
-INTEGRATED = _struct(
-    ["id", "comment_text"],
-    LABELS + IDENTITIES + ["label_count", "category_count", "comment_length"],
-)
 TRANSLATIONS = _struct(["id", "translated"])
-NATIVE_COMMENTS = _struct(["id", "comment"], ["toxic"])
-WEAK_LABELS = _struct(["id"], LABELS)
 LEXICON = _struct(["label", "kind", "value"])

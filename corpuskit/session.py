@@ -52,14 +52,3 @@ def freeze(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when the input has fewer partitions than there are cores.
-
-    Text steps are CPU-bound, and a few big row groups would leave most cores
-    idle.  Inputs with enough partitions, as any large table has, are returned
-    unchanged.  Rows are placed by ``key``, so a retried task gets the same rows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -99,13 +99,14 @@ RESPONSES = [
     (3, "[{id: 6, translated: 'broken one'}, {id: '7', translated: \"two\"}"),
     (4, "no answer"),
     (5, None),
+    (6, '[{"id":" b\\n","translated":"y"},"junk",3,null,[1]]'),
 ]
 
 
 def test_parse_responses(spark):
     df = spark.createDataFrame(RESPONSES, "batch_id long, response string")
     got = sorted((r["batch_id"], r["id"], r["translated"]) for r in batch.parse_responses(df).collect())
-    assert got == [(0, "1", "a 'b' c"), (0, "3", ""), (1, "4", "x"), (3, "6", "broken one"), (3, "7", "two")]
+    assert got == [(0, "1", "a 'b' c"), (0, "3", ""), (1, "4", "x"), (3, "6", "broken one"), (3, "7", "two"), (6, "b", "y")]
 
 
 def test_fallback_equals_python_regex(spark, small):
@@ -130,12 +131,12 @@ def test_translation_job_with_a_failing_batch(spark):
             raise TimeoutError("slow")
         return catalog.upper_service(request.replace("text 3'", "TEXT 3'"))
 
-    merged, report = jobs.translate_new(source, existing, service, 10, None)
+    merged, report = jobs.translate_new(source, existing, service, fx.PROMPT, 10)
     table = {r["id"]: r["translated"] for r in merged.collect()}
     assert table["000"] == "done" and table["999"] == "old" and table["044"] == "text 44" and len(table) == 2 + 34
     lost = {r["batch_id"]: (r["requested"], r["parsed"], r["missing"], r["none_parsed"]) for r in report.collect()}
     assert lost[2] == (10, 0, 10, 1) and lost[4] == (4, 4, 0, 0)
-    again, _ = jobs.translate_new(source, merged, service, 10, 1)
+    again, _ = jobs.translate_new(source, merged, service, fx.PROMPT, 10, 1)
     assert again.count() == 2 + 34
     with pytest.raises(ValueError):
         batch.assign_batches(source, ["id"], 51)
@@ -173,7 +174,8 @@ def test_fit_multilabel_learns_and_handles_constant_labels(spark):
 
 def test_model_input_is_shuffled_and_truncated(spark):
     df = spark.createDataFrame([(i, "w " * 200, *([i % 2] * 6)) for i in range(50)], "id int, comment string, " + ", ".join(f"{c} int" for c in LABELS))
-    rows = score.build_model_input(df).collect()
+    assert all(len(r["tokens"]) == 200 for r in score.build_model_input(df).collect())
+    rows = score.build_model_input(df, max_length=128).collect()
     assert all(len(r["tokens"]) == 128 and r["labels"] == [float(r["id"] % 2)] * 6 for r in rows)
     assert [r["id"] for r in rows] != list(range(50))
 

@@ -33,8 +33,7 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert len(ids(sample.peek(df, 9999))) == 5000
 
 
-def test_cutoffs_narrow_large_groups_exactly(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "RANKED_IN_ONE_TASK", 50)
+def test_cutoffs_narrow_large_groups_exactly(spark):
     df = spark.range(-3000, 7000).withColumn("hot", F.when(F.col("id") % 3 == 0, 1).otherwise(0))
     token = ordering.order_token(df, ["id"])
     draws = {"all": ordering.Draw(F.lit(True), token, 4321), "hot": ordering.Draw(F.col("hot") == 1, token, 1200),
@@ -46,8 +45,7 @@ def test_cutoffs_narrow_large_groups_exactly(spark, monkeypatch):
     assert len(took["whole"]) == df.where("hot = 0").count() and took["none"] == []
 
 
-def test_cutoffs_with_string_order_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "RANKED_IN_ONE_TASK", 20)
+def test_cutoffs_with_string_order_and_ties(spark):
     names = sorted(f"user{i}" for i in range(3000))
     df = spark.createDataFrame([(n, i % 4) for i, n in enumerate(names)], "id string, c int")
     token = ordering.order_token(df, ["c", "id"])
