@@ -151,7 +151,7 @@ def evaluate(
     """One row: six aggregates and F1, ROC-AUC and PR-AUC per label.
 
     An undefined AUC is null; with ``zero_all_on_undefined`` one undefined label
-    sets the ROC-AUC of all labels to 0, as the original report does.
+    sets the ROC-AUC of all labels to 0 and an undefined PR-AUC is 0, as in the original report.
     """
     head = aggregate_metrics(df, labels, thresholds).withColumn("__one", F.lit(1))
     ranked = ranking_metrics(df, labels)
@@ -165,7 +165,7 @@ def evaluate(
         whole = F.col("__defined") == len(labels)
         tail = tail.withColumns(
             {f"{c}_roc_auc": F.when(whole, F.col(f"{c}_roc_auc")).otherwise(0.0) for c in labels}
-        )
+        ).na.fill(0.0, [f"{c}_pr_auc" for c in labels])
     tail = tail.drop("__defined").withColumn("__one", F.lit(1))
     per_label = [f"{c}_{m}" for c in labels for m in ("f1", "roc_auc", "pr_auc")]
     summary = [

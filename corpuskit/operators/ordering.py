@@ -64,8 +64,15 @@ def cutoffs(df: DataFrame, draws: Mapping[str, Draw]) -> dict[str, str | None]:
         for name, d in wanted.items()
     ]
     keys = df.select(F.explode(F.array_compact(F.array(*member))).alias("m")).select("m.draw", "m.token")
-    quota = F.create_map(*[F.lit(x) for name, d in wanted.items() for x in (name, d.n)])[F.col("draw")]
+    keys = keys.persist()  # narrow, read once per narrowing step, and given back at the end
+    try:
+        return result | _search(keys, wanted)
+    finally:
+        keys.unpersist()
 
+
+def _search(keys: DataFrame, wanted: Mapping[str, Draw]) -> dict[str, str | None]:
+    result: dict[str, str | None] = {}
     span = keys.groupBy("draw").agg(
         F.count("*").alias("rows"), F.min("token").alias("low"), F.max("token").alias("high")
     )

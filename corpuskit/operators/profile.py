@@ -174,7 +174,7 @@ def cooccurrence_size_by_label(df: DataFrame, labels=LABELS) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between the extremes; the last bin is closed. Empty bins have n = 0."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows"))
+    counted = freeze(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows")))
     low, high, width = _extent(counted, column, bins)
     place = F.floor((F.col(column) - low) / width).cast("int")
     filled = counted.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.sum("rows").alias("n"))
@@ -200,26 +200,25 @@ def _extent(counted: DataFrame, column: str, bins: int):
 def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian density estimate on an even grid between the extremes (Scott's bandwidth).
 
-    The kernel sum runs over distinct values with their frequency, not over rows.
+    The kernel sums run over distinct values with their frequency, all grid points in one aggregate;
+    the table itself is scanned once.
     """
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v"))
-    counted = counted.agg(F.count("*").alias("rows"))
-    stats = df.agg(
-        F.count(column).alias("n"),
-        F.stddev_samp(column).alias("std"),
-        F.min(column).cast("double").alias("low"),
-        F.max(column).cast("double").alias("high"),
+    counted = freeze(counted.agg(F.count("*").alias("rows")))
+    rows, v = F.col("rows"), F.col("v")
+    stats = counted.agg(
+        F.sum(rows).alias("n"), (F.sum(rows * v) / F.sum(rows)).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high")
     ).first()
-    if stats["n"] < 2 or not stats["std"]:
+    if (stats["n"] or 0) < 2 or stats["low"] == stats["high"]:
         return df.sparkSession.createDataFrame([], "grid_point int, x double, density double")
-    width = stats["std"] * stats["n"] ** -0.2
+    squares = counted.agg(F.sum(rows * (v - F.lit(stats["mean"])) ** 2)).first()[0]
+    width = math.sqrt(squares / (stats["n"] - 1)) * stats["n"] ** -0.2
     step = (stats["high"] - stats["low"]) / (points - 1)
-    grid = counted.withColumn("grid_point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.lit(stats["low"]) + F.col("grid_point") * F.lit(step)
-    kernel = F.exp(-0.5 * ((x - F.col("v")) / F.lit(width)) ** 2)
     scale = stats["n"] * width * math.sqrt(2 * math.pi)
-    summed = grid.groupBy("grid_point").agg((F.sum(F.col("rows") * kernel) / F.lit(scale)).alias("density"))
-    return summed.select("grid_point", x.alias("x"), "density")
+    places = [stats["low"] + i * step for i in range(points)]
+    sums = [F.sum(rows * F.exp(-0.5 * ((F.lit(x) - v) / F.lit(width)) ** 2)) / F.lit(scale) for x in places]
+    cells = F.array(*[F.struct(F.lit(i).alias("grid_point"), F.lit(x).alias("x"), F.col(f"s{i}").alias("density")) for i, x in enumerate(places)])
+    return counted.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).select(F.inline(cells))
 
 
 def split_stats(df: DataFrame, name: str, labels=LABELS) -> DataFrame:
@@ -229,6 +228,14 @@ def split_stats(df: DataFrame, name: str, labels=LABELS) -> DataFrame:
     )
 
 
+def split_stats_of(flagged: DataFrame, labels=LABELS) -> DataFrame:
+    """The statistics of the whole table and of both sides of ``is_test``, from one scan."""
+    name = F.when(F.col("is_test") == 1, "Test").when(F.col("is_test") == 0, "Train").otherwise("Full")
+    toxic = F.avg(any_set(labels).cast("double"))
+    sums = flagged.rollup("is_test").agg(F.count("*").alias("total"), toxic.alias("toxic_ratio"))
+    return sums.select(name.alias("split"), "total", "toxic_ratio")
+
+
 def num_retained(df: DataFrame) -> DataFrame:
     kept = _set("keep")
     return df.agg(

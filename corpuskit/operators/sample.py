@@ -200,13 +200,13 @@ def flag_split(
     return df.withColumn("is_test", F.when(take_first(df, draws), 1).otherwise(0))
 
 
-def rule_based_split(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by the stratified split."""
+def rule_based_split(df: DataFrame, shuffled: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by the stratified split, each in seeded random order if ``shuffled``."""
     flagged = flag_split(df, **options)
-    return (
-        flagged.where("is_test = 0").drop("is_test"),
-        flagged.where("is_test = 1").drop("is_test"),
-    )
+    sides = [flagged.where(f"is_test = {side}").drop("is_test") for side in (0, 1)]
+    if shuffled:
+        sides = [shuffle(rows, options.get("seed", 42), options.get("row_id", "id")) for rows in sides]
+    return sides[0], sides[1]
 
 
 def balance_binary(

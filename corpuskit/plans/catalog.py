@@ -896,6 +896,15 @@ def _(spark, d):
     return sample.balance_binary(fx.comments(spark, d)).select("id", "toxic")
 
 
+@query(
+    "balance_position",
+    f"SELECT id, toxic, row_number() OVER (ORDER BY {_key()}, id) - 1 AS position FROM ({ORACLES[list(ORACLES)[-1]]})",
+)
+def _(spark, d):
+    """Balanced rows with their place in the final seeded order."""
+    return sample.shuffle_positions(sample.balance_binary(fx.comments(spark, d)).select("id", "toxic"))
+
+
 def _identity_window_sql(per_category: str, where: str) -> str:
     return " UNION ".join(
         f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY category_count, id) AS r FROM comments "

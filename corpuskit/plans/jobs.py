@@ -9,7 +9,7 @@ from corpuskit.functions.lexicon import UKRAINIAN
 from corpuskit.functions.text import clean_for_model, clean_for_translation, scrub_pii, word_count
 from corpuskit.operators import batch, evaluate, sample, setops
 from corpuskit.operators.ordering import with_position
-from corpuskit.operators.profile import split_stats
+from corpuskit.operators.profile import split_stats_of
 from corpuskit.operators.project import (
     add_missing,
     align_names,
@@ -111,8 +111,7 @@ def split_corpus(df: DataFrame, test_size: float = 0.1, seed: int = 42):
     """(train, test, statistics of the whole and both sides)."""
     flagged = flag_corpus_split(df, test_size, seed)
     train, test = (flagged.where(F.col("is_test") == side).drop("is_test") for side in (0, 1))
-    parts = (("Full", df), ("Train", train), ("Test", test))
-    return train, test, setops.union_same(*[split_stats(rows, name) for name, rows in parts])
+    return train, test, split_stats_of(flagged)
 
 
 def prepare_for_translation(df: DataFrame) -> DataFrame:

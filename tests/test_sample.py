@@ -120,3 +120,25 @@ def test_quota_rules_equal_rule_by_rule(rows):
 def test_draw_is_a_filter_without_shuffle(spark):
     plan = sample.sample_n(spark.range(1000), 10)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_draws_leave_nothing_cached(spark):
+    df = spark.range(4000).withColumn("hot", F.when(F.col("id") % 3 == 0, 1).otherwise(0))
+    draws = {c: ordering.Draw(F.col("hot") == v, sample.draw_key("id", 1), 500) for c, v in (("a", 0), ("b", 1))}
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert df.where(ordering.take_first(df, draws)).count() == 1000
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_running_sums_spread_close_values(spark):
+    """Saturated scores: many distinct values in a tiny interval are still dealt out evenly."""
+    df = spark.range(200_000).select(F.lit("g").alias("g"), (1 - F.col("id") * 1e-9).alias("v"), F.lit(1).alias("n"))
+    out = ordering.running_sums(df, ["g"], "v", ["n"])
+    assert out.where("upto_n != round((v - (1 - 199999e-9)) / 1e-9) + 1").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # the data would fit one partition
+    try:
+        parts = ordering.freeze(df.orderBy("g", "v")).groupBy(F.spark_partition_id().alias("p")).count()
+        sizes = [r["count"] for r in parts.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 4 * 200_000 / len(sizes)
