@@ -1160,7 +1160,28 @@ def word_model():
     return model
 
 
-@query("score_documents")
+def _scored_sql() -> str:
+    """Cleaned text, letter-pair logits, four-digit probabilities, default thresholds and verdict."""
+    plain = _CHAIN_SQL.replace(fx.SQL_DECORATED, "decorated AS (SELECT doc_id, text AS t FROM documents)")
+    pairs = zip(LABELS, ["th", "en", "ou", "ai", "er", "nd"])
+    prob = ", ".join(
+        f"round(1 / (1 + exp(-((length(c) - length(replace(c, '{pair}', ''))) / 2 / greatest(length(c), 1)::DOUBLE * 40 - 1))), 4) "
+        f"AS p_{label}"
+        for label, pair in pairs
+    )
+    bits = ", ".join(f"CASE WHEN p_{c} >= {DEFAULT_THRESHOLDS[c]} THEN 1 ELSE 0 END AS b_{c}" for c in LABELS)
+    names = ", ".join(f"CASE WHEN b_{c} = 1 THEN '  🔸 {c.replace('_', ' ').upper()}' END" for c in LABELS[1:])
+    return (
+        f"WITH cleaned AS ({plain}), p AS (SELECT doc_id AS id, {prob} FROM (SELECT doc_id, cleaned AS c FROM cleaned)), "
+        f"b AS (SELECT *, {bits} FROM p), n AS (SELECT *, list_filter([{names}], lambda x: x IS NOT NULL) AS names FROM b) "
+        f"SELECT id, {', '.join('p_' + c for c in LABELS)}, CASE WHEN {' + '.join('b_' + c for c in LABELS)} = 0 THEN "
+        f"'{score.VERDICT_CLEAN}' ELSE '{score.VERDICT_TOXIC}' || CASE WHEN len(names) > 0 THEN "
+        "' It belongs to the following toxicity categories:' || chr(10) || array_to_string(names, chr(10)) ELSE '' END END "
+        "AS verdict FROM n"
+    )
+
+
+@query("score_documents", _scored_sql())
 def _(spark, d):
     rows = fx.documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("comment"))
     scored = score.apply_thresholds(score.logits_to_probs(score.score(rows, word_model)))
@@ -1188,7 +1209,7 @@ def _(spark, d):
     return profile.category_distribution(spark.read.parquet(out))
 
 
-@query("stream_scores")
+@query("stream_scores", f"SELECT id, verdict FROM ({_scored_sql()})")
 def _(spark, d):
     schema = fx.documents(spark, d).schema
     arriving = scoring.read_stream(spark, f"{d}/documents*.parquet", schema)
