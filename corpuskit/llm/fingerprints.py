@@ -107,7 +107,7 @@ def _in_order(rows: DataFrame, bucket_bytes: int) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("null")).first()
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total["bytes"] or 0) / bucket_bytes))
     shares = [i / wanted for i in range(1, wanted)]
-    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10 * wanted)).first()[0] if shares else None
+    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), max(10_000, 4 * wanted))).first()[0] if shares else None
     edges = np.array(sorted({*(cuts or []), *([] if total["low"] is None else [total["low"]])}), np.int64)
     null_first, last = bool(total["null"]), max(len(edges) - 1, 0)
     place = pa.struct([("bucket", pa.int32()), ("guest_of", pa.int32())])

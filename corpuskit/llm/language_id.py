@@ -20,7 +20,7 @@ from corpuskit.llm.common import batch_of, binary_values, by_bytes, joined
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-CHUNK = 1 << 19  # bytes whose n-grams are looked up together
+CHUNK = 1 << 18  # bytes whose n-grams are looked up together
 SHARE = 4096  # buckets that travel in one row of counts
 
 

@@ -213,53 +213,68 @@ def _dump_rest(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _blocks(docs: DataFrame, limit: int) -> DataFrame:
-    """Consecutive rows of a scan in blocks of about ``limit`` bytes; id and text come first."""
+def _cut(batches, limit: int):
+    """(number, block) of consecutive rows of a scan, about ``limit`` bytes each; id and text come first.
+
+    The number is a digest of the block's place and rows.  Every scan of the table must give the same
+    blocks; if one is split in another way, its answers find no block and the job fails.
+    """
+    context = TaskContext.get()
+    part, place = context.partitionId() if context else 0, 0
+    waiting, total, rows = [], 0, 0
+
+    def flush():
+        whole = pa.Table.from_batches(waiting).combine_chunks()
+        ids = whole.column(0).to_pylist()
+        null = np.array([i is None for i in ids], bool)
+        values = [v for part in whole.column(1).chunks for v in binary_values(part)]
+        missing = whole.column(1).is_null().to_numpy()
+        numbers = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        block = Block(numbers, values, null, missing, _dump_rest(whole))
+        named = np.array([part, place], np.int64).tobytes() + block.ids.tobytes() + block.lengths.tobytes()
+        return xxhash.xxh3_64_intdigest(named) >> 1, block
+
+    for batch in batches:  # where blocks are cut must not depend on where batches are
+        start = 0
+        for i, size in enumerate(pa.compute.binary_length(batch.column(1).cast(pa.binary())).to_pylist()):
+            size = size or 0
+            if rows and total + size > limit:
+                waiting.append(batch.slice(start, i - start))
+                yield flush()
+                waiting, total, rows, place, start = [], 0, 0, place + 1, i
+            total, rows = total + size, rows + 1
+        waiting.append(batch.slice(start))
+    if rows:
+        yield flush()
+    waiting.clear()
+    pa.default_memory_pool().release_unused()
+
 
+def _blocks(docs: DataFrame, limit: int) -> DataFrame:
     def build(batches):
-        context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 32
-        waiting, total, rows = [], 0, 0
-
-        def flush():
-            whole = pa.Table.from_batches(waiting).combine_chunks()
-            ids = whole.column(0).to_pylist()
-            null = np.array([i is None for i in ids], bool)
-            values = [v for part in whole.column(1).chunks for v in binary_values(part)]
-            missing = whole.column(1).is_null().to_numpy()
-            numbers = np.array([NO_ID if i is None else i for i in ids], np.int64)
-            block = Block(numbers, values, null, missing, _dump_rest(whole))
-            return batch_of(_BLOCK, [[number], [block.dump()]])
-
-        for batch in batches:  # where blocks are cut must not depend on where batches are
-            start = 0
-            for i, size in enumerate(pa.compute.binary_length(batch.column(1).cast(pa.binary())).to_pylist()):
-                size = size or 0
-                if rows and total + size > limit:
-                    waiting.append(batch.slice(start, i - start))
-                    yield flush()
-                    waiting, total, rows, number, start = [], 0, 0, number + 1, i
-                total, rows = total + size, rows + 1
-            waiting.append(batch.slice(start))
-        if rows:
-            yield flush()
+        for number, block in _cut(batches, limit):
+            yield batch_of(_BLOCK, [[number], [block.dump()]])
 
     return docs.mapInArrow(build, BLOCK)
 
 
-def _first_ranks(blocks: DataFrame, length: int, bins: int) -> DataFrame:
+def _first_ranks(docs: DataFrame, limit: int, length: int, bins: int) -> DataFrame:
     def rank(batches):
-        for batch in batches:
-            for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                r = Ranked(Block.load(data), length)
-                rows = []
-                for place, a, b in _slices(r.name, bins):
-                    same = r.least[a:b] == r.most[a:b]
-                    packed = pack_arrays(r.name[a:b], r.whole[a:b], r.least[a:b], same.astype(np.uint8), np.arange(a, b, dtype=np.int32))
-                    rows.append((place, number, 0, packed))
-                yield _rows(rows)
+        for number, block in _cut(batches, limit):
+            r = Ranked(block, length)
+            rows = []
+            for place, a, b in _slices(r.name, bins):
+                same = r.least[a:b] == r.most[a:b]
+                packed = pack_arrays(r.name[a:b], r.whole[a:b], r.least[a:b], same.astype(np.uint8), np.arange(a, b, dtype=np.int32))
+                rows.append((place, number, 0, packed))
+            yield _rows(rows)
+
+    return docs.mapInArrow(rank, ROWS)
+
 
-    return blocks.mapInArrow(rank, ROWS)
+def _check(blocks: pa.Table, answers: pa.Table) -> None:
+    if answers.num_rows and not blocks.num_rows:
+        raise ValueError("the table was split differently when it was read again; give the operator a stored table")
 
 
 def _gather(tables: pa.Table, columns: int):
@@ -332,6 +347,7 @@ def _window_pairs(block: Block, windows: np.ndarray, length: int) -> tuple[np.nd
 
 def _apply_first(length: int, bins: int):
     def apply(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        _check(blocks, replies)
         rows = []
         for number, data in zip(blocks.column("block").to_pylist(), blocks.column("data").to_pylist()):
             if not replies.num_rows:
@@ -389,6 +405,7 @@ def _settle_pairs(table: pa.Table) -> pa.Table:
 
 def _remove(length: int):
     def remove(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        _check(blocks, replies)
         out = []
         kinds = replies.column("kind").to_pylist()
         datas = replies.column("data")
@@ -438,8 +455,9 @@ def _search(rows: DataFrame, length: int, block_bytes: int, bin_bytes: int):
         raise ValueError(f"length must be at least {2 * FIRST}")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bins = max(1, -(-total // bin_bytes))
-    bare = _blocks(rows.select("doc_id", "text"), block_bytes)
-    first = _first_ranks(bare, length, bins).groupBy("bin").applyInArrow(_settle_first, REPLY)
+    narrow = rows.select("doc_id", "text")
+    bare = _blocks(narrow, block_bytes)
+    first = _first_ranks(narrow, block_bytes, length, bins).groupBy("bin").applyInArrow(_settle_first, REPLY)
     both = bare.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_apply_first(length, bins), ROWS)
     answers = both.groupBy("bin").applyInArrow(_settle_pairs, REPLY)
     return _blocks(rows, block_bytes).groupBy("block").cogroup(answers.groupBy("block"))
@@ -478,6 +496,7 @@ def without_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 2
     remove = _remove(length)
 
     def keep(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        _check(blocks, replies)
         tables = []
         for i in range(blocks.num_rows):
             block = Block.load(blocks.column("data")[i].as_py())
