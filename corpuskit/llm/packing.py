@@ -11,6 +11,7 @@ members, so memory is bounded at any size.
 import math
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,24 @@ MEMBER = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,off
 BINS = f"closed boolean, sequence_id long, used long, members array<{MEMBER}>"
 
 
+class NotSeparable(Exception):
+    """A text that cannot be cut at its spaces."""
+
+
+class Memo(dict):
+    """Ids of space-delimited chunks, found on first use; the lookup itself stays a plain dictionary's."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise NotSeparable
+        ids = self[chunk] = self.encode(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """Ids of a byte-level BPE tokenizer, remembered per space-delimited chunk.
 
@@ -44,43 +63,49 @@ class ChunkEncoder:
 
         self.whole = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         self.split = regex.compile(PATTERN).findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, pre: str) -> bytes:
-        mapped = pre.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        self.later = Memo(lambda chunk: self._chunk(" " + chunk))
+        self.first = Memo(self._chunk)
+        self.parts: dict[str, bytes] = {}
 
-    def _chunk(self, chunk: str, first: bool) -> bytes:
-        spaced = chunk if first else " " + chunk
-        if chunk.isalpha():
-            return self._ids(spaced)
-        return b"".join([self._ids(p) for p in self.split(spaced)])
+    def _ids(self, match: str) -> bytes:
+        if match.isascii() and match.isalpha():
+            mapped = match
+        else:
+            mapped = match.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+
+    def _part(self, match: str) -> bytes:
+        """Ids of one match; words after a space share the memo of whole chunks."""
+        word = match[1:]
+        if match[0] == " " and word.isalpha():
+            return self.later[word]
+        ids = self.parts.get(match)
+        if ids is None:
+            ids = self.parts[match] = self._ids(match)
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() or (chunk[0] == " " and chunk[1:].isalpha()):
+            return self._ids(chunk)
+        return b"".join([self._part(match) for match in self.split(chunk)])
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.split(" ")
-        memo, out = self.memo, []
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        first = chunks[0]
-        if not first or first[-1].isspace():
+        if len(self.later) + len(self.first) + len(self.parts) > MEMO_ENTRIES:
+            for memo in (self.later, self.first, self.parts):
+                memo.clear()
+        first, *rest = text.split(" ")
+        try:
+            if any(s in text for s in self.special):
+                raise NotSeparable
+            return b"".join([self.first[first], *map(self.later.__getitem__, rest)])
+        except NotSeparable:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out.append(self._chunk(first, True))
-        for c in chunks[1:]:
-            ids = memo.get(c)
-            if ids is None:
-                if not c or c[0].isspace() or c[-1].isspace():
-                    return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                ids = memo[c] = self._chunk(c, False)
-            out.append(ids)
-        return b"".join(out)
 
 
 def token_pieces(
