@@ -1,8 +1,8 @@
 """Language-model scoring by the marginal likelihood of a subword lattice.
 
 The model of a word sums over all its segmentations.  The pieces and their first scores come from
-an existing subword vocabulary; one expectation step over all distinct training words
-turns the scores into unigram probabilities.  A forward recursion in log space gives the
+an existing subword vocabulary; a few expectation steps over all distinct training words
+turn the scores into unigram probabilities.  A forward recursion in log space gives the
 marginal of a word (pieces never cross words, so the lattice of a document is one state wide
 between words).
 
@@ -197,7 +197,9 @@ def _word_scores(types: DataFrame, pieces: Pieces) -> DataFrame:
     return types.mapInArrow(spell, "word string, c long, spelled double")
 
 
-def score(docs: DataFrame, learn: Column, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, learn: Column, model_file: str, steps: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Log10 probabilities of every text under a model of the texts where ``learn`` is true.
 
     Returns ``doc_id``, ``n_tokens`` (words and one end), ``n_known`` (of them seen in training),
@@ -225,13 +227,15 @@ def score(docs: DataFrame, learn: Column, model_file: str, id_col: str = "doc_id
     pieces, weight = read_vocabulary(model_file)
     table, place = piece_table(pieces, weight)
     # every word ends once after its last piece, so the end takes its share of the distribution
-    share, stop = weight * 0.5, math.log10(0.5)
-    if types:
+    stop = math.log10(0.5)
+    for _ in range(steps if types else 0):
         used = _expectation(counted.where("c > 0"), table)[place]
         # pieces that no word used keep a little, single bytes more, so that no word is impossible
         used = used + np.where(np.array([len(p) for p in pieces]) == 1, 1.0, 0.01)
         share, stop = used / (used.sum() + types), math.log10(types / (used.sum() + types))
-    table, _ = piece_table(pieces, share)
+        table, _ = piece_table(pieces, share)
+    if not (types and steps):
+        table, _ = piece_table(pieces, weight * 0.5)
 
     size = float(tokens + distinct + 1)
     free = math.log10(discount * distinct / tokens) if tokens else 0.0  # mass of all segmentations
