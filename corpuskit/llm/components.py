@@ -11,7 +11,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("least"))
     least = least.select(F.col("a").alias("node"), F.least("a", "least").alias("least"))
-    linked = both.join(least, both["a"] == least["node"])
+    linked = both.join(least.hint("merge"), both["a"] == least["node"])
     if large:
         linked = linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:

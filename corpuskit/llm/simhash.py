@@ -184,7 +184,7 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     probes = prints.select("fp", "root", F.explode(F.array(*forms)).alias("p")).select("fp", "root", "p.*")
     met = probes.groupBy("at", "value").agg(F.count("*").alias("n"), F.max("home").alias("met"))
     met = met.where("n > 1 and met").select("at", "value", "n")
-    rows = freeze(probes.join(met, ["at", "value"]))
+    rows = freeze(probes.join(met.hint("merge"), ["at", "value"]))  # all sides grow with the table
 
     light = rows.where(F.col("n") <= PAIRED).groupBy("at", "value")
     light = light.agg(F.collect_list(F.struct("fp", "root", "home")).alias("x"))
@@ -205,7 +205,7 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     star = ball.groupBy("at").agg(
         F.count("*").alias("n"), F.min(F.when(F.col("near"), F.col("root"))).alias("centre")
     ).where("n > 1 and centre is not null").select("at", "centre")
-    tied = ball.join(star, "at").select(F.col("root").alias("a"), F.col("centre").alias("b")).where("a != b")
+    tied = ball.join(star.hint("merge"), "at").select(F.col("root").alias("a"), F.col("centre").alias("b")).where("a != b")
     return pairs.unionByName(tied.distinct())
 
 
@@ -223,9 +223,9 @@ def near_duplicates(
     prints = freeze(rows.groupBy("fp").agg(F.min("doc_id").alias("root")))
     named = prints.where("root is not null")
     found = components(links(named, max_bits))
-    roots = named.join(found, named["root"] == found["node"], "left")
+    roots = named.join(found.hint("merge"), named["root"] == found["node"], "left")
     roots = roots.select("fp", F.coalesce("component", "root").alias("component_id"))
-    return rows.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(roots.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(column: str = "fp"):
