@@ -3,8 +3,8 @@
 A position (a suffix) is named by its first 16 bytes, then by the pair of names at
 offset 16 (32 bytes), then by the pair at offset ``length - 32`` (the threshold).  Spark
 brings equal names together, each round ranks them anew, and positions whose name occurs in
-one document only drop out.  Names are 64-bit hashes and a decision compares two of
-them, so ranks need no global numbering.
+one document only drop out.  Names are hashes, so ranks need no global numbering.  Runs are equal by 96 bits of
+their whole bytes and 32 of their name, windows by 48 and 64 bits of their pair.
 
 Sorting every position of a large corpus would cost many times the text.  Two exact
 savings avoid that:
@@ -38,6 +38,8 @@ from corpuskit.llm.common import WINDOW, batch_of, binary_values, by_bytes, join
 FIRST = WINDOW  # bytes named by the first rank
 CHUNK = 1 << 19  # bytes that are named together; keeps the working arrays small
 NO_ID = np.iinfo(np.int64).max  # a null id is larger than every other
+LOW_HALF = np.uint64(0xFFFFFFFF)
+whole_digest = xxhash.xxh3_128_digest  # of a run's bytes
 
 BLOCK = "block long, data binary"
 ROWS = "bin long, block long, kind int, data binary"
@@ -158,25 +160,26 @@ def runs_of(block: Block, length: int):
 
 
 class Ranked:
-    """The distinct runs of a block in name order, with the smallest document of each."""
+    """The distinct runs of a block in name order, with the smallest document of each.
+
+    The low half of ``name`` belongs to the digest of the whole run.
+    """
 
     def __init__(self, block: Block, length: int):
         self.block, self.length = block, length
         self.doc, self.first, self.size, self.rep, name, before, after = runs_of(block, length)
         # windows from ``split`` on hold the name after the representative, earlier ones the name before
         self.split = np.clip(self.rep - (length - FIRST - reach(length)), self.first, self.first + self.size)
-        raw, digest = memoryview(block.bytes), xxhash.xxh3_64_intdigest
+        raw = memoryview(block.bytes)
         ends = self.first + self.size + length - 1
-        whole = np.fromiter(
-            (digest(raw[a:b], c) for a, b, c in zip(self.first.tolist(), ends.tolist(), (self.rep - self.first).tolist())),
-            np.uint64,
-            len(name),
+        digests = b"".join(
+            whole_digest(raw[a:b], c) for a, b, c in zip(self.first.tolist(), ends.tolist(), (self.rep - self.first).tolist())
         )
-        # a run is known by 48 bits of its name and 64 bits of its whole: 32 of all bytes, 16 of each side it has
-        name = name & ~np.uint64(0xFFFF)
-        whole &= ~np.uint64(0xFFFFFFFF)
-        whole |= np.where(self.split > self.first, before, 0).astype(np.uint64) << np.uint64(16)
-        whole |= np.where(self.split < self.first + self.size, after, 0).astype(np.uint64)
+        high, whole = np.frombuffer(digests, ">u8").reshape(-1, 2).T.astype(np.uint64)
+        # a run is known by 32 bits of its name and, as many runs share name and sides, 96 bits of its whole bytes
+        name = (name & ~LOW_HALF) | (high & LOW_HALF)
+        before = np.where(self.split > self.first, before, 0).astype(np.uint16)
+        after = np.where(self.split < self.first + self.size, after, 0).astype(np.uint16)
         self.id = block.ids[self.doc]
         order = np.lexsort((self.id, whole, name))
         name, whole = name[order], whole[order]
@@ -185,6 +188,7 @@ class Ranked:
         self.entry = np.empty(len(order), np.int64)  # entry of each run
         self.entry[order] = np.cumsum(new) - 1
         self.name, self.whole, self.least = name[new], whole[new], self.id[order][new]
+        self.before, self.after = before[order][new], after[order][new]
         heads = np.flatnonzero(new)
         self.most = self.id[order][np.append(heads[1:], len(order)) - 1] if len(order) else self.least
 
@@ -265,7 +269,8 @@ def _first_ranks(docs: DataFrame, limit: int, length: int, bins: int) -> DataFra
             rows = []
             for place, a, b in _slices(r.name, bins):
                 same = r.least[a:b] == r.most[a:b]
-                packed = pack_arrays(r.name[a:b], r.whole[a:b], r.least[a:b], same.astype(np.uint8), np.arange(a, b, dtype=np.int32))
+                sides = r.before[a:b], r.after[a:b]
+                packed = pack_arrays(r.name[a:b], r.whole[a:b], *sides, r.least[a:b], same.astype(np.uint8), np.arange(a, b, dtype=np.int32))
                 rows.append((place, number, 0, packed))
             yield _rows(rows)
 
@@ -308,14 +313,14 @@ def _settle_first(table: pa.Table) -> pa.Table:
     runs of other smallest documents share the pair.  Answers go to blocks whose copies are larger than
     the smallest document, and to blocks that hold the smallest document of a run that goes on.
     """
-    owner, (name, whole, least, same, entry) = _gather(table, 5)
+    owner, (name, whole, before, after, least, same, entry) = _gather(table, 7)
     order = np.lexsort((least, whole, name))
-    owner, name, whole, least, same, entry = (x[order] for x in (owner, name, whole, least, same, entry))
+    owner, name, whole, before, after, least, same, entry = (x[order] for x in (owner, name, whole, before, after, least, same, entry))
     run = _groups(name, whole)
+    name >>= np.uint64(32)  # without what it holds of the whole
     low = np.repeat(least[run], np.diff(np.append(run, len(name)))) if len(name) else least
     goes = np.zeros(len(name), np.uint8)
-    for bit, shift in ((1, 16), (2, 0)):
-        side = (whole >> np.uint64(shift)).astype(np.uint16)
+    for bit, side in ((1, before), (2, after)):
         order = np.lexsort((side, name))
         pair = _groups(name[order], side[order])
         if len(pair):
@@ -366,7 +371,8 @@ def _apply_first(length: int, bins: int):
             size = np.concatenate([split[early] - r.first[early], (r.first + r.size - split)[late]])
             windows = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             ids = np.repeat(r.id[np.concatenate([early, late])], size)
-            left, right = (x & ~np.uint64(0xFFFF) for x in _window_pairs(r.block, windows, length))  # 96 bits of a pair
+            left, right = _window_pairs(r.block, windows, length)
+            left &= ~np.uint64(0xFFFF)  # many windows share a left name, so the right one stays whole
             order = np.lexsort((ids, right, left))
             left, right, ids = left[order], right[order], ids[order]
             heads = _groups(left, right, ids)

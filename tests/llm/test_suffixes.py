@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 from corpuskit.llm import suffixes
 
@@ -76,3 +78,33 @@ def test_kept_texts_keep_columns(spark, tmp_path):
     assert got == {5: ("x ", "en", 1), 2: (text + " y", None, None), 9: (None, "en", 3), 7: ("short", "de", 4)}
     empty = docs.limit(0)
     assert suffixes.without_repeats(empty).collect() == [] and suffixes.repeated_spans(empty).collect() == []
+
+
+#: two edges of one passage; their runs share name, sides and the upper 32 bits of their 64-bit digest
+PASSAGE = "a passage that very many documents of the table share with one another; no. 1 of them"
+EDGES = "0819720650", "0944536707"
+
+
+def test_edges_of_a_shared_passage(spark, tmp_path):
+    rows = [(i, PASSAGE + e) for i, e in enumerate(EDGES)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r[0]: [tuple(r[1:])] for r in suffixes.repeated_spans(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == plain([(i, t.encode()) for i, t in rows], 50)
+    assert got[1][0][1] == len(PASSAGE) + 1  # the edges begin alike
+
+
+@pytest.mark.parametrize("word", [1, 2, 3])
+def test_each_32_bits_of_a_digest_tell_runs_apart(monkeypatch, word):
+    def narrow(data, seed):
+        full = xxhash.xxh3_128_digest(data, seed)
+        return bytes(4 * word) + full[4 * word : 4 * word + 4] + bytes(12 - 4 * word)
+
+    monkeypatch.setattr(suffixes, "whole_digest", narrow)
+    values = [(PASSAGE + "%010d" % (i * 7919)).encode() for i in range(300)]
+    none = np.zeros(len(values), bool)
+    ranked = suffixes.Ranked(suffixes.Block(np.arange(len(values)), values, none, none), 50)
+    last = np.flatnonzero(np.append(ranked.doc[1:] != ranked.doc[:-1], True))
+    entries = ranked.entry[last]
+    family = np.stack([ranked.name[entries] >> np.uint64(32), ranked.before[entries], ranked.after[entries]])
+    most = np.unique(family, axis=1, return_counts=True)[1].max()
+    assert most > 200 and len(set(entries.tolist())) == len(values)
