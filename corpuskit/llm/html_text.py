@@ -39,26 +39,33 @@ HINTS = set(
     "newsletter subscribe signup login share sharing social breadcrumb breadcrumbs menu menus navbar nav navigation "
     "footer header masthead related recommended widget widgets toolbar pagination pager".split()
 )
+#: names of what readers wrote; other names inside an article need links or controls to agree
+DISCUSSION = set("comments commentlist disqus replies".split())
 ARTICLE = ("article", "main")
+#: these go unless they hold the page's only heading, article or main element
+WRAPPERS = set("nav footer aside form dialog menu header".split())
+CONTROLS = set("form input button select textarea iframe".split())
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+").findall
 
 
 class Node:
-    __slots__ = ("tag", "parent", "content", "hinted", "gone", "chars", "tags", "link_chars", "link_tags", "own", "density", "total")
+    __slots__ = ("tag", "parent", "content", "hinted", "named", "gone", "chars", "tags", "link_chars", "link_tags", "own", "density", "total")
 
-    def __init__(self, tag, parent, hinted=False):
-        self.tag, self.parent, self.content, self.hinted, self.gone = tag, parent, [], hinted, False
+    def __init__(self, tag, parent, hinted=False, named=False):
+        self.tag, self.parent, self.content, self.hinted, self.named, self.gone = tag, parent, [], hinted, named, False
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = 0
         self.density = self.total = 0.0
 
 
-def _hinted(tag: str, attributes: dict) -> bool:
+def _hinted(attributes: dict) -> tuple[bool, bool]:
+    """Whether the element is marked as no part of an article, and whether only a name says so."""
     if attributes.get("role") in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return True, False
     if "display:none" in (attributes.get("style") or "").replace(" ", "").lower():
-        return True
+        return True, False
     named = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
-    return named != " " and any(w.lower() in HINTS for w in _WORDS(named))
+    words = {w.lower() for w in _WORDS(named)} & HINTS if named != " " else set()
+    return bool(words), bool(words) and not words & DISCUSSION
 
 
 class Tree(HTMLParser):
@@ -83,7 +90,7 @@ class Tree(HTMLParser):
         if tag in ENDS_ITEM:
             for kind in ENDS_ITEM[tag]:
                 self._close((kind,), SCOPE)
-        node = Node(tag, self.at, bool(attrs) and _hinted(tag, dict(attrs)))
+        node = Node(tag, self.at, *(_hinted(dict(attrs)) if attrs else ()))
         self.at.content.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -113,11 +120,58 @@ def parse(html: str) -> list[Node]:
     return tree.nodes
 
 
+def _needed(nodes: list[Node]) -> set[int]:
+    """Wrappers around what the page has nowhere else: its heading, article or main element, or most of its text if a form."""
+    if not any(n.tag in WRAPPERS for n in nodes):
+        return set()
+    wrapped, outside, holds, text = set(), set(), {}, {}
+    for node in nodes:
+        if node.parent is not None and (node.parent.tag in WRAPPERS or id(node.parent) in wrapped):
+            wrapped.add(id(node))
+        elif node.tag in ("h1", "main", "article") and not node.hinted:
+            outside.add(node.tag)
+    for node in reversed(nodes):
+        held = holds.setdefault(id(node), set())
+        chars = text.get(id(node), 0) + sum(len("".join(c.split())) for c in node.content if isinstance(c, str))
+        text[id(node)] = chars
+        if node.tag in ("h1", "main", "article") and not node.hinted:
+            held.add(node.tag)
+        hidden = node.hinted and not node.named or node.tag in NEVER and node.tag not in WRAPPERS
+        if node.parent is not None and not hidden:
+            holds.setdefault(id(node.parent), set()).update(held)
+            # menus and other sections beside the text are not text of a form
+            text[id(node.parent)] = text.get(id(node.parent), 0) + (chars if node.tag == "form" or node.tag not in WRAPPERS else 0)
+    most = {id(n) for n in nodes if n.tag == "form" and 2 * text[id(n)] > text[id(nodes[0])] and not outside & set(ARTICLE)}
+    return most | {id(n) for n in nodes if n.tag in WRAPPERS and holds[id(n)] - outside}
+
+
+def _agrees(nodes: list[Node], needed: set[int]) -> set[int]:
+    """Named elements that also look like no text: half of their characters are links, or they hold controls and less than half of the page's text."""
+    if not any(n.named for n in nodes):
+        return set()
+    chars, links, controls = {}, {}, set()
+    for node in reversed(nodes):
+        k = id(node)
+        chars[k] = chars.get(k, 0) + sum(len("".join(c.split())) for c in node.content if isinstance(c, str))
+        links[k] = chars[k] if node.tag == "a" else links.get(k, 0)
+        if node.tag in CONTROLS:
+            controls.add(k)
+        if node.parent is not None:
+            above = id(node.parent)
+            if node.tag not in NEVER or k in needed:
+                chars[above], links[above] = chars.get(above, 0) + chars[k], links.get(above, 0) + links[k]
+            if k in controls:
+                controls.add(above)
+    return {id(n) for n in nodes if n.named and (2 * links[id(n)] >= chars[id(n)] or id(n) in controls and 2 * chars[id(n)] < chars[id(nodes[0])])}
+
+
 def prune(nodes: list[Node]) -> list[Node]:
     """Mark what holds no article, and return the other nodes.
 
     A name alone cuts no element that holds the page's heading or a whole article, since
-    such names also stand on the frame around everything.
+    such names also stand on the frame around everything; inside an article or main element it cuts only
+    what links or controls show to be no text.  A form or other section around the page's heading
+    or article stays, without its controls and their labels.
     """
     holds = set()
     for node in reversed(nodes):
@@ -125,15 +179,22 @@ def prune(nodes: list[Node]) -> list[Node]:
             holds.add(id(node))
             if node.parent is not None:
                 holds.add(id(node.parent))
-    inside = set()  # nodes within an article or main element
+    needed = _needed(nodes)
+    agrees = _agrees(nodes, needed)
+    inside, unwrapped = set(), set()  # nodes within an article or main element, and within a form that stays
     for node in nodes:
         above = node.parent
         if above is None:
             continue
         if above.tag in ARTICLE or id(above) in inside:
             inside.add(id(node))
-        header = node.tag == "header" and id(node) not in inside
-        node.gone = above.gone or node.tag in NEVER or header or (node.hinted and id(node) not in holds)
+        if id(above) in unwrapped or (above.tag == "form" and id(above) in needed):
+            unwrapped.add(id(node))
+        never = node.tag in NEVER or (node.tag == "header" and id(node) not in inside) or (node.tag == "label" and id(node) in unwrapped)
+        named = node.hinted and id(node) not in holds and id(node) not in needed
+        if named and node.named and id(node) in inside:
+            named = id(node) in agrees
+        node.gone = above.gone or (never and id(node) not in needed) or named
     return [n for n in nodes if not n.gone]
 
 

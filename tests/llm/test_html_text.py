@@ -42,6 +42,38 @@ def test_known_articles(frame):
         assert H.main_text(source) == text, source
 
 
+WRAPPED = [
+    '<body><form id="aspnetForm"><input type=hidden value=1><nav>{links}</nav><label>{noise}</label><article>{inner}</article><button>go</button></form></body>',
+    '<body><form><select><option>no</select><ul>{links}</ul><div>{inner}</div></form></body>',
+    '<body><nav><ul>{links}</ul></nav><aside><article>{inner}</article></aside><footer>{noise}</footer></body>',
+    '<body><main><dialog open><article>{inner}</article></dialog></main><aside><p>{noise}</p></aside></body>',
+    '<body><article>{inner}</article><aside><article>{noise}</article></aside></body>',
+    '<body><article><div class="page-header">{inner}</div><div class="share"><ul>{links}</ul></div><div class="widget">{noise}<input></div></article></body>',
+]
+
+
+@pytest.mark.parametrize("frame", WRAPPED)
+def test_articles_in_forms_and_other_sections(frame):
+    rng = random.Random(len(frame))
+    for _ in range(60):
+        source, text = page(rng, frame)
+        assert H.main_text(source) == text, source
+
+
+def test_form_around_a_page_without_heading():
+    assert H.main_text("<body><form><nav><a href=/>menu</a></nav><div><p>Long text of the page. <p>And more.</div><input></form></body>") == "Long text of the page. And more."
+    assert H.main_text("<body><div><p>Long text of the page.</p></div><form><p>Search</p><input></form></body>") == "Long text of the page."
+
+
+@pytest.mark.parametrize("name", ["section-header", "share-price", "reply", "related", "notice", "widget"])
+def test_a_name_alone_cuts_nothing_of_an_article(name):
+    inner = f'<h1>Title</h1><p>First part.</p><div class="{name}"><h2>Second heading</h2></div><p>Second part.</p>'
+    for tag in ("article", "main"):
+        assert H.main_text(f"<body><{tag}>{inner}</{tag}></body>") == "Title First part. Second heading Second part."
+    text = "The whole text of the page stands in here. " * 5
+    assert H.main_text(f'<body><main><h1>Title</h1><div class="{name}"><p>{text}</p><form><input></form></div></main></body>') == f"Title {text.strip()}"
+
+
 def test_text_rules():
     assert H.main_text("<article><p>a &lt;b&gt; c&nbsp;d\n\t e</p><p>f<br>g<b>h</b>i</p></article>") == "a <b> c d e f gh i".replace("gh i", "ghi")
     assert H.main_text("plain   text") == "plain text"
