@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import byte_bpe, fingerprints, html_text, language_id, lattice_lm, neighbours, packing, simhash, suffixes, url_filter
+from corpuskit.llm import byte_bpe, fingerprints, html_text, language_id, lattice_lm, neighbours, packing, simhash, suffixes, token_counts, url_filter
 from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op9(spark, d):
 @query("op10_html_text")
 def op10(spark, d):
     return html_text.extract(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op11_token_counts")
+def op11(spark, d):
+    counts = token_counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
