@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from corpuskit.llm.common import worker_state
 
-MEMO_ENTRIES = 500_000  # remembered counts of a worker, and the longest text remembered
+MEMO_ENTRIES = 1_500_000  # remembered counts of a worker (about 200 MB), and the longest text remembered
 MEMO_CHARS = 64
 BLOCK_CHARS = 1 << 20  # characters of a text whose chunks are held at once
 NONE = np.iinfo(np.int64).max  # the rank of a pair that never merges
@@ -57,6 +57,8 @@ class Merges:
 
     def surviving(self, sequences: list[bytes]) -> np.ndarray:
         """Symbols left of each byte sequence when no pair merges any more."""
+        if not sequences:
+            return np.zeros(0, np.int64)
         counts = np.fromiter(map(len, sequences), np.int64, len(sequences))
         names = np.flatnonzero(counts > 1)
         lengths = counts[names]
@@ -89,9 +91,10 @@ class Merges:
             ends = np.cumsum(lengths)
             last = np.zeros(len(symbols), bool)
             last[ends - 1] = True
-            changed = np.union1d(merged, merged[merged > 0] - 1)
-            ranks[changed] = NONE
-            inner = changed[~last[changed]]
+            touched = np.zeros(len(symbols), bool)
+            touched[merged] = touched[np.maximum(merged - 1, 0)] = True
+            ranks[touched] = NONE
+            inner = np.flatnonzero(touched & ~last)
             ranks[inner] = self.rank(symbols[inner], symbols[inner + 1])
 
     def _apart(self, hits: np.ndarray, best: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -131,9 +134,8 @@ class Counter:
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.matches = regex.compile(PATTERN).findall
         self.safe_cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.unsafe = regex.compile(r"^\s|\s$|^$")
         self.chunks: dict[str, int] = {}  # of text after a space, the space not written
-        self.parts: dict[str, int] = {}
+        self.parts: dict[str, int] = {}  # of pre-tokens other than a space and letters
 
     def blocks(self, text: str) -> Iterator[str]:
         """The text between added tokens, cut where no pre-token can cross; the space at a cut opens the next block."""
@@ -160,23 +162,37 @@ class Counter:
             self.chunks.clear()
             self.parts.clear()
         wanted: set[str] = set()
+        heads = []
         for text in texts:
-            wanted.update(text.split(" ")[1:])
-        self._learn(wanted.difference(self.chunks))
+            head, *rest = text.split(" ")
+            heads += self.matches(head)
+            wanted.update(rest)
+        self._learn(wanted.difference(self.chunks), set(heads))
+
+    def _learn(self, chunks: set[str], parts: set[str] = frozenset()) -> None:
+        """Remember the counts of chunks that may be cut off, and of ``parts``; leave out other chunks."""
+        chunks = [c for c in chunks if c and len(c) <= MEMO_CHARS and not c[0].isspace() and not c[-1].isspace()]
+        split = {c: self.matches(" " + c) for c in chunks if not c.isalpha()}
+        counts = self._count_parts(
+            {p for found in split.values() for p in found}.union(parts, [" " + c for c in chunks if c.isalpha()])
+        )
+        for chunk, found in split.items():
+            self.chunks[chunk] = sum(map(counts.__getitem__, found))
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Remember the counts of chunks that may be cut off; leave out the others."""
-        split = {c: self.matches(" " + c) for c in chunks if len(c) <= MEMO_CHARS and not self.unsafe.search(c)}
-        counts = self._count_parts({p for parts in split.values() for p in parts})
-        for chunk, parts in split.items():
-            self.chunks[chunk] = sum(map(counts.__getitem__, parts))
+    def _remembered(self, part: str) -> int | None:
+        return self.chunks.get(part[1:]) if part[0] == " " and part[1:].isalpha() else self.parts.get(part)
 
     def _count_parts(self, parts: set[str]) -> dict[str, int]:
-        known = {p: self.parts[p] for p in parts if p in self.parts}
-        new = [p for p in parts if p not in known]
-        found = dict(zip(new, self.merges.surviving([p.encode() for p in new]).tolist()))
-        self.parts.update((p, n) for p, n in found.items() if len(p) <= MEMO_CHARS)
-        return known | found
+        counts = {p: self._remembered(p) for p in parts}
+        new = [p for p, n in counts.items() if n is None]
+        for part, n in zip(new, self.merges.surviving([p.encode() for p in new]).tolist()):
+            counts[part] = n
+            if len(part) <= MEMO_CHARS:
+                if part[0] == " " and part[1:].isalpha():
+                    self.chunks[part[1:]] = n
+                else:
+                    self.parts[part] = n
+        return counts
 
     def _block(self, block: str) -> int:
         first, *rest = block.split(" ")
@@ -185,11 +201,12 @@ class Counter:
         except KeyError:
             self._learn(set(rest).difference(self.chunks))
             if any(c not in self.chunks for c in rest):  # other white space, or a very long chunk
-                parts = self.matches(block)
-                return sum(map(self._count_parts(set(parts)).__getitem__, parts))
+                return self._sum(self.matches(block))
             total = sum(map(self.chunks.__getitem__, rest))
-        head = self.matches(first)
-        return total + sum(map(self._count_parts(set(head)).__getitem__, head))
+        return total + self._sum(self.matches(first))
+
+    def _sum(self, parts: list[str]) -> int:
+        return sum(map(self._count_parts(set(parts)).__getitem__, parts))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
