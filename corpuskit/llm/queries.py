@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import byte_bpe, fingerprints, html_text, language_id, lattice_lm, neighbours, packing, simhash, suffixes, token_counts, url_filter
+from corpuskit.llm import (
+    byte_bpe,
+    conversation_repair,
+    fingerprints,
+    html_text,
+    language_id,
+    lattice_lm,
+    neighbours,
+    packing,
+    simhash,
+    suffixes,
+    token_counts,
+    url_filter,
+)
 from corpuskit.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +131,88 @@ def op10(spark, d):
 def op11(spark, d):
     counts = token_counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def _option(cost: int, letter: str, end: int, out: str = "") -> str:
+    row = f"list_prepend({out}, v[{end}].o)" if out else f"v[{end}].o"
+    return f"{{'c': {cost} + v[{end}].c, 'a': '{letter}' || v[{end}].a, 'o': {row}}}"
+
+
+def _own(state: int) -> str:
+    """The least edits that take the row in a state (1 nothing yet, 2 system, 3 user, 4 assistant)."""
+    spoken, name = (4, "assistant") if state == 3 else (3, "user")
+    kept = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}[state]
+    options = [_option(3, "D", state)]
+    for initial, end in kept.items():
+        option = _option(0, "K", end, "role || ':' || text").replace("'c': 0", "'c': cut")
+        options.append(f"CASE WHEN fault IN ('', 't') AND role[1] = '{initial}' THEN {option} END")
+    option = _option(2, "R", spoken, f"'{name}:' || text").replace("'c': 2", "'c': 2 + cut")
+    options.append(f"CASE WHEN fault IN ('', 't') THEN {option} END")
+    return f"list_min([{', '.join(options)}])"
+
+
+def _insert(of: str, name: str) -> str:
+    return f"{{'c': 2 + {of}.c, 'a': 'I' || {of}.a, 'o': list_prepend('{name}:', {of}.o)}}"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE crcs(i, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM crcs WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crcs WHERE k = 8),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         [4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS bytes
+  FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind
+  FROM keyed, tab),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+         trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+  FROM hurt),
+judged AS (
+  SELECT *, CASE WHEN core = '' THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+                 WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS pair
+  FROM placed),
+totals AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+convs AS (
+  SELECT c.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+         coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN totals t ON c.conv_id IS NOT DISTINCT FROM t.conv_id),
+back(conv_id, i, v) AS (
+  SELECT conv_id, n, [{{'c': 0, 'a': '', 'o': []::VARCHAR[]}},
+                      {{'c': 4, 'a': 'II', 'o': ['user:', 'assistant:']}},
+                      {{'c': 2, 'a': 'I', 'o': ['assistant:']}}, {{'c': 0, 'a': '', 'o': []::VARCHAR[]}}]
+  FROM convs
+  UNION ALL
+  SELECT conv_id, i - 1, [list_min([o1, {_insert("b3", "user")}]), list_min([o2, {_insert("b3", "user")}]), b3, b4]
+  FROM (SELECT *, list_min([o3, {_insert("o4", "assistant")}]) AS b3, list_min([o4, {_insert("o3", "user")}]) AS b4
+        FROM (SELECT b.conv_id, i, {", ".join(f"{_own(s)} AS o{s}" for s in (1, 2, 3, 4))}
+              FROM back b JOIN (SELECT *, (fault = 't')::INT AS cut FROM judged) j
+              ON b.conv_id IS NOT DISTINCT FROM j.conv_id AND b.i = j.pos)))
+SELECT c.conv_id, gaps, blank, duplicate, truncated, illegal, v[1].c::BIGINT AS cost, v[1].a AS audit,
+       sha256(array_to_string(v[1].o, chr(10))) AS repaired_sha256
+FROM convs c JOIN back b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = 0
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12(spark, d):
+    damaged = conversation_repair.damage(table(spark, d, "conversations"))
+    return conversation_repair.repair(damaged, live_col="live").withColumnRenamed("sha256", "repaired_sha256")
