@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm import (
     byte_bpe,
+    collocations,
     conversation_repair,
     fingerprints,
     html_text,
@@ -216,3 +217,38 @@ FROM convs c JOIN back b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = 0
 def op12(spark, d):
     damaged = conversation_repair.damage(table(spark, d, "conversations"))
     return conversation_repair.repair(damaged, live_col="live").withColumnRenamed("sha256", "repaired_sha256")
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS phrase
+  FROM split, (VALUES (1), (2), (3)) sizes(n)),
+counts AS (SELECT lang, n, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE n = 1 GROUP BY lang),
+candidates AS (SELECT lang, n, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE n > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.n, c.phrase, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, n)) AS k FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+inner_pairs AS (
+  SELECT lang, w[1] || ' ' || w[2] AS phrase, a AS longer FROM candidates WHERE n = 3
+  UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE n = 3),
+ranked AS (
+  SELECT lang, phrase, a, l, r, score::BIGINT AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest c WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM inner_pairs p WHERE p.lang = c.lang AND p.phrase = c.phrase AND 100 * p.longer >= 50 * c.a))
+SELECT lang, rank, phrase, a, l, r, totals.n AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark, d):
+    return collocations.mine(table(spark, d, "documents"), min_count=10, top=2000, within=50)
