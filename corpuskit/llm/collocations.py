@@ -30,7 +30,7 @@ from corpuskit.session import freeze
 EDGE = b"A"
 EDGES = bytes(EDGE[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 BLOCK_BYTES = 4 << 20
-HELD_WORDS = 3_000_000  # words a task counts before it hands out partial counts
+HELD_WORDS = 2_000_000  # words a task counts before it hands out partial counts
 FILTER_BITS = 28  # at most 2 ** 28 bits (32 MB) of the pair filter
 BLOCK_BITS = 19
 PROBES = 3
@@ -138,7 +138,9 @@ def _triples(held: Held, pair_filter: np.ndarray, bits: int) -> Iterator[pa.Reco
         hashes[used] = word_hashes(lang, [words[i] for i in used.tolist()])
         starts = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
         passes = np.zeros(len(numbers) + 1, bool)
-        passes[starts] = passing(pair_filter, hashes[numbers[starts]], hashes[numbers[starts + 1]], bits)
+        for i in range(0, len(starts), 250_000):
+            some = starts[i : i + 250_000]
+            passes[some] = passing(pair_filter, hashes[numbers[some]], hashes[numbers[some + 1]], bits)
         begin = np.flatnonzero(passes[:-1] & passes[1:])
         pairs, pair = np.unique(numbers[begin] << 32 | numbers[begin + 1], return_inverse=True)
         triples, counts = np.unique(pair << 32 | numbers[begin + 2], return_counts=True)
