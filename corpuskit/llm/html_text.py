@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.llm.common import free_name
+
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -282,6 +284,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     def run(html: pa.Array) -> pa.Array:
         return pa.array([main_text(h) for h in html.to_pylist()], pa.string())
 
-    found = pages.withColumn("__text", arrow_udf(run, "string")(F.col(html_col).cast("string")))
+    name = free_name(pages, "found")
+    found = pages.withColumn(name, arrow_udf(run, "string")(F.col(html_col).cast("string")))
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in (html_col, text_col, "n_chars")]
-    return found.select(*kept, F.col("__text").alias(text_col), F.char_length("__text").cast("long").alias("n_chars"))
+    return found.select(*kept, F.col(name).alias(text_col), F.char_length(name).cast("long").alias("n_chars"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import batch_of, binary_values, by_bytes, joined
+from corpuskit.llm.common import batch_of, binary_values, by_bytes, free_name, joined
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -186,11 +186,11 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", trust_r
     return model._replace(trust=trust / trust.sum(1, keepdims=True))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", ambiguous_below: float = 0.6) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.05) -> DataFrame:
     """``docs`` plus ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``.
 
-    The score is the share of the best codeword among all, from the decoded losses; rows below
-    ``ambiguous_below`` are flagged.  A text that is null or has no letter is ``und`` with
+    The score is the share of the best codeword among all, from the decoded losses.  A row is flagged if the loss
+    of the second nearest codeword is less than ``margin`` above that of the nearest, however many languages there are.  A text that is null or has no letter is ``und`` with
     score 0 and flagged, as is every row without a model; ties go to the first language in
     alphabetical order.  All rows and columns stay; columns named like the new ones are replaced.
     """
@@ -198,22 +198,23 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     if model is None:
         return docs.drop(*new).select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     kind = "struct<lang_pred:string,score:double,ambiguous:boolean>"
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain values: workers may lack this package
     schema = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
     def decide(parts):
-        model = shipped.value
+        model = Model(*shipped.value)
         for texts in parts:
             values = binary_values(texts)
             losses = _losses(bit_scores(values, model.weights), model)
             share = np.exp(losses.min(1, keepdims=True) - losses)
             share = share / share.sum(1, keepdims=True)
+            ahead = np.diff(np.partition(losses, 1, 1)[:, :2], axis=1)[:, 0] if losses.shape[1] > 1 else np.full(len(losses), np.inf)
             out = []
-            for value, loss, row in zip(values, losses, share):
+            for value, loss, row, lead in zip(values, losses, share, ahead):
                 best = int(loss.argmin())
                 known = has_letter(value)
                 score = float(row[best]) if known else 0.0
-                out.append({"lang_pred": model.languages[best] if known else UNKNOWN, "score": score, "ambiguous": score < ambiguous_below})
+                out.append({"lang_pred": model.languages[best] if known else UNKNOWN, "score": score, "ambiguous": not known or bool(lead < margin)})
             yield pa.array(out, schema)
 
     from collections.abc import Iterator
@@ -221,5 +222,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     from pyspark.sql.functions import arrow_udf
 
     decide.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    decided = docs.drop(*new).withColumn("__language", arrow_udf(decide, kind)(F.col(text_col).cast("string")))
-    return decided.select(*[c for c in decided.columns if c != "__language"], *[F.col(f"__language.{c}").alias(c) for c in new])
+    docs = docs.drop(*new)
+    name = free_name(docs, "language")
+    decided = docs.withColumn(name, arrow_udf(decide, kind)(F.col(text_col).cast("string")))
+    return decided.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{name}.{c}").alias(c) for c in new])

@@ -169,12 +169,13 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 def _expectation(types: DataFrame, pieces: Pieces) -> np.ndarray:
     """Expected piece counts over all distinct words; one row per piece reaches the driver."""
     schema = pa.schema([("at", pa.int32()), ("n", pa.float64())])
-    shipped = types.sparkSession.sparkContext.broadcast(pieces)
+    shipped = types.sparkSession.sparkContext.broadcast(tuple(pieces))
 
     def count(batches):
-        total = np.zeros(len(shipped.value.keys))
+        pieces = Pieces(*shipped.value)
+        total = np.zeros(len(pieces.keys))
         for batch in batches:
-            total += expected_counts([w.encode() for w in batch.column(0).to_pylist()], shipped.value)
+            total += expected_counts([w.encode() for w in batch.column(0).to_pylist()], pieces)
         used = np.flatnonzero(total)
         yield batch_of(schema, [used.astype(np.int32), total[used]])
 
@@ -186,12 +187,13 @@ def _expectation(types: DataFrame, pieces: Pieces) -> np.ndarray:
 
 def _word_scores(types: DataFrame, pieces: Pieces) -> DataFrame:
     """``types`` plus ``spelled``: the log10 marginal of every word as pieces."""
-    shipped = types.sparkSession.sparkContext.broadcast(pieces)
+    shipped = types.sparkSession.sparkContext.broadcast(tuple(pieces))
 
     def spell(batches):
+        pieces = Pieces(*shipped.value)
         for batch in batches:
             words = [w.encode() for w in batch.column(0).to_pylist()]
-            score = marginals(words, shipped.value) / LN10 if words else np.zeros(0)
+            score = marginals(words, pieces) / LN10 if words else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "spelled"])
 
     return types.mapInArrow(spell, "word string, c long, spelled double")

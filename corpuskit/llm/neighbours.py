@@ -181,14 +181,14 @@ def nearest(
     few = rows.withColumn("place", place).where(F.col("place") <= k + 1)
     stored = freeze(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     shards = max(1, math.ceil(stored.count() / part_vectors))
-    index = spark.sparkContext.broadcast(Tables(dimension, tables, projections, width, probes))
+    index = Tables(dimension, tables, projections, width, probes)  # below 1 MB, travels with the functions
 
     def count(batches):
         total = np.zeros((tables, shards), np.int64)
         for batch in batches:
             _, units = _units(batch, "v")
             for t in range(tables):
-                keys = index.value.keys(index.value.cells(units, t)[0], t)
+                keys = index.keys(index.cells(units, t)[0], t)
                 total[t] += np.bincount(_shard(keys, shards).astype(int), minlength=shards)
         t, s = np.nonzero(total)
         yield batch_of(pa.schema([("t", pa.int32()), ("s", pa.int64()), ("n", pa.int64())]), [t, s, total[t, s]])
@@ -203,7 +203,7 @@ def nearest(
             ids = batch.column("ids").to_pylist()
             raw, units = _units(batch, "v")
             for t in range(tables):
-                keys = index.value.keys(index.value.cells(units, t)[0], t)
+                keys = index.keys(index.cells(units, t)[0], t)
                 parts = []
                 for s, own in zip(_shard(keys, shards).tolist(), ids):
                     split = int(mix(np.array([own[0]], np.uint64))[0] % splits.value.get((t, s), 1)) if (t, s) in splits.value else 0
@@ -218,7 +218,7 @@ def nearest(
                 raw, units = _units(some, "v")
                 out = []
                 for t in range(tables):
-                    wanted = index.value.probes(units, t) if len(raw) else []
+                    wanted = index.probes(units, t) if len(raw) else []
                     for own, vector, keys in zip(some.column("id").to_pylist(), raw, wanted):
                         shard = _shard(keys, shards)
                         order = np.argsort(shard, kind="stable")

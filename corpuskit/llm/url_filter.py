@@ -149,14 +149,16 @@ def judge(
     new = ["host", "path", "rule", "verdict"]
     spark = pages.sparkSession
     host, path = split_url(url_col)
-    pages = pages.withColumns({"__host": host, "__path": path}).drop(*new)
+    # the page's own columns travel in one, so that no name of theirs can clash
+    own = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in new])
+    pages = pages.select(own.alias("row"), host.alias("at_host"), path.alias("at_path"))
     sizes = rules.select(F.char_length(F.coalesce("path", F.lit(""))).alias("n"), (F.octet_length(F.coalesce("host", F.lit(""))) + F.octet_length(F.coalesce("path", F.lit(""))) + 32).alias("bytes"))
     by_length = sizes.groupBy("n").agg(F.sum("bytes").alias("bytes")).collect()
     lengths, total = sorted(r["n"] for r in by_length), sum(r["bytes"] for r in by_length)
     kind = "struct<rule:string,verdict:string>"
     result = pa.struct([("rule", pa.string()), ("verdict", pa.string())])
-    kept = [F.col(f"`{c}`") for c in pages.columns if not c.startswith("__")]
-    named = [F.col("__host").alias("host"), F.col("__path").alias("path")]
+    kept = ["row.*"]
+    named = [F.col("at_host").alias("host"), F.col("at_path").alias("path")]
 
     if total <= index_limit:
         rows = build_index(rules, 1).collect()  # within index_limit by the sum above
@@ -176,15 +178,15 @@ def judge(
 
         from pyspark.sql.functions import arrow_udf
 
-        found = pages.withColumn("__found", arrow_udf(look_up, kind)("__host", "__path"))
-        return found.select(*kept, *named, F.col("__found.rule").alias("rule"), F.col("__found.verdict").alias("verdict"))
+        found = pages.withColumn("found", arrow_udf(look_up, kind)("at_host", "at_path"))
+        return found.select(*kept, *named, F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"))
 
     shards = -(-total // shard_bytes)
     index = build_index(rules, shards)
-    texts = pages.select("__host", "__path").distinct()
+    texts = pages.select("at_host", "at_path").distinct()
 
     def spread(batches):
-        schema = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), *[(c, pa.string()) for c in ("__host", "__path", "h", "p")]])
+        schema = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), *[(c, pa.string()) for c in ("at_host", "at_path", "h", "p")]])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = [
@@ -198,22 +200,22 @@ def judge(
                 yield batch_of(schema, [shard.astype(np.int32), salt.astype(np.int32), *(list(zip(*rows)) or [[]] * 4)])
 
     def probe(wanted: pa.Table, stored: pa.Table) -> pa.Table:
-        columns = [wanted.column(c).to_pylist() for c in ("__host", "__path", "h", "p")]
+        columns = [wanted.column(c).to_pylist() for c in ("at_host", "at_path", "h", "p")]
         found: list = [None] * wanted.num_rows
         for data in stored.column("data") if stored.num_rows else []:
             found = DigestIndex.mapped(data.as_py()).find([h.encode() for h in columns[2]], [p.encode() for p in columns[3]])
         rows = [(a, b, h, p, v.decode()) for a, b, h, p, v in zip(*columns, found) if v is not None]
-        return pa.table([pa.array(c, pa.string()) for c in (list(zip(*rows)) or [[]] * 5)], names=["__host", "__path", "h", "p", "verdict"])
+        return pa.table([pa.array(c, pa.string()) for c in (list(zip(*rows)) or [[]] * 5)], names=["at_host", "at_path", "h", "p", "verdict"])
 
     salted = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), "data")
-    wanted = texts.mapInArrow(spread, "shard int, salt int, __host string, __path string, h string, p string")
+    wanted = texts.mapInArrow(spread, "shard int, salt int, at_host string, at_path string, h string, p string")
     both = wanted.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt"))
-    hits = both.applyInArrow(probe, "__host string, __path string, h string, p string, verdict string")
+    hits = both.applyInArrow(probe, "at_host string, at_path string, h string, p string, verdict string")
     order = F.struct(F.char_length("h") + F.char_length("p"), F.char_length("h"))
-    best = hits.groupBy("__host", "__path").agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "verdict"), order).alias("__found"))
-    found = pages.join(best, ["__host", "__path"], "left")
-    verdict = F.coalesce("__found.verdict", F.lit(default)).alias("verdict")
-    return found.select(*kept, *named, F.col("__found.rule").alias("rule"), verdict)
+    best = hits.groupBy("at_host", "at_path").agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "verdict"), order).alias("found"))
+    found = pages.join(best, ["at_host", "at_path"], "left")
+    verdict = F.coalesce("found.verdict", F.lit(default)).alias("verdict")
+    return found.select(*kept, *named, F.col("found.rule").alias("rule"), verdict)
 
 
 RULES = T.StructType([T.StructField(c, T.StringType()) for c in ("host", "path", "verdict")])

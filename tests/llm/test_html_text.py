@@ -114,3 +114,11 @@ def test_rows_and_columns(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got.collect()) == [("1", "", 0), ("1", "", 0), ("3", "", 0), ("None", "x y", 3)]
     assert H.extract(df.limit(0)).collect() == []
+
+
+def test_clashing_columns_stay(spark):
+    from corpuskit.llm.html_text import extract
+
+    df = spark.createDataFrame([("<p>Some words of a page.</p>", "a", "b", 1)], "html string, found string, __text string, `c.d` int")
+    row = extract(df).first()
+    assert (row["found"], row["__text"], row["c.d"], row["text"]) == ("a", "b", 1, "Some words of a page.")

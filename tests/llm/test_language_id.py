@@ -62,3 +62,51 @@ def test_defined_results_for_odd_rows(spark):
     alone = L.fit(spark.createDataFrame([(1, "only one", "en", "")], schema))
     assert [r.lang_pred for r in L.predict(spark.createDataFrame(rows[2:4], schema), alone).collect()] == ["und", "en"]
     assert L.predict(spark.createDataFrame([], schema), model).collect() == []
+
+
+def plain_losses(text, model):
+    """The decoder in plain loops: odds of every n-gram, then the loss of every codeword."""
+    framed = b" " + text.encode() + b" "
+    buckets = [b for _, found in L.ngram_buckets([text.encode()]) for b in found.tolist()]
+    assert len(buckets) == sum(max(0, len(framed) - o + 1) for o in L.ORDERS)
+    bits = [sum(float(model.weights[b, j]) for b in buckets) / len(buckets) ** 0.5 for j in range(model.code.shape[1])]
+    return [
+        sum(model.trust[i, j] * np.log1p(np.exp(-bits[j] * model.code[i, j])) for j in range(len(bits)))
+        for i in range(len(model.languages))
+    ]
+
+
+def many_languages(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in range(30):
+        letters = [chr(97 + i) for i in rng.permutation(26)[:9]]
+        words = ["".join(rng.choice(letters, rng.integers(2, 6))) for _ in range(30)]
+        rows += [(n * 50 + i, " ".join(rng.choice(words, 25)), f"l{n:02d}") for i in range(12)]
+    return rows, L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_decoding_equals_plain_loops_and_short_texts_stay(spark):
+    rows, model = many_languages(spark)
+    texts = [t for _, t, _ in rows[::7]] + [" ".join(t.split()[:2]) for _, t, _ in rows[::5]] + ["ok", "Hello", "q"]
+    got = L.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1), model).collect()
+    flagged = 0
+    for row, text in zip(got, texts):
+        losses = plain_losses(text, model)
+        least, second = sorted(losses)[:2]
+        assert row.lang_pred == model.languages[int(np.argmin(losses))]
+        assert abs(row.score - 1 / sum(np.exp(least - x) for x in losses)) < 1e-6
+        if abs(second - least - 0.05) > 1e-6:
+            assert row.ambiguous == (second - least < 0.05)
+        flagged += row.ambiguous
+    assert flagged <= 0.05 * len(texts), "clear texts are kept, however many languages there are"
+    tie = L.Model(["a", "b"], L.codewords(2), np.zeros((L.BUCKETS, 1), np.float32), np.ones((2, 1)))
+    row = L.predict(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), tie).first()
+    assert (row.lang_pred, row.score, row.ambiguous) == ("a", 0.5, True)
+
+
+def test_clashing_columns_stay(spark):
+    _, model = many_languages(spark)
+    df = spark.createDataFrame([(1, "ab cd", "x", "y", 2)], "doc_id long, text string, language string, __language string, `a.b` int")
+    row = L.predict(df, model).first()
+    assert (row["language"], row["__language"], row["a.b"]) == ("x", "y", 2)

@@ -66,3 +66,16 @@ def test_query_covers_all_pages(spark, small):
     assert len(rows) == len(urls)
     for r in rows:
         assert (r.host, r.path, r.rule, r.verdict) == plain(urls[r.page_id], OP8_RULES)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_clashing_columns_stay(spark, limit):
+    from corpuskit.llm.queries import OP8_RULES
+
+    schema = "url string, row int, __host string, at_host string, `a.b` int, found string, h string, verdict string"
+    df = spark.createDataFrame([("http://x.net/fr/a", 1, "one", "two", 3, "four", "five", "old")], schema)
+    got = U.judge(df, spark.createDataFrame(OP8_RULES, U.RULES), index_limit=limit).first().asDict()
+    assert got == {
+        "url": "http://x.net/fr/a", "row": 1, "__host": "one", "at_host": "two", "a.b": 3, "found": "four", "h": "five",
+        "host": "x.net", "path": "/fr/a", "rule": "net/fr/", "verdict": "block",
+    }
