@@ -88,7 +88,7 @@ class Block:
     def dump(self) -> bytes:
         head = pack_arrays(self.ids, self.null.astype(np.uint8), self.missing.astype(np.uint8), self.lengths, np.frombuffer(self.rest, np.uint8))
         text = b"".join(self.bytes[s : s + n].tobytes() for s, n in zip(self.starts, self.lengths))
-        body = zstandard.ZstdCompressor(level=1).compress(text)
+        body = zstandard.ZstdCompressor(level=3).compress(text)
         return np.array([len(head)], "<i8").tobytes() + head + body
 
     @classmethod
@@ -462,11 +462,11 @@ def _search(rows: DataFrame, length: int, block_bytes: int, bin_bytes: int):
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bins = max(1, -(-total // bin_bytes))
     narrow = rows.select("doc_id", "text")
-    bare = _blocks(narrow, block_bytes)
+    blocks = _blocks(rows, block_bytes)  # both steps below read the same exchange of texts
     first = _first_ranks(narrow, block_bytes, length, bins).groupBy("bin").applyInArrow(_settle_first, REPLY)
-    both = bare.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_apply_first(length, bins), ROWS)
+    both = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_apply_first(length, bins), ROWS)
     answers = both.groupBy("bin").applyInArrow(_settle_pairs, REPLY)
-    return _blocks(rows, block_bytes).groupBy("block").cogroup(answers.groupBy("block"))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block"))
 
 
 def repeated_spans(
