@@ -6,11 +6,13 @@ smallest key of the group.  A cut-off is found with narrow aggregates and turns
 the draw into a plain filter, so the rows themselves are never shuffled or sorted.
 """
 
+import json
 from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +23,18 @@ from corpuskit.session import freeze
 BUCKET_CHARS = 4  # 65,536 buckets of a hexadecimal key
 
 
-def draw_key(row_id: str | Column, seed: int | str) -> Column:
+def draw_key(row_id: str | Column, seed: int | str | Column) -> Column:
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")).cast("binary"))
+    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", seed, row_id.cast("string")).cast("binary"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def order_token(df: DataFrame, columns: list[str]) -> Column:
@@ -147,6 +158,79 @@ def take_first(df: DataFrame, draws: Mapping[str, Draw]) -> Column:
     return chosen(draws, cutoffs(df, draws))
 
 
+def _bucket(token: str) -> Column:
+    return F.conv(F.substring(token, 1, BUCKET_CHARS), 16, 10).cast("int")
+
+
+def smallest(picks: DataFrame, by: str, need: Mapping[int, int]) -> DataFrame:
+    """The rows of each group ``by`` with the ``need`` smallest draw keys in ``token`` (all, where there are fewer).
+
+    Draw keys are uniform: one scan counts them per prefix of 16 bits, a second reads only the rows
+    up to the prefix that completes a group.  The driver sees one row per group.  Ties of whole keys are all kept.
+    """
+    bucket, wanted = _bucket("token"), _literal_map(need)[F.col(by)]
+    counts = picks.groupBy(by, bucket.alias("bucket")).agg(F.count("*").alias("rows"))
+    before = W.partitionBy(by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    below = counts.withColumn("below", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    last = below.where(F.col("below") < wanted).groupBy(by).agg(F.max("bucket").alias("bucket")).collect()
+    if not last:
+        return picks.where("false")
+    near = picks.where(bucket <= _literal_map({r[by]: r["bucket"] for r in last})[F.col(by)])
+    place = F.rank().over(W.partitionBy(by).orderBy("token"))
+    return near.withColumn("place", place).where(F.col("place") <= wanted).drop("place")
+
+
+def _literal_map(values: Mapping) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def key_histogram(df: DataFrame, draws: Mapping[str, Draw]) -> dict[str, np.ndarray]:
+    """Rows of each draw per prefix of 16 bits of its (uniform) draw key, by one scan; ``n`` is not used.
+
+    The driver receives at most 65,536 counts per draw.
+    """
+    member = [F.when(d.rule, F.struct(F.lit(name).alias("draw"), d.token.alias("token"))) for name, d in draws.items()]
+    keys = df.select(F.explode(F.array_compact(F.array(*member))).alias("m")).select("m.draw", _bucket("m.token").alias("bucket"))
+    table = keys.groupBy("draw", "bucket").agg(F.count("*").alias("rows")).toArrow()
+    found = {name: np.zeros(1 << 4 * BUCKET_CHARS, np.int64) for name in draws}
+    names = np.array(table.column("draw").to_pylist(), object)
+    buckets, rows = table.column("bucket").to_numpy(), table.column("rows").to_numpy()
+    for name, counts in found.items():
+        own = names == name
+        counts[buckets[own]] = rows[own]
+    return found
+
+
+def key_cutoffs(df: DataFrame, draws: Mapping[str, Draw], histogram: Mapping[str, np.ndarray]) -> dict[str, str | None]:
+    """Largest draw key each draw takes, given the histogram of the same rules and keys.
+
+    One scan reads the keys of the prefix in which a draw ends, 1/65,536 of its rows; draws
+    that take all rows or end with a prefix need none.  ``None`` where a draw takes nothing.
+    """
+    result: dict[str, str | None] = {}
+    bands, rest = {}, {}
+    for name, draw in draws.items():
+        upto = np.cumsum(histogram[name])
+        if draw.n <= 0 or not upto[-1]:
+            result[name] = None
+            continue
+        bucket = int(np.searchsorted(upto, min(draw.n, upto[-1])))
+        prefix = f"{bucket:0{BUCKET_CHARS}x}"
+        if draw.n >= upto[bucket]:
+            result[name] = prefix + "g"  # behind every key of the prefix
+        else:
+            bands[name] = draw._replace(rule=draw.rule & draw.token.startswith(prefix))
+            rest[name] = int(draw.n - (upto[bucket] - histogram[name][bucket]))
+    if bands:
+        member = [F.when(d.rule, F.struct(F.lit(n).alias("draw"), d.token.alias("token"))) for n, d in bands.items()]
+        band = df.select(F.explode(F.array_compact(F.array(*member))).alias("m")).select("m.draw", "m.token")
+        place = F.row_number().over(W.partitionBy("draw").orderBy("token"))
+        edge = _literal_map(rest)[F.col("draw")]
+        for row in band.withColumn("place", place).where(F.col("place") == edge).collect():
+            result[row["draw"]] = row["token"]
+    return result
+
+
 def draw_rank(df: DataFrame, row_id: str, seed: int | str, by: list[str] = [], out: str = "rank") -> DataFrame:
     """Exact 1-based rank by draw key inside ``by``, spread over 65,536 even buckets per group.
 

@@ -7,27 +7,34 @@ partitioning.  Ids must be unique.  Draws are filters on cut-off keys (see
 
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.operators.ordering import (
     Draw,
     chosen,
-    cutoffs,
     draw_key,
     draw_rank,
+    free_name,
+    key_cutoffs,
+    key_histogram,
     order_token,
+    smallest,
     take_first,
 )
 from corpuskit.operators.project import stratum
 from corpuskit.schema import IDENTITIES, LABELS
+from corpuskit.session import freeze
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, row_id: str = "id", strict: bool = True) -> DataFrame:
     """Exactly ``n`` rows without replacement; asking for more than there are is an error."""
-    if strict and df.count() < n:
+    draws = {"all": Draw(F.lit(True), draw_key(row_id, seed), n)}
+    histogram = key_histogram(df, draws)
+    if strict and histogram["all"].sum() < n:
         raise ValueError(f"cannot draw {n} rows without replacement from a smaller table")
-    return df.where(take_first(df, {"all": Draw(F.lit(True), draw_key(row_id, seed), n)}))
+    return df.where(chosen(draws, key_cutoffs(df, draws, histogram)))
 
 
 def shuffle(df: DataFrame, seed: int = 42, row_id: str = "id") -> DataFrame:
@@ -96,19 +103,17 @@ QUOTA_PROGRAMME = (
 # ------------------------------------------------------------------------------
 
 
-def _rule_draw(rule: QuotaRule, seed: int | str, row_id: str) -> Draw:
-    candidate = (
+def _candidate(rule: QuotaRule) -> Column:
+    return (
         (F.col(rule.category) == 1)
         & (F.col("label_count") == rule.label_count)
         & (F.col("category_count") <= rule.max_identities)
     )
-    return Draw(candidate, draw_key(row_id, seed), rule.n)
 
 
 def add_category_samples(df: DataFrame, rule: QuotaRule, seed: int = 42, row_id: str = "id") -> DataFrame:
     """Set ``keep`` on up to ``rule.n`` random candidates that are not kept yet."""
-    draw = _rule_draw(rule, seed, row_id)
-    draw = draw._replace(rule=draw.rule & (F.col("keep") == 0))
+    draw = Draw(_candidate(rule) & (F.col("keep") == 0), draw_key(row_id, seed), rule.n)
     taken = take_first(df, {"rule": draw})
     return df.withColumn("keep", F.when(taken, 1).otherwise(F.col("keep")))
 
@@ -118,35 +123,44 @@ def apply_quota_rules(
 ) -> DataFrame:
     """Run the rules in order; each sees the rows that earlier rules kept.
 
-    Rules for different label counts never compete for a row, so they form
-    independent chains that advance together: one small job per step instead of
-    one per rule.  What a rule took is remembered as its cut-off, so the result
-    is a single projection of the table.  Narrow open rows are cached on the way, one set at a time.
+    Rules for different label counts never compete for a row, so they form independent chains.  The
+    rows a rule takes are among its ``n`` + (all earlier quotas of its chain) smallest draw keys, since
+    earlier rules can take no more than their quotas.  One scan counts keys per rule and prefix, which
+    bounds those keys; a second gathers them; the chains are then resolved on that
+    table, whose size depends on the quotas and not on the data.  The ids taken (at most the sum of all quotas)
+    are broadcast back to ``df``.
     """
-    columns = [row_id, "keep", "label_count", "category_count", *dict.fromkeys(r.category for r in rules)]
-    open_rows = df.select(*dict.fromkeys(columns)).where("keep = 0 AND label_count > 0").persist()
-    chains: dict[int, list[tuple[int, QuotaRule]]] = {}
+    need, before = {}, {}
     for number, rule in enumerate(rules):
-        chains.setdefault(rule.label_count, []).append((number, rule))
-    taken: list[Column] = []
-    for step in range(max(map(len, chains.values()), default=0)):
-        draws = {}
-        for label_count, chain in chains.items():
-            if step < len(chain):
-                number, rule = chain[step]
-                draws[str(label_count)] = _rule_draw(rule, f"{seed}-{number}", row_id)
-        now = chosen(draws, cutoffs(open_rows, draws))
-        taken.append(now)
-        # the next step starts from the rows that are still open
-        following = open_rows.where(~now).persist()
-        following.count()
-        open_rows.unpersist()
-        open_rows = following
-    open_rows.unpersist()
-    keep = F.col("keep") == 1
-    for condition in taken:
-        keep = keep | condition
-    return df.withColumn("keep", F.when(keep, 1).otherwise(0))
+        need[number] = before.get(rule.label_count, 0) + rule.n
+        before[rule.label_count] = need[number]
+    rules = dict(enumerate(rules))
+    wanted = {n: r for n, r in rules.items() if r.n > 0}
+    if not wanted:
+        return df.withColumn("keep", F.when(F.col("keep") == 1, 1).otherwise(0))
+    matching = F.array_compact(F.array(*[F.when(_candidate(r), F.lit(n)) for n, r in wanted.items()]))
+    picks = df.where("keep = 0").select(F.col(row_id).alias("id"), F.explode(matching).alias("rule"))
+    picks = picks.withColumn("token", draw_key("id", F.concat(F.lit(f"{seed}-"), "rule")))
+    near = freeze(smallest(picks, "rule", {n: need[n] for n in wanted}))
+    chain = F.create_map(*[F.lit(x) for n, r in wanted.items() for x in (n, r.label_count)])[F.col("rule")]
+    quota = {n: r.n for n, r in wanted.items()}
+
+    def resolve(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rule", "token", "id"))), key=lambda r: r[:2])
+        taken, left = set(), dict(quota)
+        for number, _, own in rows:
+            if left[number] and own not in taken:
+                taken.add(own)
+                left[number] -= 1
+        return pa.table({"id": pa.array(list(taken), table.schema.field("id").type)})
+
+    kind = near.select("id").schema
+    taken = freeze(near.withColumn("chain", chain).groupBy("chain").applyInArrow(lambda t: resolve(t), kind).distinct())
+    own, mark = free_name(df, "own"), free_name(df, "mark")
+    marked = F.broadcast(taken.select(F.col("id").alias(own), F.lit(1).alias(mark)))
+    joined = df.join(marked, F.col(row_id).eqNullSafe(F.col(own)), "left")
+    keep = F.when((F.col("keep") == 1) | (F.col(mark) == 1), 1).otherwise(0)
+    return joined.select(*[keep.alias(c) if c == "keep" else F.col(f"`{c}`") for c in df.columns])
 
 
 def select_n(
@@ -193,11 +207,12 @@ def flag_split(
     """Add ``is_test`` so that toxic and identity ratios are those of the whole table."""
     name = stratum(toxicity, identities)
     strata = ["toxic_identity", "toxic_plain", "clean_identity", "clean_plain"]
-    counts = df.agg(*[F.count_if(name == s).alias(s) for s in strata]).first().asDict()
     token = draw_key(row_id, seed)
-    quotas = split_quotas(counts, test_size)
-    draws = {s: Draw(name == s, token, n) for s, n in quotas.items()}
-    return df.withColumn("is_test", F.when(take_first(df, draws), 1).otherwise(0))
+    draws = {s: Draw(name == s, token, 0) for s in strata}
+    histogram = key_histogram(df, draws)
+    quotas = split_quotas({s: int(n.sum()) for s, n in histogram.items()}, test_size)
+    draws = {s: draw._replace(n=quotas[s]) for s, draw in draws.items()}
+    return df.withColumn("is_test", F.when(chosen(draws, key_cutoffs(df, draws, histogram)), 1).otherwise(0))
 
 
 def rule_based_split(df: DataFrame, shuffled: bool = False, **options) -> tuple[DataFrame, DataFrame]:
@@ -218,8 +233,9 @@ def balance_binary(
     identity_fraction: float = 0.25,
     row_id: str = "id",
     top_up: bool = False,
+    shuffled: bool = False,
 ) -> DataFrame:
-    """Equal numbers of positive and negative rows.
+    """Equal numbers of positive and negative rows, in seeded random order if ``shuffled``.
 
     ``downsample`` draws min(positive, negative) of each class; with identity
     categories a share of the negatives is picked by identity first and, as a row
@@ -230,23 +246,25 @@ def balance_binary(
     if method not in ("downsample", "upsample"):
         raise ValueError(f"Unknown method: {method}")
     positive, negative = F.col(label) > 0, F.col(label) == 0
-    size = df.agg(F.count_if(positive).alias("pos"), F.count_if(negative).alias("neg")).first()
+    key = draw_key(row_id, seed)
+    draws = {"pos": Draw(positive, key, 0), "neg": Draw(negative, key, 0)}
+    histogram = key_histogram(df, draws)
+    size = {side: int(counts.sum()) for side, counts in histogram.items()}
     if method == "upsample":
-        return _bootstrap(df, positive, negative, size, seed, row_id)
+        balanced = _bootstrap(df, positive, negative, size, seed, row_id)
+        return balanced.orderBy(draw_key(F.concat_ws(":", row_id, "slot"), seed), row_id, "slot") if shuffled else balanced
     n = min(size["pos"], size["neg"])
-    key = draw_key(row_id, seed)
-    draws = {"pos": Draw(positive, key, n)}
-    if not identity_categories:
-        draws["neg"] = Draw(negative, key, n)
-        return df.where(take_first(df, draws))
-    wanted = int(n * identity_fraction)
-    picks = identity_draws(df, identity_categories, wanted, row_id, negative)
-    picked = take_first(df, picks)
-    random_n = n - wanted
-    if top_up:
-        random_n = n - df.where(picked).count()
-    draws["neg"] = Draw(negative & ~picked, key, random_n)
-    return df.where(picked | take_first(df, draws))
+    taken, random_n = F.lit(False), n
+    if identity_categories:
+        wanted = int(n * identity_fraction)
+        taken = take_first(df, identity_draws(df, identity_categories, wanted, row_id, negative))
+        draws["neg"] = Draw(negative & ~taken, key, 0)
+        histogram |= key_histogram(df, {"neg": draws["neg"]})
+        picked = size["neg"] - int(histogram["neg"].sum())
+        random_n = n - (picked if top_up else wanted)
+    draws = {"pos": draws["pos"]._replace(n=n), "neg": draws["neg"]._replace(n=random_n)}
+    balanced = df.where(taken | chosen(draws, key_cutoffs(df, draws, histogram)))
+    return shuffle(balanced, seed, row_id) if shuffled else balanced
 
 
 def _bootstrap(df, positive, negative, size, seed, row_id) -> DataFrame:

@@ -95,9 +95,11 @@ def sample_corpus(
     toxic, identity = F.col("label_count") > 0, F.col("category_count") > 0
     kept = sample.apply_quota_rules(seed_keep(df).withColumn("keep", F.when(toxic, F.col("keep")).otherwise(0)), rules, seed)
     eligible = ~toxic & ~identity & plain_condition()
-    if strict and df.where(eligible).count() < n_plain:
+    draws = {"plain": sample.Draw(eligible, sample.draw_key("id", seed), n_plain)}
+    histogram = sample.key_histogram(df, draws)
+    if strict and histogram["plain"].sum() < n_plain:
         raise ValueError(f"fewer than {n_plain} eligible plain rows")
-    plain = sample.take_first(df, {"plain": sample.Draw(eligible, sample.draw_key("id", seed), n_plain)})
+    plain = sample.chosen(draws, sample.key_cutoffs(df, draws, histogram))
     clean = sample.take_first(df, sample.identity_draws(df, identities, n_identity, "id", ~toxic & identity))
     # one filter over one scan; three unioned branches would scan the corpus three times
     return freeze(kept.where((toxic & (F.col("keep") == 1)) | plain | clean).drop("keep"))

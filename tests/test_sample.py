@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators import ordering, project, sample
 from corpuskit.plans import fixtures as fx
-from corpuskit.schema import IDENTITIES
+from corpuskit.schema import IDENTITIES, LABELS
 from corpuskit.session import freeze
 
 
@@ -142,3 +142,81 @@ def test_running_sums_spread_close_values(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(sizes) < 4 * 200_000 / len(sizes)
+
+
+def scans(spark, df, action):
+    """How often ``action`` reads the rows of ``df`` before its result is read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    result = action(df.mapInArrow(count, df.schema))
+    return result, read.value / df.count()
+
+
+def test_draws_scan_twice(spark, rows):
+    rows = freeze(rows.repartition(3))
+    plain = sample.sample_n(rows, 77)
+    for action, same in (
+        (lambda df: sample.sample_n(df, 77), lambda got: ids(got) == ids(plain)),
+        (lambda df: sample.flag_split(df), lambda got: got.where("is_test = 1").count() > 0),
+        (lambda df: sample.balance_binary(df), lambda got: got.count() > 0),
+        (lambda df: sample.apply_quota_rules(project.seed_keep(df)), lambda got: got.where("keep = 1").count() > 0),
+    ):
+        got, number = scans(spark, rows, action)
+        assert number <= 2 and same(got)
+
+
+def test_key_cutoffs_at_every_size(spark):
+    """Whole groups, empty groups, ends inside and at the end of a prefix, repeated ids."""
+    df = spark.range(3000).union(spark.range(50)).withColumn("g", F.col("id") % 3)
+    draws = {str(g): ordering.Draw(F.col("g") == g, ordering.draw_key("id", 7), 0) for g in range(4)}
+    histogram = ordering.key_histogram(df, draws)
+    order = {g: sorted([i for i in [*range(3000), *range(50)] if i % 3 == g], key=lambda i: key(i, 7)) for g in range(3)}
+    for n in (0, 1, 2, 333, 999, 1017, 5000):
+        last = ordering.key_cutoffs(df, {k: d._replace(n=n) for k, d in draws.items()}, histogram)
+        for g in range(3):
+            got = ids(df.where(ordering.chosen({str(g): draws[str(g)]}, last)))
+            ends = order[g][: n] and order[g][min(n, len(order[g])) - 1]
+            want = [i for i in order[g] if n and key(i, 7) <= key(ends, 7)]
+            assert got == sorted(want), (n, g)
+        assert last["3"] is None
+
+
+def test_quota_programme_on_a_view_with_hot_rules(spark):
+    """All 45 rules over an unfrozen view, a third of the rows in one rule, null and repeated ids, clashing names."""
+    base = spark.range(6000).select(
+        F.when(F.col("id") == 17, None).when(F.col("id") == 18, 19).otherwise(F.col("id")).alias("id"),
+        *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(5)) == 0).cast("int").alias(c) for c in LABELS + IDENTITIES],
+    )
+    hot = F.col("id") % 3 == 0
+    view = base.withColumns({"insult": F.when(hot, 1).otherwise(F.col("insult")), "obscene": F.when(hot, 1).otherwise(F.col("obscene"))})
+    view = view.withColumns({
+        "label_count": F.when(hot, 2).otherwise(sum(F.col(c) for c in LABELS)),
+        "category_count": F.when(hot, 0).otherwise(sum(F.col(c) for c in IDENTITIES)),
+        "keep": (F.pmod(F.xxhash64("id"), F.lit(50)) == 0).cast("int"), "own": F.lit("x"), "token": F.lit("y"), "rule": F.lit("z"),
+    })
+    rules = [r._replace(n=max(1, r.n // 20)) for r in sample.QUOTA_PROGRAMME]
+    table = [r.asDict() for r in view.collect()]
+    kept = {r["id"] for r in table if r["keep"] == 1}
+    for number, rule in enumerate(rules):
+        found = {r["id"] for r in table if r["keep"] == 0 and r["id"] not in kept and r[rule.category] == 1
+                 and r["label_count"] == rule.label_count and r["category_count"] <= rule.max_identities}
+        name = lambda i: hashlib.md5((f"42-{number}" if i is None else f"42-{number}:{i}").encode()).hexdigest()
+        kept |= set(sorted(found, key=name)[: rule.n])
+    got = sample.apply_quota_rules(view, rules)
+    assert got.columns == view.columns
+    assert {r["id"] for r in got.where("keep = 1").collect()} == kept
+    assert got.count() == 6000
+
+
+def test_balance_in_seeded_order(spark):
+    df = spark.range(500).withColumn("toxic", (F.col("id") % 4 == 0).cast("int"))
+    got = [r["id"] for r in sample.balance_binary(df, shuffled=True).collect()]
+    assert got == sorted(got, key=key) != sorted(got) and len(got) == 250
+    up = sample.balance_binary(df, method="upsample", shuffled=True)
+    first, second = up.collect(), sample.balance_binary(df.repartition(5), method="upsample", shuffled=True).collect()
+    assert len(first) == 750 and first == second and [r["id"] for r in first] != sorted(r["id"] for r in first)
