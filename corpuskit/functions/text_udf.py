@@ -7,6 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpuskit.functions.runs import periodic_stretches
+
 # --- Fixed values: code points with the Unicode property Emoji (emoji-data, version 16) ---
 # digits, "#" and "*" have it too, but are emoji in key caps only
 EMOJI_RANGES = """
@@ -108,59 +110,31 @@ def _fold(text: str) -> str:
     return "".join(char.lower()[0] for char in text)
 
 
-def _possible_periods(ids: np.ndarray, longest: int):
-    """Periods of three or more words also repeat a four-word sequence at that distance."""
-    yield from range(2, min(longest, 2) + 1)
-    if longest < 3:
-        return
-    pairs = np.unique(ids[:-1] * len(ids) + ids[1:], return_inverse=True)[1]
-    fours = np.unique(pairs[:-2] * len(ids) + pairs[2:], return_inverse=True)[1]
-    order = np.argsort(fours, kind="stable")
-    equal = fours[order[1:]] == fours[order[:-1]]
-    if not equal.any():
-        return
-    group = np.flatnonzero(np.concatenate(([True], ~equal)))
-    group_end = np.concatenate((group[1:], [len(order)])) - 1
-    nearest = int((order[1:] - order[:-1])[equal].min())
-    farthest = int((order[group_end] - order[group]).max())
-    yield from range(max(nearest, 3), min(farthest, longest) + 1)
-
-
 def _periodic_starts(words: list[str], repeats: int) -> list[tuple[int, int, int]]:
     """(first, last, period): word positions where a unit of ``period`` words may repeat.
 
-    A unit of m words that occurs ``repeats + 1`` times gives a run of at least
-    ``repeats * m - 2`` positions k with word[k] == word[k + m].  Such a run
-    covers several consecutive multiples of a stride near m / 2, so testing the
-    multiples finds every run in O(n log n) word comparisons overall.
+    A unit of m words that occurs ``repeats + 1`` times gives a stretch of at least ``repeats * m - 2``
+    positions k with word[k] == word[k + m]: its first and last words may match in part only.
     """
     count = len(words)
-    codes = {}
+    # a unit of two words repeats at once, a longer one repeats a sequence of four words somewhere
+    fours = list(zip(words, words[1:], words[2:], words[3:]))
+    if len(set(fours)) == len(fours) and not any(a == c and b == d for a, b, c, d in fours):
+        return []
+    codes: dict[str, int] = {}
     ids = np.array([codes.setdefault(word, len(codes)) for word in words], dtype=np.int64)
-    found = []
-    for period in _possible_periods(ids, count // (repeats + 1)):
-        run = repeats * period - 2
-        stride = max(1, (period - 1) // 2)
-        hits = ids[: count - period : stride] == ids[period::stride]
-        for _ in range(run // stride - 1):
-            hits = hits[1:] & hits[:-1]
-        if not hits.any():
-            continue
-        same = np.concatenate(([False], ids[:-period] == ids[period:], [False]))
-        edges = np.flatnonzero(same[1:] != same[:-1])
-        for begin, end in zip(edges[::2], edges[1::2]):
-            first = max(int(begin) - 1, 0)
-            last = min(int(end) - run - 1, count - (repeats + 1) * period)
-            if end - begin >= run and first <= last:
-                found.append((first, last, period))
-    return sorted(found)
+    begin, end, period = periodic_stretches(ids, 2, repeats, 2).T
+    first = np.maximum(begin - 1, 0)
+    last = np.minimum(end - repeats * period + 1, count - (repeats + 1) * period)
+    keep = first <= last
+    return sorted(zip(first[keep].tolist(), last[keep].tolist(), period[keep].tolist()))
 
 
 def collapse_chunks(text: str, max_repeats: int = 2) -> str:
     """Same result as two passes of ``(.+?)(?:\\s+\\1){n,}`` -> first group, ignoring case.
 
-    The backtracking regex needs quadratic time and more; this scan is close to
-    linear because a repeated unit must end where a word ends and its second
+    The backtracking regex needs quadratic time and more; this scan finds the repetitions of the
+    word sequence in O(n log n) (see ``runs``), because a repeated unit must end where a word ends and its second
     copy must begin where a word begins.
     """
     if not text:

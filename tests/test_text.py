@@ -1,11 +1,14 @@
 import random
 import re
+import time
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text
+from corpuskit.functions.runs import periodic_stretches
 from corpuskit.functions.text_udf import collapse_chunks, first_sentences
 
 
@@ -137,6 +140,46 @@ def test_chunks_equal_the_regex_on_random_text():
         assert collapse_chunks(value) == _chunks_by_regex(value), repr(value)
 
 
+def _plain_stretches(codes, smallest, copies, slack):
+    found = set()
+    for period in range(smallest, len(codes)):
+        same = [a == b for a, b in zip(codes, codes[period:])] + [False]
+        begin = None
+        for k, equal in enumerate(same):
+            if equal and begin is None:
+                begin = k
+            if not equal and begin is not None:
+                if k - begin >= copies * period - slack:
+                    found.add((begin, k, period))
+                begin = None
+    return found
+
+
+def test_periodic_stretches_equal_a_plain_search():
+    rng = random.Random(3)
+    for _ in range(1500):
+        codes = [rng.randrange(rng.choice([1, 2, 3])) for _ in range(rng.randrange(1, 50))]
+        if rng.random() < 0.5:
+            codes += codes[: rng.randrange(1, 8)] * rng.randrange(1, 9) + codes[: rng.randrange(5)]
+        copies = rng.choice([2, 3])
+        got = {tuple(s) for s in periodic_stretches(np.array(codes), 2, copies, 2).tolist()}
+        assert got == _plain_stretches(codes, 2, copies, 2), codes
+
+
+def test_chunks_of_few_distinct_words_take_near_linear_time():
+    """Runs of every length: Fibonacci words, random words of two letters, one word, many copies of a long unit."""
+    rng = random.Random(8)
+    a, b = ["x"], ["x", "y"]
+    while len(b) < 150_000:
+        a, b = b, b + a
+    unit = " ".join(rng.choice("pqrstuvw") for _ in range(3000))
+    for value, limit in ((" ".join(b), 30), (" ".join(rng.choice("ab") for _ in range(200_000)), 15), ("w " * 100_000, 15)):
+        start = time.perf_counter()
+        collapse_chunks(value)
+        assert time.perf_counter() - start < limit
+    assert collapse_chunks(" ".join([unit] * 20)) == collapse_chunks(unit)
+
+
 def test_chunks_stay_fast_on_long_periodic_text():
     assert collapse_chunks("word " * 20000).strip() == "word"
     assert collapse_chunks("a b c " * 5000).strip() == "a b c"
