@@ -30,6 +30,62 @@ def test_read_or_empty_and_rewrite(spark):
     assert sorted(r["id"] for r in again.collect()) == [2, 3]
 
 
+def whole(spark, path):
+    return sorted(r["id"] for r in tables.read_comments(spark, path).collect())
+
+
+@pytest.mark.parametrize("step", ["_claim", "_mark", "_prune", "write"])
+def test_a_killed_rewrite_leaves_a_whole_table(spark, monkeypatch, step):
+    path = scratch_path(spark, "stage")
+    tables.write_table(spark.range(10), path)
+    for known in (list(range(10)), [0, 1, 2, 3]):
+        rows = tables.read_comments(spark, path)
+        with monkeypatch.context() as patched:
+            if step == "write":
+                fail = F.udf(lambda i: 1 // (i - 3), "long")
+                rows = rows.withColumn("id", fail("id"))  # a task fails while the version is being written
+            else:
+                def killed(*_):
+                    raise KeyboardInterrupt
+
+                patched.setattr(tables, step, killed)
+            with pytest.raises((KeyboardInterrupt, Exception)):
+                tables.rewrite_stage(rows.where("id < 2"), path)
+        # only after the mark is the new version the current one
+        assert whole(spark, path) == ([0, 1] if step == "_prune" else known)
+        tables.rewrite_stage(spark.range(4), path)
+        assert whole(spark, path) == [0, 1, 2, 3]
+
+
+def test_versions_are_numbered_kept_and_pruned(spark):
+    path = scratch_path(spark, "stage")
+    tables.write_table(spark.range(3), path)
+    first = tables.read_comments(spark, path)
+    for n in range(4, 8):
+        before = tables.read_comments(spark, path)
+        tables.rewrite_stage(before.union(spark.range(n - 1, n)), path)
+        assert before.count() == n - 1, "a reader that has begun can go on"
+    assert whole(spark, path) == list(range(7)) and len(tables._numbers(spark, path, tables.MARK)) == 2
+    assert not tables.path_exists(spark, path) and first.schema.names == ["id"]
+    number, other = tables._claim(spark, path), tables._claim(spark, path)
+    assert other == number + 1, "two writers never share a version"
+    tables.write_table(spark.range(1), path, "overwrite")
+    tables.write_table(spark.range(5, 6), path, "append")
+    assert whole(spark, path) == [0, 5]
+    with pytest.raises(ValueError):
+        tables.rewrite_stage(spark.range(1), path, keep=1)
+
+
+def test_convert_csv(spark, tmp_path):
+    rows = [("1", 'a "b"\nc, d'), ("2", "x\\y"), ("3", "z")]
+    path = scratch_path(spark, "t") + ".csv"
+    tables.write_table(spark.createDataFrame(rows, TOXIC_TEXTS), path)
+    table = tables.convert_csv(spark, path, str(tmp_path / "out"), TOXIC_TEXTS)
+    assert sorted((r["id"], r["comment_text"]) for r in table.select("id", "comment_text").collect()) == rows
+    again = tables.rewrite_stage(tables.read_comments(spark, path, TOXIC_TEXTS).where("id < '3'"), path)
+    assert again.count() == tables.read_comments(spark, path, TOXIC_TEXTS).count() == 2
+
+
 def test_binarize_missing_and_nan(spark):
     df = spark.createDataFrame([(0.5,), (0.49,), (None,), (float("nan"),)], "x double")
     assert [r["x"] for r in project.binarize(df, ["x"]).collect()] == [1, 0, 0, 0]
