@@ -5,11 +5,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from corpuskit.functions.text import sanitize_translation, strip, strip_code_fences
-from corpuskit.operators.ordering import with_position
+from corpuskit.operators.ordering import free_name, with_position
 from corpuskit.operators.setops import missing_ids
+from corpuskit.session import freeze
+from corpuskit.sources.tables import read_or_empty
 
 # --- Fixed values: batch limits and response pattern --------------------------
 DEFAULT_BATCH_SIZE = 20
@@ -24,23 +26,32 @@ ITEM_SCHEMA = "struct<id:string,translated:string>"
 
 
 def assign_batches(
-    df: DataFrame, order_by: list[str], batch_size: int = DEFAULT_BATCH_SIZE, max_batches: int | None = None
+    df: DataFrame,
+    order_by: list[str],
+    batch_size: int = DEFAULT_BATCH_SIZE,
+    max_batches: int | None = None,
+    row_id: str = "id",
 ) -> DataFrame:
     """Number rows in order and cut them into batches of ``batch_size`` (``batch_id`` from 0).
 
-    With ``max_batches`` only the first rows are taken, by a top-k; without it
-    the whole table is numbered by a distributed sort.
+    Only ids and sort keys are sorted and frozen; the numbers then join the rows by ``row_id``, which must
+    be unique, so texts are neither sorted nor written.  Ties of ``order_by`` go by id.  ``max_batches`` keeps
+    the first batches.
     """
     if not 0 < batch_size <= MAX_BATCH_SIZE:
         raise ValueError(f"batch_size must be between 1 and {MAX_BATCH_SIZE}: larger responses get cut off")
-    place = "position"
+    order = list(dict.fromkeys([*order_by, row_id]))
+    numbered = with_position(df.select(*order), order, "position")
     if max_batches is not None:
-        first = df.orderBy(*order_by).limit(batch_size * max_batches)
-        numbered = first.withColumn(place, F.row_number().over(W.orderBy(*order_by)) - 1)
-    else:
-        numbered = with_position(df, order_by, place)
-    batch = F.floor(F.col(place) / batch_size).cast("long")
-    return numbered.select(*df.columns, F.col(place).cast("long").alias(place), batch.alias("batch_id"))
+        numbered = numbered.where(F.col("position") < batch_size * max_batches)
+    own = free_name(df, "own")
+    numbers = numbered.select(
+        F.col(row_id).alias(own),
+        F.col("position").cast("long").alias("position"),
+        F.floor(F.col("position") / batch_size).cast("long").alias("batch_id"),
+    )
+    kept = df.drop("position", "batch_id")
+    return kept.join(numbers, kept[row_id].eqNullSafe(F.col(own))).drop(own)
 
 
 def format_requests(
@@ -81,6 +92,42 @@ def apply_batches(requests: DataFrame, fn: Callable[[str], str], parallelism: in
     return requests.mapInPandas(run, f"{fields},response:string,error:string")
 
 
+RESPONSES = "digest string, response string, error string, called timestamp"
+
+
+def apply_resumable(
+    requests: DataFrame, fn: Callable[[str], str], log: str, parallelism: int | None = None, batches_per_task: int = 16
+) -> DataFrame:
+    """:func:`apply_batches` with a memory: the Parquet table ``log`` gets every answer, by digest of the request.
+
+    A request with an answer in the log is not sent again, whoever sent it: a repeated job calls
+    for what is missing and for what failed with an error.  A task holds ``batches_per_task`` requests and its
+    answers are in the log as soon as it ends, also if the job fails later, so a lost executor costs at most
+    the calls of the tasks it was running.  With ``parallelism`` the requests go out in waves of that many tasks.
+    Equal requests are sent once.  The log is only ever appended to; of several answers the
+    latest one without an error counts.
+    """
+    spark = requests.sparkSession
+    keyed = freeze(requests.withColumn("digest", F.sha2("request", 256)))
+    known = read_or_empty(spark, log, StructType.fromDDL(RESPONSES)).where("error IS NULL").select("digest")
+    pending = keyed.select("digest", "request").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    pending = freeze(pending)
+    tasks = -(-pending.count() // batches_per_task)
+    waves = -(-tasks // parallelism) if parallelism else min(tasks, 1)
+    wave = F.pmod(F.xxhash64("digest"), F.lit(max(waves, 1)))
+    for number in range(waves):
+        some = pending.where(wave == number).repartition(parallelism or tasks, "digest")
+        called = apply_batches(some, fn).select("digest", "response", "error", F.current_timestamp().alias("called"))
+        # this committer moves the files of a task into the table when the task ends
+        called.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(log)
+    answers = read_or_empty(spark, log, StructType.fromDDL(RESPONSES))
+    latest = F.struct(F.col("error").isNull(), "called")
+    answers = answers.groupBy("digest").agg(
+        F.max_by(F.struct("response", "error"), latest).alias("answer"),
+    )
+    return keyed.join(answers, "digest", "left").select(*requests.columns, "answer.response", "answer.error")
+
+
 def _parsed(bare: Column) -> Column:
     """The response as an array, null unless it is a well-formed JSON list.
 

@@ -26,7 +26,7 @@ from corpuskit.operators.project import (
 from corpuskit.operators.score import logits_to_probs, score
 from corpuskit.operators.weak import describe_labels, weak_label
 from corpuskit.schema import FRACTIONAL_TO_LABEL, IDENTITIES, LABELS, TEXT_COL
-from corpuskit.session import freeze
+from corpuskit.session import freeze, scratch_path
 
 BIAS_LABELS = ["toxicity", "severe_toxicity", "obscene", "threat", "insult", "identity_attack"]
 
@@ -129,16 +129,19 @@ def translate_new(
     max_batches: int | None = None,
     order_by: list[str] = ["id"],
     parallelism: int | None = None,
+    log: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(existing plus new translations, batch report).
 
-    All new rows are translated unless the caller sets ``max_batches``.  Responses are frozen
-    before use: the external function is slow and need not answer twice in the same
-    way.  Parsed rows are frozen too, since the merge and the report both read them.
+    All new rows are translated unless the caller sets ``max_batches``.  Responses go to the append-only
+    table ``log``: give a path that outlives the job, and a job that is started again asks the slow external
+    function only for what is missing.  Without one the log is a scratch table, which still spares the
+    answers of finished tasks when others are repeated.  Parsed rows are frozen, since the merge and the report both read them.
     """
     todo = setops.not_in_source(source.select("id", "comment_text", *_extra(order_by)), existing)
-    batched = freeze(batch.assign_batches(todo, order_by, batch_size, max_batches))
-    responses = freeze(batch.apply_batches(batch.format_requests(batched, prompt), fn, parallelism))
+    batched = batch.assign_batches(todo, order_by, batch_size, max_batches)
+    requests = batch.format_requests(batched, prompt)
+    responses = batch.apply_resumable(requests, fn, log or scratch_path(source.sparkSession, "responses"), parallelism)
     parsed = freeze(batch.parse_responses(responses))
     merged = setops.upsert(existing, parsed.select(F.col("id"), "translated"))
     return merged, batch.translation_report(batched, parsed)

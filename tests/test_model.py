@@ -1,15 +1,18 @@
+import hashlib
 import itertools
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskit.operators import batch, evaluate, score, train
+from corpuskit.operators import batch, evaluate, ordering, score, train
 from corpuskit.plans import catalog, jobs
 from corpuskit.plans import fixtures as fx
 from corpuskit.schema import LABELS
-from corpuskit.session import scratch_path
+from corpuskit.session import freeze, scratch_path
+from corpuskit.sources import tables
 from corpuskit.streaming import scoring
 
 TWO = ["toxic", "insult"]
@@ -142,6 +145,87 @@ def test_translation_job_with_a_failing_batch(spark):
         batch.assign_batches(source, ["id"], 51)
 
 
+def _counting(folder, poison=None, answer=catalog.upper_service):
+    """A service that notes every call, and kills its worker once for the request with ``poison``."""
+
+    def service(request):
+        name = hashlib.md5(request.encode()).hexdigest()
+        with open(os.path.join(folder, name), "a") as file:
+            file.write("x")
+        marker = os.path.join(folder, "died")
+        if poison and poison in request and not os.path.exists(marker):
+            open(marker, "w").close()
+            os._exit(3)
+        return answer(request)
+
+    return service
+
+
+def _calls(folder):
+    return {f: os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder) if f != "died"}
+
+
+def test_calls_resume_after_a_lost_task(spark, tmp_path):
+    requests = spark.createDataFrame([(i, f"id: {i}, text: 'text {i}'") for i in range(24)], "batch_id long, request string")
+    log = scratch_path(spark, "log")
+    service = _counting(str(tmp_path), "text 13'", str.upper)
+    with pytest.raises(Exception):  # a local master does not repeat failed tasks, so the job ends
+        batch.apply_resumable(requests, service, log, parallelism=2, batches_per_task=1)
+    answered = {r["digest"] for r in spark.read.parquet(log).collect()} if tables.path_exists(spark, log) else set()
+    done = {hashlib.md5(r["request"].encode()).hexdigest() for r in requests.collect() if hashlib.sha256(r["request"].encode()).hexdigest() in answered}
+    got = batch.apply_resumable(requests, service, log, parallelism=2, batches_per_task=1)
+    assert got.where("response IS NOT NULL").count() == 24
+    calls = _calls(str(tmp_path))
+    assert len(calls) == 24 and all(calls[name] == 1 for name in done), "answers in the log are not asked for again"
+    batch.apply_resumable(requests, service, log)
+    assert _calls(str(tmp_path)) == calls, "a third run asks nothing"
+
+
+def test_translation_job_with_a_log(spark, tmp_path):
+    source = spark.createDataFrame([(f"{i:03}", f"text {i}") for i in range(60)], "id string, comment_text string")
+    existing = spark.createDataFrame([("000", "done")], "id string, translated string")
+    log, service = scratch_path(spark, "log"), _counting(str(tmp_path))
+    for _ in range(2):
+        merged, report = jobs.translate_new(source, existing, service, fx.PROMPT, 5, log=log)
+        assert merged.count() == 60 and report.where("missing > 0").count() == 0
+        assert list(_calls(str(tmp_path)).values()) == [1] * 12
+
+
+def test_errors_are_asked_again_and_answers_are_not(spark, tmp_path):
+    requests = spark.createDataFrame([(i, f"r{min(i, 5)}") for i in range(7)], "batch_id long, request string")
+    log = scratch_path(spark, "log")
+    flaky = tmp_path / "flaky"
+
+    def service(request):
+        with open(tmp_path / request, "a") as file:
+            file.write("x")
+        if request in ("r1", "r5") and not flaky.exists():
+            raise TimeoutError("slow")
+        return request.upper()
+
+    first = {r["batch_id"]: (r["response"], r["error"]) for r in batch.apply_resumable(requests, service, log, 2, 1).collect()}
+    assert first[0] == ("R0", None) and first[1] == (None, "TimeoutError: slow") == first[5] == first[6]
+    flaky.touch()
+    second = batch.apply_resumable(requests, service, log, batches_per_task=2)
+    assert second.columns == ["batch_id", "request", "response", "error"]
+    assert {r["batch_id"]: r["response"] for r in second.collect()} == {i: f"R{min(i, 5)}" for i in range(7)}
+    assert {f"r{i}": os.path.getsize(tmp_path / f"r{i}") for i in range(6)} == {"r0": 1, "r1": 2, "r2": 1, "r3": 1, "r4": 1, "r5": 2}
+    assert batch.apply_resumable(requests.limit(0), service, log).count() == 0
+
+
+def test_numbering_moves_no_text(spark, monkeypatch):
+    frozen = []
+    monkeypatch.setattr(ordering, "freeze", lambda df: frozen.append(df) or freeze(df))
+    rows = [(i, (i * 7) % 5, f"text {i}", "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, rank int, comment_text string, own string").repartition(4)
+    got = batch.assign_batches(df, ["rank"], 10)
+    assert len(frozen) == 1 and "comment_text" not in frozen[0].columns
+    assert [r["id"] for r in got.orderBy("position").collect()] == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert got.columns == [*df.columns, "position", "batch_id"]
+    first = batch.assign_batches(df, ["rank"], 10, 2)
+    assert sorted({r["batch_id"] for r in first.collect()}) == [0, 1] and first.count() == 20
+
+
 def test_apply_batches_keeps_errors(spark):
     df = spark.createDataFrame([(0, "x"), (1, "y")], "batch_id long, request string")
 
