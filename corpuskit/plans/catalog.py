@@ -356,6 +356,32 @@ def _(spark, d):
     return text.clean_for_translation(fx.decorated(spark, d), "t").withColumnRenamed("t", "cleaned")
 
 
+_SENTENCES_CTE = _SENTENCES_SQL.replace("AS cleaned", "AS t").replace("replace(text,", "replace(t,").replace("FROM documents", "FROM {}")
+_HIDDEN_SQL = r"regexp_replace({}, '[\p{{C}}\p{{Zl}}\p{{Zp}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]', '', 'g')"
+
+
+def _translation_sql(source: str, key: str, column: str) -> str:
+    """The translation preset without the step for repeated chunks, as CTEs that end in ``prepared``."""
+    inner = _CHAIN_INNER.replace("regexp_replace(t,", f"regexp_replace({_WIKI_SQL.format(column)},")
+    last = _SPACE_SQL.format(_HIDDEN_SQL.format("nfc_normalize(cleaned)"))
+    return (
+        f"chained AS (SELECT {key} AS doc_id, {inner} AS t FROM {source}), "
+        f"once AS ({_SENTENCES_CTE.format('chained')}), reduced AS ({_REPETITION_CTE.format('t', 'once')}), "
+        f"prepared AS (SELECT * FROM (SELECT doc_id, {last} AS cleaned FROM reduced) "
+        r"WHERE NOT regexp_full_match(cleaned, '\s*'))"
+    )
+
+
+@query(
+    "clean_translation_without_chunks",
+    DECORATED + ", " + _translation_sql("decorated", "doc_id", "t") + " SELECT doc_id, cleaned FROM prepared",
+)
+def _(spark, d):
+    """The translation preset up to its one step that SQL cannot express; the tests cover that step."""
+    rows = fx.decorated(spark, d)
+    return text.clean_for_translation(rows, "t", remove_repeated_chunks=False).withColumnRenamed("t", "cleaned")
+
+
 def _scrub_sql(column: str) -> str:
     bare = rf"regexp_replace({column}, '\S+\[USER\]\S*\.\w+', '', 'g')"
     return _PHONE_SQL.format(_EMAIL_SQL.format(_URL_SQL.format(bare)))
@@ -992,8 +1018,7 @@ def _responses(batched: DataFrame, malformed: bool = False) -> DataFrame:
     item = F.struct(F.col("id").cast("string").alias("id"), F.col("comment_text").alias("translated"))
     answered = batched.where("lang <> 'de'")
     if malformed:
-        bare = F.regexp_replace("comment_text", r"[^\p{L} ]", " ")
-        line = F.concat(F.lit("id: "), F.col("id").cast("string"), F.lit(', translated: "'), bare, F.lit('"'))
+        line = F.concat(F.lit("id: "), F.col("id").cast("string"), F.lit(', translated: "'), F.col("comment_text"), F.lit('"'))
         lines = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
         body = F.array_join(F.transform(lines, lambda x: x["line"]), "},\n{")
         response = F.concat(F.lit("[{"), body, F.lit("}]"))
@@ -1020,8 +1045,14 @@ def _(spark, d):
     return batch.parse_responses(_responses(_batched_docs(spark, d)))
 
 
-@query("parse_fallback")
+_FALLBACK_PARSED = _PARSED.replace(
+    "comment_text, '\"'", """regexp_extract(comment_text || '"}', '(?s)^(.+?)["'']?\\s*[,}\\]]', 1), '\"'"""
+)
+
+
+@query("parse_fallback", _with(_BATCHED_DOCS, _FALLBACK_PARSED) + "SELECT batch_id, id, translated FROM parsed")
 def _(spark, d):
+    """Lists that are no JSON; quotes, commas, braces and line breaks of the texts stay, and a text ends where the pattern ends it."""
     return batch.parse_responses(_responses(_batched_docs(spark, d), malformed=True))
 
 
@@ -1053,10 +1084,16 @@ def upper_service(request: str) -> str:
     for line in lines:
         row_id, body = line.removeprefix("id: ").split(", text: '", 1)
         answer.append({"id": row_id, "translated": body.removesuffix("'").lower()})
-    return json.dumps(answer)
+    return json.dumps(answer, ensure_ascii=False)
 
 
-@query("apply_batches")
+@query(
+    "apply_batches",
+    _with(_BATCHED)
+    + """SELECT batch_id, count(*) AS n_rows, '[' || string_agg('{"id": "' || id || '", "translated": ' """
+    + "|| CAST(to_json(lower(comment_text)) AS VARCHAR) || '}', ', ' ORDER BY position) || ']' AS response, "
+    "CAST(NULL AS VARCHAR) AS error FROM b GROUP BY batch_id",
+)
 def _(spark, d):
     return batch.apply_batches(batch.format_requests(_batched(spark, d), fx.PROMPT), upper_service).drop("request")
 
@@ -1191,7 +1228,7 @@ def _(spark, d):
 @query("fit_multilabel")
 def _(spark, d):
     rows = fx.comments(spark, d).withColumnRenamed("comment_text", "comment")
-    model = train.fit_multilabel(rows, features=1 << 15)
+    model = train.fit_multilabel(rows)
     scored = score.logits_to_probs(model.logits(rows), digits=None)
     truth = scored.withColumns({f"y_{c}": F.col(c) for c in LABELS})
     return evaluate.evaluate(truth)
@@ -1438,6 +1475,16 @@ def _(spark, d):
     return jobs.prepare_for_translation(fx.comments(spark, d)).select("id", "comment_text", *LABELS)
 
 
+@query(
+    "job_prepare_without_chunks",
+    C + ", " + _translation_sql("comments", "id", "coalesce(comment_text, '')")
+    + f" SELECT id, cleaned AS comment_text, {', '.join(LABELS)} FROM prepared JOIN comments ON id = doc_id",
+)
+def _(spark, d):
+    rows = jobs.prepare_for_translation(fx.comments(spark, d), remove_repeated_chunks=False)
+    return rows.select("id", "comment_text", *LABELS)
+
+
 @query(
     "job_translate_new",
     _with(fx.SQL_TRANSLATIONS)
@@ -1549,14 +1596,42 @@ def _(spark, d):
     return jobs.normalize_for_model(rows, "translated")
 
 
-@query("job_evaluate")
+_MODEL_SCORES = "scores AS (SELECT id, " + ", ".join(
+    f"1 / (1 + exp(-((length(comment_text) - length(replace(comment_text, '{pair}', ''))) / 2 / "
+    f"greatest(length(comment_text), 1)::DOUBLE * 40 - 1))) AS p_{c}, {c} AS y_{c}, 0 AS z_{c}"
+    for c, pair in zip(LABELS, ["th", "en", "ou", "ai", "er", "nd"])
+) + " FROM comments)"
+_EVALUATE_SQL = (
+    C + f", {_MODEL_SCORES}, {fx.SQL_LONG}, {_COUNTS.format('0.5')}, {_RANKED}, {_SWEEP}, {_TUNED}, "
+    f"e AS (SELECT label, {_F1} AS f1, roc_auc, pr_auc FROM cm JOIN auc USING (label)), "
+    "tuned AS (SELECT label, threshold, base.f1 AS half, best.f1 AS top FROM best JOIN base USING (label)) "
+    + " UNION ALL ".join(
+        f"SELECT {name} AS name, round({value}, 6) AS value FROM {source}"
+        for name, value, source in [
+            ("'macro_f1'", "avg(f1)", "e"),
+            ("'micro_f1'", "2.0::DOUBLE * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))", "cm"),
+            ("'macro_precision'", "avg(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0))", "cm"),
+            ("'macro_recall'", "avg(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0))", "cm"),
+            ("'subset_accuracy'", f"({_SUBSET})", "(SELECT 1)"),
+            ("'hamming_loss'", "sum(fp + fn)::DOUBLE / sum(tp + fp + fn + tn)", "cm"),
+            *[(f"label || '_{m}'", m, "e") for m in ("f1", "roc_auc", "pr_auc")],
+            ("label || '_threshold'", "threshold", "tuned"),
+            ("label || '_f1_at_half'", "half", "tuned"),
+            ("label || '_best_f1'", "top", "tuned"),
+            ("label || '_gain'", "top - half", "tuned"),
+        ]
+    )
+)
+
+
+@query("job_evaluate", _EVALUATE_SQL)
 def _(spark, d):
     rows = fx.comments(spark, d).withColumnRenamed("comment_text", "comment")
     report, tuned = jobs.evaluate_model(rows, word_model)
     metrics = report.select(F.explode(F.create_map(*[x for c in report.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("name", "value"))
     limits = tuned.unpivot("label", ["threshold", "f1_at_half", "best_f1", "gain"], "part", "value")
     limits = limits.select(F.concat_ws("_", "label", "part").alias("name"), "value")
-    return setops.union_same(metrics.select("name", "value"), limits)
+    return _rounded(setops.union_same(metrics.select("name", "value"), limits), "value")
 
 
 @query("job_evaluate_chosen_table", "SELECT count(*) AS rows FROM labels")

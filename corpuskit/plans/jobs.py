@@ -116,8 +116,8 @@ def split_corpus(df: DataFrame, test_size: float = 0.1, seed: int = 42):
     return train, test, split_stats_of(flagged)
 
 
-def prepare_for_translation(df: DataFrame) -> DataFrame:
-    return clean_for_translation(df, "comment_text")
+def prepare_for_translation(df: DataFrame, **options) -> DataFrame:
+    return clean_for_translation(df, "comment_text", **options)
 
 
 def translate_new(

@@ -8,7 +8,7 @@ import pytest
 from corpuskit.plans.catalog import ORACLES, QUERIES
 
 # run by the model tests, or by tools/check.py on larger data
-SLOW = {"fit_multilabel", "job_split_stats"}
+SLOW = {"fit_multilabel"}
 
 
 @pytest.fixture(scope="module")
