@@ -78,3 +78,21 @@ def test_odd_rows_ties_and_hot_vectors(spark, part):
     few = df.where("vec_id in (0, 1, 2)")
     assert sorted(r.vec_id for r in N.nearest(few, lambda i: i == 0, width=50.0).collect()) == [1, 2]
     assert N.nearest(df.limit(0), lambda i: i == 0).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 50])
+def test_small_tables_with_default_parameters(spark, n):
+    """All other rows, or k of them, however few the index finds; the completed answers are exact."""
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in N.nearest(df, lambda i: i % 2 == 0, part_vectors=20).collect():
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(by) == (set(range(0, n, 2)) if n > 1 else set())
+    cos = x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None])
+    for q, found in by.items():
+        order = sorted((i for i in range(n) if i != q), key=lambda i: (-cos[q, i], i))
+        assert [r for r, _, _ in sorted(found)] == list(range(1, min(5, n - 1) + 1))
+        if n <= 6:
+            assert [i for _, i, _ in sorted(found)] == order[:5]
+        assert [s for _, _, s in sorted(found)] == pytest.approx([cos[q, i] for _, i, _ in sorted(found)], abs=1e-12)
