@@ -256,6 +256,61 @@ def test_fit_multilabel_learns_and_handles_constant_labels(spark):
     assert wrong == 0 and out.where("z_insult > 0").count() == 0
 
 
+def _word_rows(n):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for _ in range(n):
+        own = [words[i] for i in rng.integers(0, 60, rng.integers(0, 25))]
+        rows.append((" ".join(own), int("w1" in own or rng.random() < 0.1), int("w2" in own and "w3" not in own), int(rng.random() < 0.3)))
+    return rows
+
+
+def test_joint_training_equals_separate_fits(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    labels, features = ["toxic", "insult", "threat"], 128
+    df = spark.createDataFrame(_word_rows(600), "comment string, toxic int, insult int, threat int").repartition(5)
+    model = train.fit_multilabel(df, labels, features=features, tolerance=1e-9)
+    rows = df.select(train.token_indices("comment", features).alias("t"), *labels).collect()
+    counts = np.zeros((len(rows), features))
+    for i, r in enumerate(rows):
+        np.add.at(counts[i], r["t"], 1)
+    spread = counts.std(0)
+    assert np.allclose(model.scale, np.where(spread > 0, 1 / np.where(spread > 0, spread, 1), 0))
+    x, separate = counts * model.scale, 0
+    for label in labels:
+        y = np.array([r[label] for r in rows], float)
+        weight = np.where(y == 1, (len(y) - y.sum()) / (y.sum() + 1e-5), 1.0)
+
+        def objective(point):
+            z = x @ point[:-1] + point[-1]
+            return (weight * (np.logaddexp(0, z) - y * z)).sum() / weight.sum() + 0.005 * point[:-1] @ point[:-1]
+
+        kind = StructType([StructField("x", VectorUDT()), StructField("y", DoubleType()), StructField("w", DoubleType())])
+        table = spark.createDataFrame([(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x, y, weight)], kind)
+        fit = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.01, standardization=False, tol=1e-9).fit(table)
+        separate += fit.summary.totalIterations
+        assert objective(model.weights[label]) <= objective(np.append(fit.coefficients.toArray(), fit.intercept)) + 1e-6
+    assert model.passes < separate / 2, "labels share their passes"
+    plain = dict(zip([tuple(r["t"]) for r in rows], x @ model.weights["insult"][:-1] + model.weights["insult"][-1]))
+    tokens = model.logits(df).select(train.token_indices("comment", features).alias("t"), "z_insult").collect()
+    assert np.allclose([r["z_insult"] for r in tokens], [plain[tuple(r["t"])] for r in tokens])
+
+
+def test_training_defines_odd_input(spark):
+    kind = "comment string, toxic int, insult int, z string, z_toxic double"
+    rows = [(None, 1, None, "x", 9.0), ("", 0, 0, "x", 9.0), ("a b", 1, 1, "x", 9.0), ("a b", 1, 1, "x", 9.0), ("c", 0, 0, "x", 9.0)]
+    df = spark.createDataFrame(rows, kind)
+    out = train.fit_multilabel(df, TWO, features=64).logits(df)
+    assert out.columns == ["comment", "toxic", "insult", "z", "z_toxic", "z_insult"]
+    assert all(np.isfinite(r["z_toxic"]) and r["z"] == "x" for r in out.collect())
+    none = train.fit_multilabel(df.limit(0), TWO, features=64).logits(df).collect()
+    assert [r["z_toxic"] for r in none] == [-30.0] * 5
+
+
 def test_model_input_is_shuffled_and_truncated(spark):
     df = spark.createDataFrame([(i, "w " * 200, *([i % 2] * 6)) for i in range(50)], "id int, comment string, " + ", ".join(f"{c} int" for c in LABELS))
     assert all(len(r["tokens"]) == 200 for r in score.build_model_input(df).collect())
