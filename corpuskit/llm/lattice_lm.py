@@ -82,17 +82,27 @@ def piece_table(pieces: list[bytes], probability: np.ndarray) -> tuple[Pieces, n
         return Pieces(keys[order], np.log(probability[order])), place
 
 
-def _arcs(words: np.ndarray, lengths: np.ndarray, pieces: Pieces):
-    """(start, end, rows, pieces) of every arc between places of the words of a byte matrix."""
+def _known_bits(pieces: Pieces) -> np.ndarray:
+    """Which first 20 bits of a key any piece has."""
+    known = np.zeros(1 << 20, bool)
+    known[pieces.keys >> np.uint64(44)] = True
+    return known
+
+
+def _arcs(words: np.ndarray, lengths: np.ndarray, pieces: Pieces, known: np.ndarray):
+    """(start, end, rows, pieces) of every arc between places of the words of a byte matrix, shortest words first."""
     for start in range(words.shape[1]):
         h = np.zeros(len(words), np.uint64)
         for end in range(start + 1, min(words.shape[1], start + LONGEST) + 1):
-            h = _roll(h, words[:, end - 1])
-            keys = _key(h, end - start)
+            first = int(np.searchsorted(lengths, end))  # words before it are shorter
+            h[first:] = _roll(h[first:], words[first:, end - 1])
+            keys = _key(h[first:], end - start)
+            rows = np.flatnonzero(known[keys >> np.uint64(44)])
+            keys = keys[rows]
             at = np.minimum(np.searchsorted(pieces.keys, keys), len(pieces.keys) - 1)
-            rows = np.flatnonzero((pieces.keys[at] == keys) & (lengths >= end))
-            if len(rows):
-                yield start, end, rows, at[rows]
+            found = pieces.keys[at] == keys
+            if found.any():
+                yield start, end, rows[found] + first, at[found]
 
 
 def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,12 +124,12 @@ def _groups(words: list[bytes], rows: int = 4096):
 
 def marginals(words: list[bytes], pieces: Pieces) -> np.ndarray:
     """Natural log probability of every word, summed over all segmentations in log space."""
-    out = np.empty(len(words))
+    out, known = np.empty(len(words)), _known_bits(pieces)
     for some in _groups(words):
         table, lengths = _matrix([words[i] for i in some])
         forward = np.full((table.shape[1] + 1, len(some)), -np.inf)
         forward[0] = 0.0
-        for start, end, rows, at in _arcs(table, lengths, pieces):
+        for start, end, rows, at in _arcs(table, lengths, pieces, known):
             # arcs come by rising start, and all arcs into a start come before those out of it
             forward[end, rows] = np.logaddexp(forward[end, rows], forward[start, rows] + pieces.log_p[at])
         out[some] = forward[lengths, np.arange(len(some))]
@@ -128,10 +138,10 @@ def marginals(words: list[bytes], pieces: Pieces) -> np.ndarray:
 
 def expected_counts(words: list[bytes], pieces: Pieces) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words, each word once."""
-    total = np.zeros(len(pieces.keys))
+    total, known = np.zeros(len(pieces.keys)), _known_bits(pieces)
     for some in _groups(words):
         table, lengths = _matrix([words[i] for i in some])
-        arcs = list(_arcs(table, lengths, pieces))
+        arcs = list(_arcs(table, lengths, pieces, known))
         forward = np.full((table.shape[1] + 1, len(some)), -np.inf)
         backward = forward.copy()
         forward[0], backward[lengths, np.arange(len(some))] = 0.0, 0.0
