@@ -28,6 +28,8 @@ SKIN_TONES = ["light", "medium-light", "medium", "medium-dark", "dark"]  # U+1F3
 # ------------------------------------------------------------------------------
 VARIATION_SELECTOR, JOINER, KEY_CAP = "\ufe0f", "\u200d", "\u20e3"
 FIRST_LETTER, FIRST_TONE = 0x1F1E6, 0x1F3FB
+TAGS, FIRST_TAG, LAST_TAG, END_TAG = 0xE0000, 0xE0020, 0xE007E, 0xE007F  # invisible copies of ASCII behind a flag
+BLACK_FLAG = "\U0001f3f4"
 
 
 def emoji_code_points() -> list[int]:
@@ -50,10 +52,11 @@ def default_emoji_names() -> dict:
 
 
 def _default_replacer():
-    """Names of whole sequences: flags, key caps, skin tones and joined emoji, the longest first."""
+    """Names of whole sequences: flags, subdivision flags, key caps, skin tones and joined emoji, the longest first."""
     names = default_emoji_names()
     tone = f"[{chr(FIRST_TONE)}-{chr(FIRST_TONE + 4)}]"
-    one = f"{_char_class(list(names))}{VARIATION_SELECTOR}?{tone}?"
+    tags = f"(?:[{chr(FIRST_TAG)}-{chr(LAST_TAG)}]+{chr(END_TAG)})"
+    one = f"{_char_class(list(names))}{VARIATION_SELECTOR}?{tone}?{tags}?"
     letter = f"[{chr(FIRST_LETTER)}-{chr(FIRST_LETTER + 25)}]"
     pattern = re.compile(f"{letter}{letter}|[0-9#*]{VARIATION_SELECTOR}?{KEY_CAP}|{one}(?:{JOINER}{one})*")
 
@@ -63,7 +66,10 @@ def _default_replacer():
             return f":keycap_{found[0]}:"
         if FIRST_LETTER <= ord(found[0]) < FIRST_LETTER + 26:
             return ":flag_" + "".join(chr(ord("a") + ord(c) - FIRST_LETTER) for c in found) + ":"
-        return ":" + "_".join(names[c] for c in found if c in names) + ":"
+        place = "".join(chr(ord(c) - TAGS) for c in found if FIRST_TAG <= ord(c) <= LAST_TAG)
+        if place and found[0] == BLACK_FLAG:
+            return f":flag_{place[:2]}_{place[2:]}:" if len(place) > 2 else f":flag_{place}:"
+        return ":" + "_".join([names[c] for c in found if c in names] + [place] * bool(place)) + ":"
 
     return lambda text: pattern.sub(name, text)
 

@@ -111,9 +111,10 @@ def apply_resumable(
     keyed = freeze(requests.withColumn("digest", F.sha2("request", 256)))
     known = read_or_empty(spark, log, StructType.fromDDL(RESPONSES)).where("error IS NULL").select("digest")
     pending = keyed.select("digest", "request").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
-    pending = freeze(pending)
     tasks = -(-pending.count() // batches_per_task)
     waves = -(-tasks // parallelism) if parallelism else min(tasks, 1)
+    if waves > 1:
+        pending = freeze(pending)  # every wave reads it
     wave = F.pmod(F.xxhash64("digest"), F.lit(max(waves, 1)))
     for number in range(waves):
         some = pending.where(wave == number).repartition(parallelism or tasks, "digest")

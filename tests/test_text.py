@@ -58,6 +58,17 @@ def test_emoji(spark):
     assert run(spark, step, ["\U0001f44d\U0001f3fd\U0001f44d"]) == [":up_medium::up:"]
 
 
+def test_emoji_with_tags_leave_nothing_invisible(spark):
+    tagged = lambda base, place: base + "".join(chr(0xE0000 + ord(c)) for c in place) + "\U000e007f"
+    flag = "\U0001f3f4"
+    family = "\U0001f468\U0001f3fd\u200d\u2764\ufe0f\u200d\U0001f48b\u200d\U0001f468\U0001f3ff"
+    given = [f"a{tagged(flag, 'gbeng')}b {tagged(flag, 'gbsct')}", f"{flag} x", tagged("\U0001f44d", "xy"), f"{family}!", "\U000e0067 alone"]
+    assert run(spark, text.convert_emojis_to_text, given) == [
+        "a:flag_gb_eng:b :flag_gb_sct:", ":waving_black_flag: x", ":thumbs_up_sign_xy:",
+        ":man_medium_skin_tone_heavy_black_heart_kiss_mark_man_dark_skin_tone:!", "\U000e0067 alone",
+    ]
+
+
 def test_emoji_sequences(spark):
     given = ["\U0001f44b\U0001f3ff!", "\U0001f1fa\U0001f1e6\U0001f1eb\U0001f1f7", "#\ufe0f\u20e3 7 #", "☎️\u200d❤", "✓ 12", "©®"]
     assert run(spark, text.convert_emojis_to_text, given) == [
