@@ -2,12 +2,14 @@
 
 import math
 import random
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from corpuskit.llm import lattice_lm as M
 from corpuskit.llm.queries import QUERIES
@@ -28,16 +30,16 @@ def test_marginals_and_expectations():
     share = np.array([0.2, 0.1, 0.1, 0.2, 0.1, 0.2, 0.1])
     table, place = M.piece_table(pieces, share)
     p = dict(zip(pieces, share))
-    words = [b"a", b"abc", b"abcabca", b"cccc", b"bcabcab"]
+    words, times = [b"a", b"abc", b"abcabca", b"cccc", b"bcabcab"], [1, 5, 2, 1, 3]
     counts = Counter()
-    for word, got in zip(words, M.marginals(words, table)):
+    for word, n, got in zip(words, times, M.marginals(words, table)):
         options = [(math.prod(p.get(x, 0) for x in s), s) for s in segmentations(word)]
         total = sum(w for w, _ in options)
         assert got == pytest.approx(math.log(total))
         for w, s in options:
             for x in s:
-                counts[x] += w / total
-    expected = M.expected_counts(words, table)[place]
+                counts[x] += n * w / total
+    expected = M.expected_counts(words, np.array(times), table)[place]
     assert expected == pytest.approx([counts[x] for x in pieces])
 
 
@@ -46,6 +48,53 @@ def test_vocabulary_spells_everything():
     table, _ = M.piece_table(pieces, weight)
     assert len(set(table.keys.tolist())) == len(pieces) > 20_000 and weight.sum() == pytest.approx(1)
     assert np.isfinite(M.marginals(["漢字é😀".encode(), b"x" * 5000, b"\x01"], table)).all()
+    assert table.longest == max(map(len, pieces)) > 16 and all(b" " not in p[1:] for p in pieces)
+
+
+def brute_scores(texts, learn, vocabulary, steps, share):
+    """Scores by enumerating every segmentation of every word."""
+    words = [[b" " + w for w in t.encode().lower().split()] for t in texts]
+    counts = Counter(w for ws, use in zip(words, learn) if use for w in ws)
+    ends = sum(learn)
+    pieces, weight = M.read_vocabulary(vocabulary)
+    p = dict(zip(pieces, weight))
+    for _ in range(steps):
+        used = {x: 1.0 if len(x) == 1 else 0.01 for x in pieces}
+        for word, n in counts.items():
+            options = [(math.prod(p.get(x, 0.0) for x in s), s) for s in segmentations(word)]
+            for w, s in options:
+                for x in s if w else ():
+                    used[x] += n * w / sum(o for o, _ in options)
+        total = sum(used.values())
+        p = {x: u / total for x, u in used.items()}
+    stop = ends / (ends + total)
+    tokens = sum(counts.values()) + ends
+
+    def chance(word):
+        spelled = math.fsum(math.prod(p.get(x, 0.0) * (1 - stop) for x in s) for s in segmentations(word))
+        return share * counts[word] / tokens + (1 - share) * spelled
+
+    return [math.fsum(math.log10(chance(w)) for w in ws) + math.log10(share * ends / tokens + (1 - share) * stop) for ws in words]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4])
+@pytest.mark.parametrize("frequent", [400_000, 4])
+def test_scores_are_sums_over_segmentations(spark, monkeypatch, share, frequent):
+    monkeypatch.setattr(M, "FREQUENT", frequent)
+    vocabulary = {b" a": 0.2, b" ab": 0.1, b"b": 0.2, b"ab": 0.1, b"bab": 0.1, b" ": 0.1, b"a": 0.1, b" abab": 0.1}
+    texts = ["ab abab ba", "ab ab b", "abab a", "babab ab", "bb aba unseen", "", "ab", "ab"]
+    learn = [i < 4 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in M.score(docs, docs["doc_id"] < 4, vocabulary, steps=2, word_share=share).collect()}
+    want = brute_scores(texts, learn, vocabulary, 2, share)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
+def test_other_rows_on_the_second_scan_fail(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    other = F.udf(lambda text: f"{text} {uuid.uuid4()}", "string")  # another text in every evaluation
+    with pytest.raises(Exception, match="different rows"):
+        M.score(docs.withColumn("text", other("text")), docs["doc_id"] < 0, VOCABULARY).collect()
 
 
 def plain_base(rows, learn):
