@@ -1,11 +1,15 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree.  Elements that never hold an article (by tag, role or the words of their class
-and id) are cut first.  Every node gets its characters per tag, adjusted for how much of it is
-links; the sum of the densities of its children tells where text gathers.  The node with the
-largest sum is the article, widened to the ``article`` or ``main`` element around it; on a page
-without those, the least density on its path to the body is the threshold that other
-subtrees have to reach to belong to it.
+A page becomes a tree, without what is never text (scripts, styles, controls, hidden elements).  Every
+node gets its characters per tag, adjusted for how much of it is links; the sum of the densities of
+its children tells where text gathers.  The node with the largest sum is the core of the article, and the
+least density on its path to the body (or to the ``article`` or ``main`` element around it) is the
+threshold that other subtrees have to reach to belong to it.
+
+Names (tags, roles, classes, ids) enter in two places only.  The text of elements that they mark as menus, notices,
+adverts or comments counts as link text in the densities.  And below the threshold they decide what a
+density cannot: headings and other parts of the same ``article`` or ``main`` stay, marked parts and lists of
+links go.
 """
 
 import math
@@ -29,10 +33,16 @@ ENDS_PARAGRAPH = set(
 #: an open element of the value's kinds ends before the key, up to the nearest list or table
 ENDS_ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = set("ul ol dl table select menu body".split())
+#: never text
 NEVER = set(
-    "head script style noscript template nav footer aside form button select option textarea input iframe object embed svg "
-    "canvas audio video dialog menu title".split()
+    "head script style noscript template button select option textarea input iframe object embed svg "
+    "canvas audio video title".split()
 )
+#: their text counts as link text, unless they hold the page's only heading, article or main element
+WRAPPERS = set("nav footer aside form dialog menu header".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: what may be a menu if it holds nothing but links
+LISTS = set("ul ol dl table div section nav menu".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
@@ -44,30 +54,34 @@ HINTS = set(
 #: names of what readers wrote; other names inside an article need links or controls to agree
 DISCUSSION = set("comments commentlist disqus replies".split())
 ARTICLE = ("article", "main")
-#: these go unless they hold the page's only heading, article or main element
-WRAPPERS = set("nav footer aside form dialog menu header".split())
 CONTROLS = set("form input button select textarea iframe".split())
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+").findall
 
 
 class Node:
-    __slots__ = ("tag", "parent", "content", "hinted", "named", "gone", "chars", "tags", "link_chars", "link_tags", "own", "density", "total")
+    __slots__ = ("tag", "parent", "content", "hinted", "named", "gone", "marked", "chars", "tags", "link_chars", "link_tags", "own", "density", "total")
 
-    def __init__(self, tag, parent, hinted=False, named=False):
-        self.tag, self.parent, self.content, self.hinted, self.named, self.gone = tag, parent, [], hinted, named, False
+    def __init__(self, tag, parent, hinted=False, named=False, gone=False):
+        self.tag, self.parent, self.content, self.hinted, self.named, self.gone = tag, parent, [], hinted, named, gone
+        self.marked = False
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = 0
         self.density = self.total = 0.0
 
 
-def _hinted(attributes: dict) -> tuple[bool, bool]:
-    """Whether the element is marked as no part of an article, and whether only a name says so."""
-    if attributes.get("role") in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True, False
-    if "display:none" in (attributes.get("style") or "").replace(" ", "").lower():
-        return True, False
+def _hidden(attributes: dict) -> bool:
+    style = (attributes.get("style") or "").replace(" ", "").lower()
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
+
+
+def _hinted(attributes: dict) -> tuple[bool, bool, bool]:
+    """Whether the element is marked as no part of an article, whether only a name says so, and whether it is hidden."""
+    if _hidden(attributes):
+        return True, False, True
+    if attributes.get("role") in ROLES:
+        return True, False, False
     named = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
     words = {w.lower() for w in _WORDS(named)} & HINTS if named != " " else set()
-    return bool(words), bool(words) and not words & DISCUSSION
+    return bool(words), bool(words) and not words & DISCUSSION, False
 
 
 class Tree(HTMLParser):
@@ -138,7 +152,7 @@ def _needed(nodes: list[Node]) -> set[int]:
         text[id(node)] = chars
         if node.tag in ("h1", "main", "article") and not node.hinted:
             held.add(node.tag)
-        hidden = node.hinted and not node.named or node.tag in NEVER and node.tag not in WRAPPERS
+        hidden = node.hinted and not node.named or node.tag in NEVER
         if node.parent is not None and not hidden:
             holds.setdefault(id(node.parent), set()).update(held)
             # menus and other sections beside the text are not text of a form
@@ -160,7 +174,7 @@ def _agrees(nodes: list[Node], needed: set[int]) -> set[int]:
             controls.add(k)
         if node.parent is not None:
             above = id(node.parent)
-            if node.tag not in NEVER or k in needed:
+            if node.tag not in NEVER and node.tag not in WRAPPERS or k in needed:
                 chars[above], links[above] = chars.get(above, 0) + chars[k], links.get(above, 0) + links[k]
             if k in controls:
                 controls.add(above)
@@ -168,12 +182,12 @@ def _agrees(nodes: list[Node], needed: set[int]) -> set[int]:
 
 
 def prune(nodes: list[Node]) -> list[Node]:
-    """Mark what holds no article, and return the other nodes.
+    """Cut what is never text, and return the other nodes, with ``marked`` on those that names call no article.
 
-    A name alone cuts no element that holds the page's heading or a whole article, since
-    such names also stand on the frame around everything; inside an article or main element it cuts only
+    A name alone marks no element that holds the page's heading or a whole article, since
+    such names also stand on the frame around everything; inside an article or main element it marks only
     what links or controls show to be no text.  A form or other section around the page's heading
-    or article stays, without its controls and their labels.
+    or article is not marked, but the labels of its controls are.
     """
     holds = set()
     for node in reversed(nodes):
@@ -192,72 +206,111 @@ def prune(nodes: list[Node]) -> list[Node]:
             inside.add(id(node))
         if id(above) in unwrapped or (above.tag == "form" and id(above) in needed):
             unwrapped.add(id(node))
-        never = node.tag in NEVER or (node.tag == "header" and id(node) not in inside) or (node.tag == "label" and id(node) in unwrapped)
-        named = node.hinted and id(node) not in holds and id(node) not in needed
+        node.gone = node.gone or above.gone or node.tag in NEVER
+        wrapper = node.tag in WRAPPERS and not (node.tag == "header" and id(node) in inside)
+        wrapper = wrapper or (node.tag == "label" and id(node) in unwrapped)
+        named = node.hinted and id(node) not in holds
         if named and node.named and id(node) in inside:
             named = id(node) in agrees
-        node.gone = above.gone or (never and id(node) not in needed) or named
+        node.marked = above.marked or ((wrapper or named) and id(node) not in needed)
     return [n for n in nodes if not n.gone]
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
+    """Characters per tag, scaled down by the share of links, and further in pages full of links."""
+    if not chars:
+        return 0.0
+    tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars * links / max(chars - link_chars, 1) + body_share * chars + math.e)
+    ratio = max(chars / links * tags / link_tags, 1.0)
+    return chars / tags * math.log(ratio) / math.log(base)
+
+
+def _body_share(nodes: list[Node]) -> float:
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    return max(body.link_chars, 1) / max(body.chars, 1)
+
+
 def measure(nodes: list[Node]) -> None:
-    """Characters, tags and links below every node, its composite density, and the sum over its children."""
+    """Characters, tags and links below every node, its composite density, and the sum over its children.
+
+    The text of marked nodes counts as link text.
+    """
     for node in nodes:
         node.own = sum(len("".join(c.split())) for c in node.content if isinstance(c, str))
     for node in reversed(nodes):
         node.chars += node.own
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+        if node.marked:
+            node.link_chars, node.link_tags = node.chars, node.tags + 1
         above = node.parent
         if above is not None:
             above.chars += node.chars
             above.tags += node.tags + 1
             above.link_chars += node.link_chars
             above.link_tags += node.link_tags
-    body = next((n for n in nodes if n.tag == "body"), nodes[0])
-    body_share = max(body.link_chars, 1) / max(body.chars, 1)
+    body_share = _body_share(nodes)
     for node in nodes:
-        chars, tags = node.chars, max(node.tags, 1)
-        links, link_tags = max(node.link_chars, 1), max(node.link_tags, 1)
-        if chars:
-            base = math.log(chars * links / max(chars - node.link_chars, 1) + body_share * chars + math.e)
-            ratio = max(chars / links * tags / link_tags, 1.0)
-            node.density = chars / tags * math.log(ratio) / math.log(base)
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, body_share)
     for node in nodes:
-        node.total += node.own if node.tag != "a" else 0
+        node.total += 0 if node.tag == "a" or node.marked else node.own
         if node.parent is not None:
             node.parent.total += node.density
 
 
-def select(nodes: list[Node]) -> list[Node]:
-    """Roots of the article's subtrees, in page order."""
+def select(nodes: list[Node]) -> tuple[list, set[int]]:
+    """Subtrees and loose texts of the article in page order, and the ids of nodes below them that do not belong to it."""
     best = max(nodes, key=lambda n: n.total)  # the first of equal ones is the outermost
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    around = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
-    if around is not None:
-        return [around]
-    to_body = next((path[: i + 1] for i, n in enumerate(path) if n.tag == "body"), path)
-    threshold = min(n.density for n in to_body)
-    on_path, chosen = {id(n) for n in to_body}, []
-    for node in nodes:
-        if node is best:
-            chosen.append(node)
-        elif id(node) not in on_path and node.parent is not None and id(node.parent) in on_path and node.parent is not best:
-            if node.chars and node.density >= threshold and node.tag != "a":
-                chosen.append(node)
-    return chosen
+    around = next((i for i, n in enumerate(path) if n.tag in ARTICLE), None)
+    to_body = next((i for i, n in enumerate(path) if n.tag == "body"), len(path) - 1)
+    threshold = min(n.density for n in path[: (to_body if around is None else around) + 1])
+    body_share = _body_share(nodes)
+
+    def low(node):
+        return node.density < threshold or not node.density
+
+    def menu(node):
+        return node.marked or (node.tag in LISTS and node.link_tags > 1 and node.link_chars >= node.chars)
+
+    before, after = [], []  # of the subtrees below them on the path
+    for i in range(len(path) - 1, 0, -1):
+        same, found, below = around is not None and i <= around, before, []
+        for item in path[i].content:
+            if item is path[i - 1]:
+                found = below
+            elif isinstance(item, str):
+                chars = len("".join(item.split()))
+                if not path[i].marked and (same or _density(chars, 0, 0, 0, body_share) >= threshold):
+                    found.append(item)
+            elif item.chars and item.tag != "a" or same:
+                if not low(item) or not menu(item) and (same or item.tag in HEADINGS):
+                    found.append(item)
+        before.append("\n")
+        after = ["\n", *below, *after]
+    chosen = [*before, best, *after]
+    dropped, stack = set(), [n for n in chosen if isinstance(n, Node)]
+    while stack:
+        for node in stack.pop().content:
+            if isinstance(node, Node):
+                if low(node) and menu(node):
+                    dropped.add(id(node))
+                else:
+                    stack.append(node)
+    return chosen, dropped
 
 
-def text_of(roots: list[Node]) -> str:
+def text_of(roots: list, dropped: set[int] = frozenset()) -> str:
     """Text below the roots: white space is one space, and so is a block's edge."""
     parts, stack = [], list(reversed(roots))
     while stack:
         item = stack.pop()
         if isinstance(item, str):
             parts.append(item)
-        elif not item.gone:
+        elif not item.gone and id(item) not in dropped:
             edge = [] if item.tag in INLINE else ["\n"]
             stack.extend([*edge, *reversed(item.content), *edge])
     return " ".join("".join(parts).split())
@@ -269,7 +322,7 @@ def main_text(html: str | None) -> str:
         return ""
     nodes = prune(parse(html))
     measure(nodes)
-    return text_of(select(nodes)) if nodes[0].chars else ""
+    return text_of(*select(nodes)) if nodes[0].chars else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -60,6 +60,55 @@ def test_articles_in_forms_and_other_sections(frame):
         assert H.main_text(source) == text, source
 
 
+#: no article, main or telling name anywhere
+DIVS = [
+    '<body><div><ul>{links}</ul></div><div><div>{inner}</div></div><div><ul>{links}</ul></div></body>',
+    '<body><div><a href=/>Home</a> <a href=/n>News</a> | <a href=/c>Contact</a></div><div>{inner}</div><div>Buy one now.</div></body>',
+    '<body><div><div>Short <a href=/1>teaser one</a></div><div>Short <a href=/2>teaser two</a></div></div><div>{inner}<ul>{links}</ul></div></body>',
+    '<table><tr><td>{links}<td>{inner}<td><p>One <a href=/3>more</a></p><p>Two <a href=/4>more</a></p></table>',
+    '<body><div><p>{links}</p></div><div><div>{inner}</div><div><a href=/p>back</a> <a href=/q>next</a></div></div><div><a href=/r>All rights.</a></div></body>',
+]
+
+
+def long_page(rng, frame):
+    """Three or more paragraphs of some length, so that the text is denser than what is around it."""
+    body = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(30, 90))) + "." for _ in range(rng.randrange(3, 9))]
+    links = "".join(f'<li><a href="/{w}">{w}</a>' for w in WORDS[:8])
+    return frame.format(inner="<h1>A title</h1>" + "".join(f"<p>{p}</p>" for p in body), links=links), " ".join(["A title", *body])
+
+
+@pytest.mark.parametrize("frame", DIVS)
+def test_density_alone_finds_the_text(frame, monkeypatch):
+    rng = random.Random(len(frame))
+    for _ in range(40):
+        source, text = long_page(rng, frame)
+        assert not any(n.marked for n in H.parse(source)) and H.main_text(source) == text, source
+    monkeypatch.setattr(H, "select", lambda nodes: ([nodes[0]], set()))
+    assert H.main_text(source) != text
+
+
+def test_density_decides_on_given_pages(small, monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{small}/pages.parquet").column("html").to_pylist()
+    with_density = [H.main_text(p) for p in pages]
+    monkeypatch.setattr(H, "select", lambda nodes: ([nodes[0]], set()))
+    assert all(H.main_text(p) != t for p, t in zip(pages, with_density))
+
+
+def test_an_advert_without_a_name_and_parts_below_the_threshold():
+    long = "A long sentence of the report, which says what was seen and by whom. " * 8
+    parts = f"<section><h2>One</h2><p>{long}</p><p>{long}</p></section><section><h2>Two</h2><p>Short.</p></section>"
+    want = f"Loose words. One {long}{long}Two Short."
+    four = f"<p>{long}</p>" * 4
+    # within one article all parts stay, a dense part beside it joins it, thin ones do not
+    assert H.main_text(f"<body><article>Loose words. {parts}</article><div>Buy now.</div></body>") == want
+    assert H.main_text(f"<body><div><p>{long}</p></div><div>{four}</div><div>Buy now.</div></body>") == (long * 5).strip()
+    assert H.main_text(f"<body><h1>Title</h1><div><p>{long}</p><p>{long}</p></div></body>") == f"Title {long}{long}".strip()
+    assert H.main_text(f"<body>a<div>b<div><p>{long}</p><p>{long}</p></div>c</div>d</body>") == f"{long}{long}".strip()
+    assert H.main_text(f"<body><main>a<div>b<div><p>{long}</p><p>{long}</p></div>c</div>d</main></body>") == f"a b {long}{long}c d"
+
+
 def test_form_around_a_page_without_heading():
     assert H.main_text("<body><form><nav><a href=/>menu</a></nav><div><p>Long text of the page. <p>And more.</div><input></form></body>") == "Long text of the page. And more."
     assert H.main_text("<body><div><p>Long text of the page.</p></div><form><p>Search</p><input></form></body>") == "Long text of the page."
