@@ -7,6 +7,9 @@ estimated success: single steps are sorted by the query's distance to the cell w
 sequence ranked by the expected squared distances.  Candidates of all tables are
 ranked again by their exact cosine.
 
+The width of a cell and the number of probes come from the table itself: the true neighbours of some sampled queries
+show how often any choice would meet them, and the cheapest choice that meets enough is taken.
+
 Buckets are grouped into shards, and a shard with many vectors is split by vector, so that a
 third of all vectors in one bucket is still spread.  Only the best few of a query leave a shard.
 """
@@ -81,6 +84,93 @@ class Tables:
         return self.keys(cells, t)[:, None] + ranked @ self.sequence.T
 
 
+FIT_QUERIES = 128  # sampled queries whose true neighbours choose the parameters
+FIT_ROWS = 2_000  # sampled rows that tell how many a choice would compare
+WIDTHS = (1.0, 1.25, 1.6, 2.0, 2.25, 2.5, 2.8, 3.2, 4.0, 6.0, 12.0, 1000.0)  # in distances of a true neighbour
+PROBES = (30, 100, 300, 1000, 3000)
+PROBE_COST = 2.0  # a visited bucket costs as much as comparing so many rows
+
+
+def _first_met(probes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """At which probe a query meets each key; the number of probes if at none."""
+    order = np.argsort(probes, kind="stable")
+    at = np.minimum(np.searchsorted(probes[order], keys), len(probes) - 1)
+    return np.where(probes[order][at] == keys, order[at], len(probes))
+
+
+def _true_neighbours(stored: DataFrame, asked: list, k: int) -> list[np.ndarray]:
+    """The ``k`` nearest stored vectors of each asked one, other than equal ones, by comparing with all rows.
+
+    Every task keeps its own best few ids per query; only those of the asked rows reach the driver.
+    """
+    wanted = np.array([r["v"] for r in asked], np.float64)
+    wanted /= np.sqrt((wanted * wanted).sum(1))[:, None]
+    schema = pa.schema([("q", pa.int32()), ("first", pa.int64()), ("score", pa.float64())])
+
+    def compare(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = np.array([i[0] for i in batch.column("ids").to_pylist()])
+            scores = wanted @ _units(batch, "v")[1].T
+            few = np.argsort(-scores, 1, kind="stable")[:, : k + 1]
+            q = np.repeat(np.arange(len(wanted), dtype=np.int32), few.shape[1])
+            yield batch_of(schema, [q, first[few].ravel(), np.take_along_axis(scores, few, 1).ravel()])
+
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "first"))
+    met = stored.mapInArrow(compare, "q int, first long, score double").withColumn("rank", rank).where(F.col("rank") <= k + 1).collect()
+    some = stored.where(F.col("ids")[0].isin([r["first"] for r in met])).collect()
+    by_id = {r["ids"][0]: np.array(r["v"], np.float64) for r in some}
+    out = []
+    for q, own in enumerate(asked):
+        own_v = np.array(own["v"], np.float64)
+        near = [by_id[r["first"]] for r in sorted(met, key=lambda r: r["rank"]) if r["q"] == q and not (by_id[r["first"]] == own_v).all()]
+        out.append(np.array(near[:k]).reshape(-1, wanted.shape[1]))
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(-1, keepdims=True))
+
+
+def fit(
+    stored: DataFrame, queries: DataFrame, rows: int, dimension: int, k: int, tables: int, projections: int, recall: float,
+    widths: tuple[float, ...] | None, probes: tuple[int, ...],
+) -> tuple[float, int]:
+    """The cheapest (width, probes) whose tables meet a share of ``recall`` of the sampled queries' true neighbours.
+
+    ``FIT_QUERIES`` queries are compared with all rows, and ``FIT_ROWS`` rows tell how many a choice compares; both
+    are those of the least hashes.  Widths are tried in multiples of the median distance of a true neighbour; the widest holds all rows in
+    one bucket, so some choice always does.
+    """
+    asked = queries.orderBy(F.xxhash64("id"), "id").limit(FIT_QUERIES).collect()
+    near = _true_neighbours(stored, asked, k) if asked else []
+    own = [i for i, v in enumerate(near) if len(v)]
+    if not own:
+        return (widths or (1.0,))[0], probes[0]
+    units = _unit(np.array([asked[i]["v"] for i in own], np.float64))
+    near = [_unit(near[i]) for i in own]
+    some = stored.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(FIT_ROWS).collect()
+    some = _unit(np.array([r["v"] for r in some], np.float64))
+    distance = max(float(np.median(np.concatenate([np.sqrt(((v - u) ** 2).sum(1)) for u, v in zip(units, near)]))), 1e-6)
+    steps, best = np.array(probes), None
+    for width in widths or [distance * x for x in WIDTHS]:
+        index = Tables(dimension, tables, projections, width, max(probes))
+        first = [np.full(len(v), max(probes)) for v in near]
+        compared = np.zeros(len(steps))
+        for t in range(tables):
+            others = index.keys(index.cells(some, t)[0], t)
+            for i, (wanted, v) in enumerate(zip(index.probes(units, t), near)):
+                first[i] = np.minimum(first[i], _first_met(wanted, index.keys(index.cells(v, t)[0], t)))
+                compared += (_first_met(wanted, others)[:, None] < np.minimum(steps, len(wanted))).sum(0)
+        met = (np.concatenate(first)[:, None] < steps).mean(0)
+        cost = compared / len(units) / len(some) * rows + PROBE_COST * tables * steps
+        for m, c, n in zip(met, cost, probes):
+            choice = (m < recall, c if m >= recall else -m, width, n)
+            best = choice if best is None else min(best, choice)
+    return best[2], best[3]
+
+
 def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Exact cosines; every row is summed alike, so equal vectors have equal scores."""
     return (vectors * query).sum(1) / (norms * math.sqrt((query * query).sum()))
@@ -92,6 +182,8 @@ _ROWS = pa.schema(
 )
 FOUND = "query_id long, first long, ids array<long>, score double"
 _FOUND = pa.schema([("query_id", pa.int64()), ("first", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+PART_BYTES = 10 << 20  # of vectors in a part
+LARGE = 50_000  # shards of a table that may be split
 SPLITS = 1 << 20  # part = (table, shard, split) in one number
 
 
@@ -152,9 +244,10 @@ def nearest(
     k: int = 5,
     tables: int = 8,
     projections: int = 16,
-    width: float = 2.75,
-    probes: int = 3000,
-    part_vectors: int = 20_000,
+    width: float | None = None,
+    probes: int | None = None,
+    recall: float = 0.96,
+    part_vectors: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -167,8 +260,9 @@ def nearest(
     columns are ignored.  A query that meets fewer than ``k`` rows by the index (in small tables) is compared with all
     rows, so it gets ``k`` rows, or all there are.
 
-    Defaults find over 0.9 of the true neighbours even among directionless random vectors of 64 dimensions,
-    the hardest case; clustered vectors need fewer probes and a smaller width.
+    Where ``width`` or ``probes`` is not given, ``fit`` chooses it so that a share of ``recall`` of the true neighbours of
+    a bounded sample of queries is met, whatever the dimension: directionless random vectors need wide cells and many
+    probes, clustered ones few.  A part has ``part_vectors`` vectors, by default those of ``PART_BYTES``.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -181,7 +275,12 @@ def nearest(
     place = F.row_number().over(W.partitionBy("v").orderBy("id"))
     few = rows.withColumn("place", place).where(F.col("place") <= k + 1)
     stored = freeze(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    shards = max(1, math.ceil(stored.count() / part_vectors))
+    part_vectors = part_vectors or max(1, PART_BYTES // (8 * dimension))
+    distinct, queries = stored.count(), rows.where(is_query(F.col("id")))
+    shards = max(1, math.ceil(distinct / part_vectors))
+    if width is None or probes is None:
+        tried = None if width is None else (width,), PROBES if probes is None else (probes,)
+        width, probes = fit(stored, queries, distinct, dimension, k, tables, projections, recall, *tried)
     index = Tables(dimension, tables, projections, width, probes)  # below 1 MB, travels with the functions
 
     def count(batches):
@@ -195,8 +294,9 @@ def nearest(
         yield batch_of(pa.schema([("t", pa.int32()), ("s", pa.int64()), ("n", pa.int64())]), [t, s, total[t, s]])
 
     sizes = stored.select("v").mapInArrow(count, "t int, s long, n long").groupBy("t", "s").agg(F.sum("n").alias("n"))
-    # only shards above the size of a part reach the driver: at most rows x tables / part_vectors
-    large = {(r["t"], r["s"]): math.ceil(r["n"] / part_vectors) for r in sizes.where(F.col("n") > part_vectors).collect()}
+    # only shards of far more than a part reach the driver, at most LARGE of each table, however many rows there are
+    above = max(4 * part_vectors, distinct // LARGE)
+    large = {(r["t"], r["s"]): math.ceil(r["n"] / part_vectors) for r in sizes.where(F.col("n") > above).collect()}
     splits = spark.sparkContext.broadcast(large)
 
     def store(batches):
@@ -232,7 +332,6 @@ def nearest(
                     yield batch_of(_ROWS, list(zip(*out)) or [[]] * 6)
                     out = []
 
-    queries = rows.where(is_query(F.col("id")))
     by_index = freeze(_ranked(stored.mapInArrow(store, ROWS).unionByName(queries.mapInArrow(ask, ROWS)), k))
     # queries that met too few rows are compared with all rows, part by part
     wanted = min(k, rows.count() - 1)

@@ -96,3 +96,38 @@ def test_small_tables_with_default_parameters(spark, n):
         if n <= 6:
             assert [i for _, i, _ in sorted(found)] == order[:5]
         assert [s for _, _, s in sorted(found)] == pytest.approx([cos[q, i] for _, i, _ in sorted(found)], abs=1e-12)
+
+
+@pytest.mark.parametrize("dimension, clusters", [(64, 0), (384, 0), (768, 0), (64, 40)])
+def test_parameters_follow_the_data(spark, dimension, clusters):
+    rng = np.random.default_rng(dimension + clusters)
+    x = rng.standard_normal((2000, dimension))
+    if clusters:
+        x = rng.standard_normal((clusters, dimension))[rng.integers(0, clusters, 2000)] + 0.1 * x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    cos = _cos(x)
+    hits = total = 0
+    for r in N.nearest(df, lambda i: i % 10 == 0, part_vectors=300).collect():
+        total += 1
+        hits += r.vec_id in set(np.argsort(-cos[r.query_id])[:5])
+    assert total == 1000 and hits >= 0.9 * total
+
+
+def test_clustered_vectors_compare_few_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((100, 32))[rng.integers(0, 100, 3000)] + 0.05 * rng.standard_normal((3000, 32))
+    stored = spark.createDataFrame([(v.tolist(), [i]) for i, v in enumerate(x)], "v array<double>, ids array<long>")
+    queries = stored.select(stored["ids"][0].alias("id"), "v").where("id % 20 = 0")
+    width, probes = N.fit(stored, queries, 3000, 32, 5, 8, 16, 0.96, None, N.PROBES)
+    index = N.Tables(32, 8, 16, width, probes)
+    units = x / np.sqrt((x * x).sum(1))[:, None]
+    compared = sum(np.isin(index.keys(index.cells(units, t)[0], t), index.probes(units[:1], t)[0]).sum() for t in range(8))
+    assert probes < 3000 and compared < 8 * 3000 / 10
+    assert N.fit(stored, queries.limit(0), 3000, 32, 5, 8, 16, 0.96, None, N.PROBES)
+
+
+def _cos(x):
+    units = x / np.sqrt((x * x).sum(1))[:, None]
+    cos = units @ units.T
+    np.fill_diagonal(cos, -2)
+    return cos
