@@ -214,6 +214,17 @@ def _round(packed_in: DataFrame, partitions: int, number: int, capacity: int, ne
     return packed_in.select("used", "members").repartition(partitions, key).mapInArrow(pack, BINS)
 
 
+def _emptiest(items: DataFrame, most: int) -> int:
+    """The largest fill up to which there are at most ``most`` items; one row per fill reaches the driver."""
+    limit, total = 0, 0
+    for used, n in sorted(items.groupBy("used").count().collect()):
+        total += n
+        if total > most:
+            break
+        limit = used
+    return limit
+
+
 def pack_pieces(
     pieces: DataFrame, capacity: int = 1024, items_per_task: int = 60_000, fan_in: int = 8, nearly_full: int = 0
 ) -> DataFrame:
@@ -221,8 +232,11 @@ def pack_pieces(
 
     ``pieces`` has the columns of :func:`token_pieces`.  A sequence is closed once at most
     ``nearly_full`` tokens are free; the rest is packed again, in at most ``1 / fan_in`` as
-    many partitions but never more than ``items_per_task`` items in one, until that gains
-    less than a twentieth.  An empty table gives an empty table.
+    many partitions but never more than ``items_per_task`` items in one, down to one partition.  Where a round
+    gains less than a twentieth before, what is left hardly fits together: its ``items_per_task`` emptiest
+    sequences go to one last partition and the others stay as they are.  Best fit leaves
+    at most one sequence of a partition half full or less, so the last partition gets all of those (of up to
+    ``items_per_task`` partitions).  An empty table gives an empty table.
     """
     pieces = freeze(pieces)
     offset = F.lit(0).cast("long").alias("offset")
@@ -238,14 +252,18 @@ def pack_pieces(
     partitions, number = max(1, math.ceil(left / items_per_task)), 0
     while left:
         packed = freeze(_round(items, partitions, number, capacity, nearly_full))
-        items = packed.where(~F.col("closed"))
+        items, closed = packed.where(~F.col("closed")), packed.where("closed")
         before, left = left, items.count()
-        last = partitions == 1 or left > 0.95 * before
-        closed = packed if last else packed.where("closed")
+        if partitions == 1:
+            closed, left = packed, 0
+        elif left > 0.95 * before:
+            limit = _emptiest(items, items_per_task)
+            closed = packed.where(F.col("closed") | (F.col("used") > limit))
+            items = items.where(F.col("used") <= limit)
+            left, partitions = items.count(), 1
+        else:
+            partitions = max(math.ceil(partitions / fan_in), math.ceil(left / items_per_task))
         done = done.unionByName(closed.select("sequence_id", F.explode("members").alias("m")).select("m.*", "sequence_id"))
-        if last:
-            break
-        partitions = max(math.ceil(partitions / fan_in), math.ceil(left / items_per_task))
         number += 1
     return done
 

@@ -77,5 +77,16 @@ def test_items_that_never_share_a_sequence(spark):
     assert pack_pieces(pieces.limit(0)).collect() == []
 
 
+def test_the_tree_ends_in_one_partition(spark):
+    """Sequences of one 45 each, left in many partitions beside many that nothing fits, still meet."""
+    sizes = [60] * 900 + [45] * 41
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], schema)
+    used = {}
+    for r in pack_pieces(pieces, 100, items_per_task=60, fan_in=2).collect():
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert sum(used.values()) == sum(sizes) and sorted(used.values()) == [45] + [60] * 900 + [90] * 20
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert best_fit([6, 5, 4, 4, 1], 10) == [[0, 2], [1, 3, 4]]
