@@ -298,8 +298,9 @@ def clean_text(
         if switch
     ]
     text = F.col(column)
-    if "chunks" in middle or (emoji_names is not None and "emoji" in middle):
-        # one Arrow round trip for the whole run of steps, never repeated for a later filter
+    if {"chunks", "sentences"} & set(middle) or (emoji_names is not None and "emoji" in middle):
+        # one Arrow round trip for the whole run of steps, never repeated for a later filter; sentences cost less
+        # in it than as arrays of strings in the JVM
         df = df.withColumn(column, text_udf.arrow_steps(middle, emoji_names, once=True)(text))
     else:
         df = _middle_in_jvm(df, column, middle)
@@ -315,7 +316,7 @@ def clean_text(
 def _middle_in_jvm(df: DataFrame, column: str, middle: list[str]) -> DataFrame:
     """Rows without emoji or composable characters stay in the JVM; the rest take one Arrow round trip."""
     text = F.col(column)
-    jvm = {"lower": lowercase, "repetitions": reduce_repetitions, "sentences": remove_repeated_sentences}
+    jvm = {"lower": lowercase, "repetitions": reduce_repetitions}
     narrow = text
     for name in middle:
         narrow = jvm[name](narrow) if name in jvm else narrow
@@ -331,7 +332,9 @@ def clean_for_translation(df: DataFrame, column: str = "comment_text", **options
     """Heavy cleaning before translation: missing text counts as empty, blank rows go."""
     df = df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
     df = clean_text(df, column, **{**TRANSLATION_PRESET, **options})
-    return df.where(~F.col(column).rlike(rf"(?U)\A{_SPACE}*\z"))
+    # a plain filter would be pushed below the chain and evaluate it a second time; an array of no or one text is not
+    kept = F.filter(F.array(column), lambda text: ~text.rlike(rf"(?U)\A{_SPACE}*\z"))
+    return df.withColumn(column, F.explode(kept))
 
 
 def clean_for_model(df: DataFrame, column: str = "comment", **options) -> DataFrame:

@@ -205,3 +205,12 @@ def test_idempotent(spark, small, step):
 
 def test_first_sentences():
     assert first_sentences("A b.  a B. c? C?") == "A b. c?"
+
+
+def test_translation_preset_evaluates_its_chain_once(spark):
+    df = spark.createDataFrame([(0, "Hi. hi. you"), (1, " \n"), (2, None)], "i int, comment_text string")
+    for chunks in (True, False):
+        out = text.clean_for_translation(df, remove_repeated_chunks=chunks)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("(?=[+(") <= 1 and plan.count(r"(?=[\p{C}") == 1
+        assert [tuple(r) for r in out.collect()] == [(0, "Hi. you")]
