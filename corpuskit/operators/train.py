@@ -20,6 +20,7 @@ from corpuskit.session import freeze
 
 HISTORY = 8  # pairs of steps and gradient changes a label remembers
 BLOCKS = 32  # parts in which gradients are summed
+GROUPS = 32  # more tasks than this are summed in two steps
 CONSTANT = 30.0  # the logit of a label that never varied in training
 
 
@@ -120,16 +121,17 @@ def _sums(parts: Iterator[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _add_up(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Element sums of the arrays of each block, first within groups of tasks."""
+def _add_up(parts: DataFrame, tasks: int) -> dict[int, np.ndarray]:
+    """Element sums of the arrays of each block, of many tasks first within groups of them."""
 
     def add(table: pa.Table) -> pa.Table:
         total = _sums(np.frombuffer(v.as_py(), "<f8") for v in table.column("values"))
         return pa.table({"block": table.column("block").slice(0, 1), "values": pa.array([total.tobytes()], pa.binary())})
 
     kind = "block int, values binary"
-    near = parts.withColumn("group", F.spark_partition_id() % 32).groupBy("block", "group").applyInArrow(lambda t: add(t), kind)
-    summed = near.groupBy("block").applyInArrow(lambda t: add(t), kind)
+    if tasks > GROUPS:
+        parts = parts.withColumn("group", F.spark_partition_id() % GROUPS).groupBy("block", "group").applyInArrow(lambda t: add(t), kind)
+    summed = parts.groupBy("block").applyInArrow(lambda t: add(t), kind)
     return {r["block"]: np.frombuffer(bytes(r["values"]), "<f8") for r in summed.collect()}
 
 
@@ -140,7 +142,11 @@ def _blocks(values: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(rows: DataFrame, size: int, add: Callable) -> np.ndarray:
-    """The sum over all tasks of an array of ``size`` that ``add(total, batch)`` fills."""
+    """The sum over all tasks of an array of ``size`` that ``add(total, batch)`` fills.
+
+    Every task shuffles a whole array, so there is one task per core, however many partitions the rows have.
+    """
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
 
     def run(batches):
         total = np.zeros(size)
@@ -149,7 +155,7 @@ def _summed(rows: DataFrame, size: int, add: Callable) -> np.ndarray:
                 add(total, batch.slice(start, 1000))
         yield from _blocks(total)
 
-    found = _add_up(rows.mapInArrow(run, "block int, values binary"))
+    found = _add_up(rows.coalesce(tasks).mapInArrow(run, "block int, values binary"), tasks)
     return np.concatenate([found[b] for b in range(BLOCKS)])
 
 

@@ -236,6 +236,18 @@ def test_apply_batches_keeps_errors(spark):
     assert got[0] == ("[]", None) and got[1][0] is None and got[1][1].startswith("ZeroDivisionError")
 
 
+def test_training_shuffles_one_array_per_core(spark, monkeypatch):
+    seen = []
+    add_up = train._add_up
+    monkeypatch.setattr(train, "_add_up", lambda parts, *rest: seen.append(parts.rdd.getNumPartitions()) or add_up(parts, *rest))
+    df = spark.createDataFrame(_word_rows(200), "comment string, toxic int, insult int, threat int")
+    cores = spark.sparkContext.defaultParallelism
+    many = train.fit_multilabel(df.repartition(3 * cores), TWO, features=64)
+    assert seen and max(seen) <= cores
+    few = train.fit_multilabel(df.coalesce(1), TWO, features=64)
+    assert all(np.allclose(many.weights[c], few.weights[c], atol=1e-6) for c in TWO)
+
+
 def test_scoring_and_stream_agree(spark, small):
     docs = fx.documents(spark, small).select(F.col("doc_id").alias("id"), F.col("text").alias("comment"))
     folder = scratch_path(spark, "arriving")
