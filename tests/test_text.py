@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskit.functions import text
+from corpuskit.functions import text, text_udf
 from corpuskit.functions.runs import periodic_stretches
 from corpuskit.functions.text_udf import collapse_chunks, first_sentences
 
@@ -214,3 +214,29 @@ def test_translation_preset_evaluates_its_chain_once(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and plan.count("(?=[+(") <= 1 and plan.count(r"(?=[\p{C}") == 1
         assert [tuple(r) for r in out.collect()] == [(0, "Hi. you")]
+
+
+def test_far_repeats_are_not_searched_for_chunks(monkeypatch):
+    sizes = []
+    search = text_udf.periodic_stretches
+    monkeypatch.setattr(text_udf, "periodic_stretches", lambda ids, *rest: sizes.append(len(ids)) or search(ids, *rest))
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(words[:40])
+    far = f"{line} {' '.join(words[40:1500])} {line} {' '.join(words[1500:])} {line}"
+    assert collapse_chunks(far) == far and not sizes
+    long_unit = " ".join(words[:50])
+    near = f"{far} {' '.join([long_unit] * 3)} end"
+    assert collapse_chunks(near) == f"{far} {long_unit} end" and max(sizes) < 300
+
+
+@pytest.mark.parametrize("repeats", [2, 3])
+def test_repeated_units_equal_the_pattern(repeats):
+    rng = random.Random(repeats)
+    pattern = re.compile(r"(.+?)(?:\s+\1){%d,}" % repeats, re.IGNORECASE)
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            unit = [rng.choice("a b c ab xa q".split()) + rng.choice(["", "", str(rng.randint(0, 9))]) for _ in range(rng.randint(1, 6))]
+            parts += unit * rng.choice([1, 2, 3, 4])
+        value = " ".join(parts)
+        assert collapse_chunks(value, repeats) == pattern.sub(r"\1", pattern.sub(r"\1", value)), value
