@@ -2,7 +2,7 @@
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +16,7 @@ from corpuskit.sources.tables import read_or_empty
 # --- Fixed values: batch limits and response pattern --------------------------
 DEFAULT_BATCH_SIZE = 20
 MAX_BATCH_SIZE = 50
+SLICE = 16  # requests of an Arrow batch that are Python strings at a time
 FALLBACK = (
     r"""\bid\b\s*[:=]\s*["']?([a-zA-Z0-9_-]+)["']?.*?\btranslated\b\s*[:=]\s*["']?(.+?)["']?"""
     r"""(?=\s*[,}\]]|$)"""
@@ -71,25 +72,27 @@ def format_requests(
 def apply_batches(requests: DataFrame, fn: Callable[[str], str], parallelism: int | None = None) -> DataFrame:
     """Call ``fn(request) -> response`` per batch; a failing batch gets an ``error`` and no response.
 
-    ``parallelism`` limits how many calls run at once, as it sets the number of tasks.
+    ``parallelism`` limits how many calls run at once, as it sets the number of tasks.  An Arrow batch may hold 64 MB
+    of requests; its responses are handed back slice by slice.
     """
     fields = requests.schema.simpleString()[len("struct<") : -1]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(start, SLICE) for batch in batches for start in range(0, batch.num_rows, SLICE)):
             responses, errors = [], []
-            for request in frame["request"]:
+            for request in part.column("request"):
                 try:
-                    responses.append(fn(request))
+                    responses.append(fn(request.as_py()))
                     errors.append(None)
                 except Exception as problem:  # one bad batch must not fail the job
                     responses.append(None)
                     errors.append(f"{type(problem).__name__}: {problem}")
-            yield frame.assign(response=responses, error=errors)
+            added = [pa.array(responses, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "response", "error"])
 
     if parallelism:
         requests = requests.repartition(parallelism, "batch_id")
-    return requests.mapInPandas(run, f"{fields},response:string,error:string")
+    return requests.mapInArrow(run, f"{fields},response:string,error:string")
 
 
 RESPONSES = "digest string, response string, error string, called timestamp"

@@ -4,6 +4,7 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,21 @@ def test_apply_batches_keeps_errors(spark):
     assert got[0] == ("[]", None) and got[1][0] is None and got[1][1].startswith("ZeroDivisionError")
 
 
+def test_apply_batches_answers_slice_by_slice(spark, monkeypatch):
+    rows = [(i, None if i == 5 else f"r{i}", i * 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "batch_id long, request string, n_rows long").coalesce(1)
+    got = {r["batch_id"]: r for r in batch.apply_batches(df, lambda request: request + "!").collect()}
+    assert len(got) == 40 and got[39].response == "r39!" and got[39].n_rows == 78
+    assert got[5].response is None and got[5].error.startswith("TypeError")
+    taken = []
+    calls = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, kind: taken.append(fn) or self)
+    batch.apply_batches(df, lambda request: calls.append(request) or request)
+    table = pa.RecordBatch.from_pydict({"request": [r[1] or "" for r in rows]})
+    first = next(taken[0](iter([table])))
+    assert first.num_rows == len(calls) == batch.SLICE
+
+
 def test_training_shuffles_one_array_per_core(spark, monkeypatch):
     seen = []
     add_up = train._add_up
