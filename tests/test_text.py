@@ -4,6 +4,7 @@ import time
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,12 @@ def test_translation_preset_evaluates_its_chain_once(spark):
         assert [tuple(r) for r in out.collect()] == [(0, "Hi. you")]
 
 
+def test_arrow_steps_hold_a_slice_of_a_batch(spark):
+    kept = text_udf.arrow_steps(["nfc"]).func(iter([pa.array(["e\u0301", None] * text_udf.SLICE)]))
+    parts = [next(kept), next(kept)]
+    assert [len(p) for p in parts] == [text_udf.SLICE] * 2 and parts[1].to_pylist()[:2] == ["\u00e9", None]
+
+
 def test_far_repeats_are_not_searched_for_chunks(monkeypatch):
     sizes = []
     search = text_udf.periodic_stretches
